@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("minhash",)
+_MODULES = ("langid", "linededup", "minhash", "mixing")
 
 
 def _all(name: str) -> dict:
