@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("langid", "linededup", "minhash", "mixing")
+_MODULES = ("langid", "linededup", "minhash", "mixing", "semantic")
 
 
 def _all(name: str) -> dict:
@@ -12,8 +12,12 @@ def _all(name: str) -> dict:
 
 
 def queries() -> dict:
-    return _all("QUERIES")
+    import corpus_pipeline
+
+    return _all("QUERIES") | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return _all("ORACLES")
+    import corpus_pipeline
+
+    return _all("ORACLES") | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
