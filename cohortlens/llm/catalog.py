@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("archives", "invertible", "langid", "linededup", "minhash", "mixing", "pii", "reputation", "semantic")
+_MODULES = ("archives", "invertible", "langid", "linededup", "minhash", "mixing", "ngram_lm", "pii", "reputation", "semantic")
 
 
 def _all(name: str) -> dict:
