@@ -26,7 +26,8 @@ class NearDuplicates:
     with a chance of 6e-5, at less than that for every closer pair. ``batch`` minima at a
     time are compared; a pair goes when the posterior chance (uniform prior) that its
     similarity reaches the threshold is below ``miss``. Up to ``star`` partners are
-    verified beside one copy of their pivot's text. ``small_ids`` bounds the id lists that
+    verified beside one copy of their pivot's text. Pivots are tried up to ``turns`` times,
+    and as long as a turn leaves ``shrink`` of the unlinked members or less. ``small_ids`` bounds the id lists that
     are broadcast; longer ones are joined by a shuffle.
     """
 
@@ -37,6 +38,8 @@ class NearDuplicates:
     batch: int = 32
     miss: float = 1e-6
     star: int = 256
+    turns: int = 8
+    shrink: float = 0.85
     small_ids: int = 500_000
     seed: int = 11
 
@@ -170,15 +173,101 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, p: NearDuplicates
     return ws.table(rows.mapInArrow(partial(_confirm, p=p), "u long, v long"), f"{name}-links")
 
 
+def _near_blocks(table: pa.Table, p: NearDuplicates) -> pa.Table:
+    """Of one block of a bucket: for each unlinked member (``far``) and verification block
+    those members of other components whose signatures may be close enough."""
+    names = ("rep", "part", "vblock", "sig", "bands")
+    far = np.array(table.column("far").to_pylist(), bool)
+    bucket = table.column("bucket")[0].as_py()
+
+    def side(mask: np.ndarray) -> list[np.ndarray]:
+        t = table.filter(pa.array(mask))
+        cols = {c: t.column(c).combine_chunks() for c in names}
+        sig = np.frombuffer(b"".join(cols["sig"].to_pylist()), np.uint16).reshape(len(t), -1)
+        bands = np.array(cols["bands"].to_pylist(), np.int64).reshape(len(t), -1)
+        return [cols[c].to_numpy(zero_copy_only=False) for c in names[:3]] + [sig, bands, np.array(t.column("rest").to_pylist(), bool)]
+
+    x_rep, x_part, _, x_sig, x_bands, _ = side(far)
+    y_rep, y_part, y_block, y_sig, y_bands, y_rest = side(~far)
+    steps, out = least_matches(p), []
+    for k in range(len(x_rep) if len(y_rep) else 0):
+        # two unlinked members meet once, whichever is smaller asks
+        at = np.flatnonzero((y_part != x_part[k]) & (~y_rest | (x_rep[k] < y_rep)))
+        matches, done = np.zeros(len(at), np.int64), 0
+        for n, least in steps:
+            matches += (y_sig[at, done:n] == x_sig[k, done:n]).sum(axis=1)
+            at, matches, done = at[matches >= least], matches[matches >= least], n
+        # of all buckets that two share, that of the first band counts
+        same = y_bands[at] == x_bands[k]
+        at = at[x_bands[k][same.argmax(axis=1)] == bucket] if len(at) else at
+        for part, block in sorted(set(zip(y_part[at].tolist(), y_block[at].tolist(), strict=True))):
+            mine = at[(y_part[at] == part) & (y_block[at] == block)]
+            out.append((int(x_rep[k]), part, block, y_rep[mine].tolist()))
+    cols = list(zip(*out, strict=True)) or [[]] * 4
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+    return pa.table({c: pa.array(v, t) for c, v, t in zip(("x", "part", "vblock", "ys"), cols, types, strict=True)})
+
+
+def _block_links(table: pa.Table, p: NearDuplicates) -> pa.Table:
+    """Of one block of a component: a link to it for each asking document, if there is one."""
+    ids, asked = table.column("id").to_pylist(), table.column("ys").to_pylist()
+    buf, offs = buffers(table.column("text").combine_chunks())
+    sets = list(shingle_sets(buf, offs, p.words))
+    of = {i: s for i, ys, s in zip(ids, asked, sets, strict=True) if ys is None}
+    out = []
+    for x, ys, own in zip(ids, asked, sets, strict=True):
+        for y in ys or ():
+            both = len(np.intersect1d(own, of[y], assume_unique=True))
+            if 100 * both >= p.percent * (len(own) + len(of[y]) - both):
+                out.append((x, y))
+                break
+    return pa.table({c: pa.array([r[k] for r in out], pa.int64()) for k, c in enumerate("uv")})
+
+
+def _far_links(known: DataFrame, rest: DataFrame, reps: DataFrame, docs: DataFrame, p: NearDuplicates, ws: Workspace) -> DataFrame:
+    """Links of the members outside their bucket's largest component (``rest``) to members
+    of other components: at least one for each pair of a document and a component that has
+    one. Pairs are formed inside tasks only, between blocks of ``star`` rows at most."""
+
+    def near_blocks(table: pa.Table) -> pa.Table:
+        return _near_blocks(table, p)
+
+    def block_links(table: pa.Table) -> pa.Table:
+        return _block_links(table, p)
+
+    blocks = lambda n: F.ceil(F.col(n) / p.star)
+    size = known.select("rep", "part").distinct().groupBy("part").agg(F.count("*").alias("size"))
+    sizes = rest.groupBy("bucket").agg(F.count("*").alias("n_far"))
+    sizes = ws.table(sizes.join(known.groupBy("bucket").agg(F.count("*").alias("n_all")), "bucket"), "far-sizes")
+    rows = known.join(sizes, "bucket").join(size, "part").join(reps.select("rep", "sig", "bands"), "rep")
+    rows = rows.join(rest.select("bucket", "rep", F.lit(True).alias("is_rest")), ["bucket", "rep"], "left")
+    rows = rows.select("bucket", "rep", "part", F.pmod(F.xxhash64("rep", F.lit(3)), blocks("size")).alias("vblock"), "sig", "bands", F.col("is_rest").isNotNull().alias("rest"), "n_far", "n_all")
+    near = rows.select("*", F.lit(False).alias("far"), F.pmod(F.xxhash64("rep"), blocks("n_all")).alias("yb"), F.explode(F.sequence(F.lit(0).cast("long"), blocks("n_far") - 1)).alias("xb"))
+    far = rows.where("rest").select("*", F.lit(True).alias("far"), F.pmod(F.xxhash64("rep"), blocks("n_far")).alias("xb"), F.explode(F.sequence(F.lit(0).cast("long"), blocks("n_all") - 1)).alias("yb"))
+    cols = ["bucket", "rep", "part", "vblock", "sig", "bands", "rest", "far", "xb", "yb"]
+    asked = near.select(*cols).union(far.select(*cols)).groupBy("bucket", "xb", "yb").applyInArrow(near_blocks, "x long, part long, vblock long, ys array<long>")
+    asked = ws.table(asked, "far-blocks").groupBy("x", "part", "vblock").agg(F.flatten(F.collect_list("ys")).alias("ys"))
+    asked = ws.table(asked, "far-asked")
+    wanted = ws.table(asked.groupBy("part", "vblock").agg(F.count("*").alias("n")), "far-wanted")
+    members = known.select("rep", "part").distinct().join(size, "part").select("rep", "part", F.pmod(F.xxhash64("rep", F.lit(3)), blocks("size")).alias("vblock"))
+    ys = members.join(wanted, ["part", "vblock"]).select(F.col("rep").alias("id"), "part", "vblock", F.explode(F.sequence(F.lit(0).cast("long"), blocks("n") - 1)).alias("salt"), F.lit(None).cast("array<long>").alias("ys"))
+    xs = asked.join(wanted, ["part", "vblock"]).select(F.col("x").alias("id"), "part", "vblock", F.pmod(F.xxhash64("x"), blocks("n")).alias("salt"), "ys")
+    both = ws.table(ys.union(xs), "far-rows")
+    ids = ws.table(both.select(F.col("id").alias("doc_id")).distinct(), "far-ids")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(_few(ids, p.small_ids), "doc_id", "left_semi")
+    texts = texts.groupBy(F.col("doc_id").alias("id")).agg(F.max("text").alias("text"))
+    return ws.table(both.join(texts, "id").groupBy("part", "vblock", "salt").applyInArrow(block_links, "u long, v long"), "far-links")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``doc_id, text``.
 
     Documents with equal sets form one class with one representative; only classes are
     compared. Each bucket of a band first links its members to one pivot. Where that
-    leaves several components in a bucket, another pivot is tried, and then every member
-    outside the bucket's largest component meets all members of other components: no
-    proposed pair between different components stays untested, and groups that have
-    merged cost no further pairs.
+    leaves several components in a bucket, further pivots are tried, one a bucket and turn,
+    until that links few more. Then every member outside the bucket's largest component
+    meets all members of other components: no proposed pair between different components
+    stays untested, and groups that have merged cost no further pairs.
 
     Null and empty texts and texts of white space have an empty set, are linked with
     nothing and kept. Of rows that repeat a doc_id each comes back with that id's
@@ -196,26 +285,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: NearDuplicates = Ne
     asked = ws.table(buckets.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "asked-1")
     links = verify(asked, reps, docs, p, ws, "one")
     parts = ws.table(graph.components(links, ws, "parts-one"), "components-1")
-    for turn in (2, 3):
-        known = buckets.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
-        per_part = known.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep"))["rep"].alias("some"))
+    turn, all_pairs = 1, False
+    while not all_pairs:
+        turn += 1
+        known = ws.table(buckets.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part")), f"known-{turn}")
+        # another pivot in each bucket and turn: who is far from one is near another
+        per_part = known.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(turn)), "rep"))["rep"].alias("some"))
         largest = per_part.groupBy("bucket").agg(
             F.count("*").alias("parts"), F.max(F.struct("n", F.negative("part").alias("part"), "some")).alias("top")
         ).where("parts > 1")
-        largest = largest.select("bucket", F.negative("top.part").alias("top"), F.col("top.some").alias("pivot"))
-        rest = known.join(largest, "bucket").where("part != top")
-        if turn == 2:
-            found = rest.select(F.col("pivot").alias("x"), F.col("rep").alias("y"))
+        largest = ws.table(largest.select("bucket", F.negative("top.part").alias("top"), F.col("top.some").alias("pivot")), f"largest-{turn}")
+        rest = ws.table(known.join(largest, "bucket").where("part != top").select("bucket", "rep", "part", "pivot"), f"rest-{turn}")
+        left = rest.count()
+        all_pairs = turn > p.turns or turn > 2 and left > p.shrink * before
+        before = left
+        if all_pairs:
+            links = links.union(_far_links(known, rest, reps, docs, p, ws))
         else:
-            others = known.select("bucket", F.col("rep").alias("x"), F.col("part").alias("px"))
-            rest = rest.select("bucket", F.col("rep").alias("y"), F.col("part").alias("py"))
-            found = rest.join(others, "bucket").where("px != py").select("x", "y")
-        found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        fresh = ws.table(found.join(asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), f"asked-{turn}")
-        if not fresh.head(1):
-            continue
-        asked = asked.select("a", "b").union(fresh)
-        links = links.union(verify(fresh, reps, docs, p, ws, f"turn{turn}"))
+            found = rest.select(F.col("pivot").alias("x"), F.col("rep").alias("y"))
+            found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            links = links.union(verify(ws.table(found, f"asked-{turn}"), reps, docs, p, ws, f"turn{turn}"))
         parts = ws.table(graph.components(links, ws, f"parts-{turn}"), f"components-{turn}")
     groups = reps.select("set_key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     groups = groups.select("set_key", F.coalesce("component", "rep").alias("component_id"), F.lit(True).alias("full"))
