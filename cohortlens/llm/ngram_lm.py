@@ -248,8 +248,13 @@ def score_texts(docs: DataFrame, p: Interpolation = Interpolation()) -> DataFram
     tokens = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
     pair_bits = max(2, int(np.ceil(np.log2(max(1, tokens / p.bucket_tokens)))))
     word_bits = max(2, pair_bits - 2)
-    parts = ws.table(docs.mapInArrow(partial(_chunked, p=p, word_bits=word_bits, pair_bits=pair_bits), _PARTS), "parts", compression="zstd")
+    chunks = docs.mapInArrow(partial(_chunked, p=p, word_bits=word_bits, pair_bits=pair_bits), _PARTS)
+    chunks.write.option("compression", "zstd").partitionBy("kind").parquet(f"{ws.path}/parts")
+    parts = spark.read.schema(_PARTS).parquet(f"{ws.path}/parts").select(*chunks.columns)
     answers = ws.table(parts.where(F.col("kind") != _STORE).groupBy("kind", "bucket").applyInArrow(_summed, _PARTS), "answers", compression="zstd")
+    for kind in (_WORDS, _PAIRS):  # answered, and half of all bytes
+        ws.drop(f"parts/kind={kind}")
+    parts = spark.read.schema(_PARTS).parquet(f"{ws.path}/parts").select(*chunks.columns)
     sums = [np.frombuffer(r[0], np.int64) for r in answers.where(F.col("kind") == _SUMS).select("ids").toLocalIterator()]
     n, distinct, n_model, _ = np.sum(sums, axis=0).tolist() if sums else (0, 0, 0, 0)
     t = Totals(n, distinct, n_model, pair_bits)
