@@ -14,9 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.vectext import U64, buffers, mix
+from cohortlens.llm.vectext import U64, buffers, mix, small_batches
 
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(lang: str, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    for batch in batches:
+    for batch in small_batches(batches, 1):
         names = np.array(batch.column(0).to_pylist(), dtype=object)
         for lang in dict.fromkeys(names):
             buf, offs = buffers(letters(batch.column(1).filter(pa.array(names == lang))))
@@ -127,7 +127,7 @@ def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
     """The last column is the text; the others go through."""
     f: BitSlicedFilter = shared.value
     false = f.false_rates()
-    for batch in batches:
+    for batch in small_batches(batches, -1):
         buf, offs = buffers(letters(batch.column(batch.num_columns - 1)))
         n = np.zeros(batch.num_rows, np.int64)
         hits = np.zeros((len(f.langs), batch.num_rows))

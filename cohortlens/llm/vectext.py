@@ -67,6 +67,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], text: int, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches with at most ``limit`` bytes of text, or one longer row
+    each, so that what is computed beside them stays small too."""
+    for batch in batches:
+        for i, j in row_groups(buffers(batch.column(text))[1], limit):
+            yield batch.slice(i, j - i)
+
+
 def row_groups(offs: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most ``limit`` bytes, or one longer row each."""
     i, n = 0, len(offs) - 1
