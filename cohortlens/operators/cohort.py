@@ -28,7 +28,7 @@ def stratified_sample(df: DataFrame, strata: list[str], key: str, total: int, le
     Only the candidates, ``most`` a stratum, are ever sorted; the cut to ``total`` is a
     limit, not a window over all."""
     for s in strata:
-        df = df.where(F.col(s).isNotNull() & (F.col(s) != "unknown"))
+        df = df.where(F.col(s).isNotNull() & (F.col(s).cast("string") != "unknown"))
     stratum = F.concat_ws("|", *[F.col(s).cast("string") for s in strata])
     some = first_in_group(df.withColumn("stratum", stratum).withColumn("draw", draw(seed, key)), ["stratum"], [F.col("draw"), F.col(key)], most)
     first = F.col("k") <= least
