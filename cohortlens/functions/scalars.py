@@ -145,6 +145,17 @@ def number_or_null(text: Column, missing: str = "--") -> Column:
     return F.nullif(F.trim(text), F.lit(missing)).try_cast("double")
 
 
+def fixed3(x: Column) -> Column:
+    """A number from 0 up with three decimals, rounded by its exact binary value (half to
+    even), as C does: the product with 1000 is split into two numbers without error."""
+    p, c = x * 1000, x * 134217729.0
+    high = c - (c - x)
+    rest = (high * 1000 - p) + (x - high) * 1000
+    over = (p - F.floor(p) - 0.5) + rest
+    k = (F.floor(p) + F.when((over > 0) | ((over == 0) & (F.floor(p) % 2 == 1)), 1).otherwise(0)).cast("long")
+    return F.format_string("%d.%03d", F.floor(k / 1000), k % 1000)
+
+
 def resolve_column(df: DataFrame, candidates: tuple[str, ...], required: bool = True) -> str | None:
     """The first of several spellings of a column that a table has."""
     for name in candidates:

@@ -30,7 +30,7 @@ def reasons(p: Limits) -> Column:
     """The ordered reasons of a row of ``organism, clade, seq_length, n_fraction,
     non_acgtn_fraction, collection_date, qc, frameshift_qc``; an empty list passes. A null
     clade is excluded as ``missing_clade``; an empty text as clade or organism passes."""
-    col, three = F.col, lambda c: F.format_string("%.3f", F.bround(c.cast("double"), 3))
+    col, three = F.col, S.fixed3
     organism = F.lower("organism")
     known = F.lit(False)
     for word in p.organisms:

@@ -44,21 +44,29 @@ def mask_columns(seq: Column, columns: list[int]) -> Column:
 
 def positions(df: DataFrame, *keep: str) -> DataFrame:
     """``keep``, ``pos`` (from 1), ``base``: a row a position of ``seq``."""
-    bases = F.filter(F.split("seq", ""), lambda c: c != "")
-    return df.select(*keep, F.posexplode(bases).alias("pos", "base")).withColumn("pos", F.col("pos") + 1)
+    return df.select(*keep, F.posexplode(bases(F.col("seq"))).alias("pos", "base")).withColumn("pos", F.col("pos") + 1)
 
 
-def neighbours(seq: Column, i: Column) -> tuple[Column, Column]:
-    return F.when(i > 1, seq.substr(i - 1, F.lit(1))).otherwise(""), seq.substr(i + 1, F.lit(1))
+def bases(seq: Column) -> Column:
+    """A sequence as an array, so that a base is found without counting characters."""
+    return F.filter(F.split(seq, ""), lambda c: c != "")
+
+
+def _around(ref: Column, i: Column) -> tuple[Column, Column]:
+    """The bases before and after place ``i`` (from 0) of an array; null beyond its ends."""
+    return F.when(i > 0, F.get(ref, i - 1)), F.get(ref, i + 1)
 
 
 def eligible_sites(reference: DataFrame) -> DataFrame:
     """``pos, context``: C after T (TC), G before A (GA)."""
-    sites = reference.select("seq", F.explode(F.sequence(F.lit(1), F.length("seq"))).alias("pos")).where(F.length("seq") > 0)
-    before, after = neighbours(F.col("seq"), F.col("pos"))
-    base = F.col("seq").substr(F.col("pos"), F.lit(1))
-    context = F.when((base == "C") & (before == "T"), "TC").when((base == "G") & (after == "A"), "GA")
-    return sites.select("pos", context.alias("context")).where("context IS NOT NULL")
+    ref = reference.select(bases(F.col("seq")).alias("ref"))
+
+    def site(b: Column, i: Column) -> Column:
+        before, after = _around(F.col("ref"), i)
+        return F.struct((i + 1).alias("pos"), F.when((b == "C") & (before == "T"), "TC").when((b == "G") & (after == "A"), "GA").alias("context"))
+
+    found = F.filter(F.transform("ref", site), lambda x: x["context"].isNotNull())
+    return ref.select(F.explode(found).alias("x")).select("x.pos", "x.context")
 
 
 def site_totals(sites: DataFrame) -> DataFrame:
@@ -69,17 +77,19 @@ def variants(genomes: DataFrame, reference: DataFrame, same_length: bool = True)
     """``accession, pos, ref, alt, context``: only the positions that differ are exploded;
     the context is the reference's. ``reference``: one row, ``seq``. Genomes of another
     length are skipped, or compared as far as both go."""
-    ref = F.broadcast(reference.select(F.upper("seq").alias("ref_seq")))  # one row
-    both = genomes.select("accession", F.upper("seq").alias("seq")).join(ref)
-    both = both.where(F.length("seq") == F.length("ref_seq")) if same_length else both
-    n = F.least(F.length("seq"), F.length("ref_seq"))
-    at = lambda s, i: F.col(s).substr(i, F.lit(1))
-    differ = F.filter(F.sequence(F.lit(1), n), lambda i: (at("seq", i) != at("ref_seq", i)) & at("seq", i).isin("A", "C", "G", "T") & at("ref_seq", i).isin("A", "C", "G", "T"))
-    out = both.where(n > 0).select("accession", "ref_seq", "seq", F.explode(differ).alias("pos"))
-    before, after = neighbours(F.col("ref_seq"), F.col("pos"))
-    ref_base, alt = at("ref_seq", F.col("pos")), at("seq", F.col("pos"))
-    context = F.when((ref_base == "C") & (alt == "T") & (before == "T"), "TC").when((ref_base == "G") & (alt == "A") & (after == "A"), "GA")
-    return out.select("accession", "pos", ref_base.alias("ref"), alt.alias("alt"), context.alias("context"))
+    ref = F.broadcast(reference.select(bases(F.upper("seq")).alias("ref")))  # one row
+    both = genomes.select("accession", bases(F.upper("seq")).alias("alt")).join(ref)
+    both = both.where(F.size("alt") == F.size("ref")) if same_length else both
+
+    def change(b: Column, i: Column) -> Column:
+        r = F.get("ref", i)
+        before, after = _around(F.col("ref"), i)
+        context = F.when((r == "C") & (b == "T") & (before == "T"), "TC").when((r == "G") & (b == "A") & (after == "A"), "GA")
+        return F.struct((i + 1).alias("pos"), r.alias("ref"), b.alias("alt"), context.alias("context"))
+
+    known = ("A", "C", "G", "T")
+    differ = F.filter(F.transform("alt", change), lambda x: (x["ref"] != x["alt"]) & x["ref"].isin(*known) & x["alt"].isin(*known))
+    return both.select("accession", F.explode(differ).alias("x")).select("accession", "x.*")
 
 
 def variant_counts(genomes: DataFrame, found: DataFrame) -> DataFrame:
@@ -94,18 +104,18 @@ def occupancy(found: DataFrame) -> DataFrame:
     return found.where("context IS NOT NULL").groupBy("pos", "context").agg(F.count("*").alias("occupancy"))
 
 
-def column_statistics(bases: DataFrame) -> DataFrame:
+def column_statistics(long: DataFrame) -> DataFrame:
     """A row a column of an alignment (``pos, base``): distinct A/C/G/T, share of N and gaps,
     whether it varies, whether it is ambiguous (a tenth or more)."""
     known = F.when(F.col("base").isin("A", "C", "G", "T"), F.col("base"))
-    out = bases.groupBy("pos").agg(F.size(F.collect_set(known)).alias("n_bases"), F.avg(F.col("base").isin("N", "-").cast("double")).alias("missing"))
+    out = long.groupBy("pos").agg(F.size(F.collect_set(known)).alias("n_bases"), F.avg(F.col("base").isin("N", "-").cast("double")).alias("missing"))
     return out.withColumns({"variable": F.col("n_bases") >= 2, "ambiguous": F.col("missing") >= 0.1})
 
 
-def homoplasy_columns(bases: DataFrame, reference: DataFrame) -> DataFrame:
+def homoplasy_columns(long: DataFrame, reference: DataFrame) -> DataFrame:
     """Context sites at which some sequence has the edited base."""
     sites = F.broadcast(eligible_sites(reference))  # of one sequence
-    hit = bases.join(sites, "pos").where(((F.col("context") == "TC") & (F.col("base") == "T")) | ((F.col("context") == "GA") & (F.col("base") == "A")))
+    hit = long.join(sites, "pos").where(((F.col("context") == "TC") & (F.col("base") == "T")) | ((F.col("context") == "GA") & (F.col("base") == "A")))
     return hit.groupBy("pos", "context").agg(F.count("*").alias("n_sequences"))
 
 
@@ -131,17 +141,16 @@ def truncation_ladder(df: DataFrame, levels: tuple[float, ...] = LADDER) -> Data
 
 def reference_columns(aligned_reference: DataFrame) -> DataFrame:
     """``column`` (of the alignment) of each position of the ungapped reference, from 1."""
-    bases = F.filter(F.split("seq", ""), lambda c: c != "")
-    kept = F.filter(F.transform(bases, lambda b, i: F.struct((i + 1).alias("column"), b.alias("base"))), lambda x: x["base"] != "-")
+    kept = F.filter(F.transform(bases(F.col("seq")), lambda b, i: F.struct((i + 1).alias("column"), b.alias("base"))), lambda x: x["base"] != "-")
     return aligned_reference.select(F.posexplode(kept).alias("ref_pos", "x")).select((F.col("ref_pos") + 1).alias("ref_pos"), F.col("x.column").alias("column"))
 
 
-def diagnostic_columns(bases: DataFrame, groups: DataFrame, margin: int = 3) -> DataFrame:
+def diagnostic_columns(long: DataFrame, groups: DataFrame, margin: int = 3) -> DataFrame:
     """Columns whose commonest base differs between two groups, each ahead of its second
     base by ``margin`` sequences. ``groups``: ``accession, grp``."""
     from pyspark.sql import Window as W
 
-    n = bases.where(F.col("base").isin("A", "C", "G", "T")).join(groups, "accession").groupBy("pos", "grp", "base").agg(F.count("*").alias("n"))
+    n = long.where(F.col("base").isin("A", "C", "G", "T")).join(groups, "accession").groupBy("pos", "grp", "base").agg(F.count("*").alias("n"))
     w = W.partitionBy("pos", "grp").orderBy(F.desc("n"), "base")
     top = n.withColumns({"k": F.row_number().over(w), "second": F.coalesce(F.lead("n").over(w), F.lit(0))}).where((F.col("k") == 1) & (F.col("n") - F.col("second") >= margin))
     return top.groupBy("pos").agg(F.count("*").alias("groups"), F.size(F.collect_set("base")).alias("bases"), F.sort_array(F.collect_list(F.concat_ws(":", "grp", "base"))).alias("calls")).where("groups = 2 AND bases = 2").select("pos", "calls")
