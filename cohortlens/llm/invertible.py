@@ -176,13 +176,14 @@ def fingerprint_edits(docs: DataFrame, t: Table = Table()) -> DataFrame:
     table gives an empty one.
     """
     ws = Workspace(docs.sparkSession, "sketch")
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    after = rows.select("id", "text").join(successors(rows, ws), "id").groupBy("id", "before", "need").agg(F.max("text").alias("text"))
+    # both joins take the same columns by the same key, so the texts are shuffled once
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    after = rows.join(successors(rows, ws), "id").groupBy("id", "before", "need").agg(F.max("text").alias("text"))
     after = after.select(F.col("before").alias("id"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("start"), paragraph_digests(F.col("text")).alias("d_next"))
     both = rows.join(after, "id")
     third = F.floor(F.length("text") / 3).cast("int")
     both = both.withColumn("n", F.length("text")).withColumn("third", third)
-    both = both.select("doc_id", "n", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - F.col("third")), F.substring(F.col("start"), F.lit(1), F.col("third"))).alias("edited"), paragraph_digests(F.col("text")).alias("d_own"), "d_next")
+    both = both.select(F.when(F.col("id") > -(1 << 63), F.col("id")).alias("doc_id"), "n", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - F.col("third")), F.substring(F.col("start"), F.lit(1), F.col("third"))).alias("edited"), paragraph_digests(F.col("text")).alias("d_own"), "d_next")
     both = both.select("doc_id", "n", F.sha2("edited", 256).alias("edited_sha256"), "d_own", "d_next", paragraph_digests(F.col("edited")).alias("d_edited"))
     kinds = ("own", "next", "edited")
     both = both.withColumns({f"keyed_{x}": keyed(F.col(f"d_{x}"), t) for x in kinds})
