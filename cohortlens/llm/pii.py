@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class Kind:
     """``prior``: the score of a confirmed span; ``lift`` is added if ``context`` occurs in
-    the 40 characters before it; spans below ``least`` are dropped. ``hint``: what a text
+    the 40 characters before it (or as many as there are after the match before); spans below ``least`` are dropped. ``hint``: what a text
     must have for the pattern to be worth a try."""
 
     name: str
