@@ -13,10 +13,10 @@ def draw(seed: Column | str, key: str) -> Column:
     return F.md5(F.concat_ws(":", seed.cast("string"), F.col(key).cast("string")))
 
 
-def first_in_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
-    """The first ``n`` rows a group, with their place in ``k``. A filter on the place lets
+def first_in_group(df: DataFrame, group: list[str], order: list[Column], n: int, place: str = "k") -> DataFrame:
+    """The first ``n`` rows a group, with their place in a column of that name. A filter on the place lets
     Spark cut groups down before they are shuffled, so a large group is no large task."""
-    return df.withColumn("k", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col("k") <= n)
+    return df.withColumn(place, F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col(place) <= n)
 
 
 def stratified_sample(df: DataFrame, strata: list[str], key: str, total: int, least: int, most: int, seed: str = "42") -> DataFrame:
@@ -30,11 +30,12 @@ def stratified_sample(df: DataFrame, strata: list[str], key: str, total: int, le
     for s in strata:
         df = df.where(F.col(s).isNotNull() & (F.col(s).cast("string") != "unknown"))
     stratum = F.concat_ws("|", *[F.col(s).cast("string") for s in strata])
-    some = first_in_group(df.withColumn("stratum", stratum).withColumn("draw", draw(seed, key)), ["stratum"], [F.col("draw"), F.col(key)], most)
-    first = F.col("k") <= least
-    some = some.withColumn("turn", F.when(first, 0).otherwise(F.col("k"))).withColumn("place", F.when(first, F.col("draw")).otherwise(draw(seed, "stratum")))
-    out = some.orderBy("turn", "place", "k", key).limit(total)
-    return out.withColumn("allocation_pass", F.when(F.col("k") <= least, 1).otherwise(2)).drop("k", "turn", "place", "draw", "stratum")
+    some = df.withColumns({"__stratum": stratum, "__draw": draw(seed, key)})
+    some = first_in_group(some, ["__stratum"], [F.col("__draw"), F.col(key)], most, "__k")
+    first = F.col("__k") <= least
+    some = some.withColumns({"__turn": F.when(first, 0).otherwise(F.col("__k")), "__place": F.when(first, F.col("__draw")).otherwise(draw(seed, "__stratum"))})
+    out = some.orderBy("__turn", "__place", "__k", key).limit(total)
+    return out.select(*df.columns, F.when(F.col("__k") <= least, 1).otherwise(2).alias("allocation_pass"))
 
 
 def subsamples(df: DataFrame, key: str, share: float, replicates: int, seed: int = 42) -> DataFrame:
@@ -42,8 +43,8 @@ def subsamples(df: DataFrame, key: str, share: float, replicates: int, seed: int
     ``round(n * share)`` rows (half to even) for each of several seeds."""
     n = df.count()
     each = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    each = each.withColumn("draw", draw(F.col("replicate") + seed, key))
-    return first_in_group(each, ["replicate"], [F.col("draw"), F.col(key)], round(n * share)).drop("k", "draw")
+    each = each.withColumn("__draw", draw(F.col("replicate") + seed, key))
+    return first_in_group(each, ["replicate"], [F.col("__draw"), F.col(key)], round(n * share), "__k").drop("__k", "__draw")
 
 
 def without_latest(df: DataFrame, date: str, key: str, share: float) -> DataFrame:

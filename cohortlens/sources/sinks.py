@@ -12,7 +12,7 @@ def write_tsv(df: DataFrame, path: str) -> None:
 
 
 def wrapped(seq: Column, width: int = 80) -> Column:
-    return F.rtrim(F.regexp_replace(seq, f"(.{{{width}}})", "$1\n"))
+    return F.regexp_replace(F.regexp_replace(seq, f"(.{{{width}}})", "$1\n"), "\n$", "")
 
 
 def write_fasta(records: DataFrame, path: str, keep: DataFrame | None = None, wrap: int | None = None) -> None:
