@@ -297,6 +297,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: NearDuplicates = Ne
         largest = ws.table(largest.select("bucket", F.negative("top.part").alias("top"), F.col("top.some").alias("pivot")), f"largest-{turn}")
         rest = ws.table(known.join(largest, "bucket").where("part != top").select("bucket", "rep", "part", "pivot"), f"rest-{turn}")
         left = rest.count()
+        if not left:
+            break
         all_pairs = turn > p.turns or turn > 2 and left > p.shrink * before
         before = left
         if all_pairs:
