@@ -138,6 +138,26 @@ def test_decontamination(spark, odd, empty):
     assert semantic.contaminated(odd, bench).count() == 0 and semantic.contaminated(empty, bench).count() == 0 and semantic.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_thousands_of_items(spark):
+    """Word-for-word and edited copies (three of four words kept) of any of 3000 items are found."""
+    import random
+
+    r = random.Random(8)
+    known = ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9))) for _ in range(6000)]
+    text = lambda n: [known[min(int(r.paretovariate(0.5)) - 1, 10**9) % len(known)] if r.random() < 0.4 else r.choice(known) for _ in range(n)]
+    item = {k: text(r.randint(12, 64)) for k in range(3000)}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in item.items()], "item_id long, text string")
+    texts, want = [], set()
+    for i in range(400):
+        k = r.randrange(3000)
+        copy = item[k] if i % 2 else [r.choice(known) if j % 4 == 1 else w for j, w in enumerate(item[k])]
+        texts.append((i, " ".join([*text(r.randint(0, 90)), *copy, *text(r.randint(0, 90))]), "en", "s"))
+        want.add((i, k))
+    texts += [(1000 + i, " ".join(text(300)), "en", "s") for i in range(40)]
+    got = {(x.doc_id, x.item_id) for x in semantic.contaminated(spark.createDataFrame(rows_of(texts), SCHEMA).repartition(4), bench).collect()}
+    assert got == want
+
+
 def test_common_subsequence():
     import random
 
