@@ -158,6 +158,19 @@ def test_thousands_of_items(spark):
     assert got == want
 
 
+def test_passage_of_a_long_item(spark):
+    """64 words from anywhere in a long item are a passage of it; 20 are not."""
+    item = [f"{w}{k % 61}" for k, w in enumerate(prose(70, 230).split())]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, prose(71, 200))], "item_id long, text string")
+    starts = [0, 17, 48, 80, 111, 150, 166]
+    texts = [(k, f"{prose(k, 60)} {' '.join(item[s : s + 64])} {prose(k + 90, 60)}", "en", "s") for k, s in enumerate(starts)]
+    texts += [(100, f"{prose(5, 60)} {' '.join(item[40:60])} {prose(6, 60)}", "en", "s"), (101, " ".join(item), "en", "s"), (102, prose(72, 300), "en", "s")]
+    # two ends of the item, and other words between: 140 of 230
+    texts += [(103, " ".join([*item[:88], *prose(7, 45).split(), *item[142:]]), "en", "s")]
+    got = {(x.doc_id, x.item_id) for x in semantic.contaminated(spark.createDataFrame(rows_of(texts), SCHEMA), bench).collect()}
+    assert got == {(k, 1) for k in range(len(starts))} | {(101, 1), (103, 1)}
+
+
 def test_common_subsequence():
     import random
 
