@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortlens.operators.ranges import first_rows
+
 
 def draw(seed: Column | str, key: str) -> Column:
     """A reproducible order: the MD5 of seed and key."""
@@ -44,13 +46,13 @@ def subsamples(df: DataFrame, key: str, share: float, replicates: int, seed: int
     n = df.count()
     each = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     each = each.withColumn("__draw", draw(F.col("replicate") + seed, key))
-    return first_in_group(each, ["replicate"], [F.col("__draw"), F.col(key)], round(n * share), "__k").drop("__k", "__draw")
+    return first_rows(each, ["replicate"], [F.col("__draw"), F.col(key)], round(n * share)).drop("__draw")
 
 
 def without_latest(df: DataFrame, date: str, key: str, share: float) -> DataFrame:
     """All but the last ``round(n * share)`` rows by date; ties by key, null dates last."""
     n = df.count()
-    return df.orderBy(F.col(date).asc_nulls_last(), F.col(key)).limit(n - round(n * share))
+    return first_rows(df, [], [F.col(date).asc_nulls_last(), F.col(key)], n - round(n * share))
 
 
 def matched_random(candidates: DataFrame, taken: DataFrame, key: str, n: int, seed: str) -> DataFrame:

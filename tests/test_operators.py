@@ -165,6 +165,28 @@ def test_trees(spark):
     assert got["A"] == "n1" and got["B"] == "B" and got["D"] == got["E"] == "n2" and got["C"] == "n2"
 
 
+def test_cuts_by_ranges(spark):
+    """The same rows as a sort of everything, without a limit or window over all of them."""
+    rows = [(i, None if i % 50 == 0 else (i * 7919) % 400) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, d int").repartition(7)
+    order = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0]))
+    for share in (0.1, 0.0, 0.335, 1.0):
+        got = cohort.without_latest(df, "d", "k", share)
+        assert "Limit" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(r.k for r in got.collect()) == sorted(k for k, _ in order[: 3000 - round(3000 * share)])
+    import hashlib
+
+    some = cohort.subsamples(df, "k", 0.3, 3)
+    assert "replicate#" in (plan := some._jdf.queryExecution().optimizedPlan().toString()) and "__range" in plan  # a replicate is not one window
+    got = {(r.replicate, r.k) for r in some.collect()}
+    want = set()
+    for r in (1, 2, 3):
+        draws = sorted((hashlib.md5(f"{r + 42}:{k}".encode()).hexdigest(), k) for k, _ in rows)
+        want |= {(r, k) for _, k in draws[:900]}
+    assert got == want
+    assert cohort.without_latest(df.limit(0), "d", "k", 0.1).count() == 0 and cohort.subsamples(df.limit(0), "k", 0.5, 2).count() == 0
+
+
 def test_streamed_intake(spark, tmp_path):
     schema = "organism string, clade string, seq_length long, n_fraction double, non_acgtn_fraction double, collection_date string, qc string, frameshift_qc string, at timestamp"
     rows = [("mpxv", "Ia", 10, 0.0, 0.0, "2024", "good", "good"), ("mpxv", "Ia", 197_000, 0.0, 0.0, "2024-05-01", "good", "good")]
