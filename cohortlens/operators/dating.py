@@ -68,8 +68,23 @@ def profile_summary(profile: DataFrame, *groups: str, least_range: float = 2.0)
     return profile.groupBy(*groups).agg(spread.alias("ll_range"), (spread < least_range).alias("poorly_identified"), F.min_by("t0", "nll").alias("t0"))
 
 
-def _fit(day: np.ndarray, k: np.ndarray, sites: float, saturated: bool, low: float, high: float, starts: np.ndarray | None = None) -> tuple[float, float, float]:
-    """Best (t0, rate, nll): a dense search over t0, the best rate at each by bisection of the
+def by_day(counts: DataFrame, *groups: str) -> DataFrame:
+    """A row a day and group: how many rows (``n``) and their sum (``k``). The likelihood of
+    either model, and the sum of Poisson draws of one mean, depend on no more than these; so
+    what a task holds follows the calendar, not the table."""
+    return counts.groupBy(*groups, "day").agg(F.count("*").cast("double").alias("n"), F.sum("k").cast("double").alias("k"))
+
+
+def _days() -> Column:
+    return F.sort_array(F.collect_list(F.struct(F.col("day").cast("double").alias("day"), "n", "k"))).alias("days")
+
+
+def _arrays(days) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.array([float("nan") if x[c] is None else x[c] for x in days]) for c in ("day", "n", "k"))
+
+
+def _fit(day: np.ndarray, n: np.ndarray, k: np.ndarray, sites: float, saturated: bool, low: float, high: float, starts: np.ndarray | None = None) -> tuple[float, float, float]:
+    """Best (t0, rate, nll) for ``n`` genomes with ``k`` changes a day: a dense search over t0, the best rate at each by bisection of the
     score (saturation) or in closed form (linear), then golden sections around the best."""
 
     def at(t0: float) -> tuple[float, float]:
@@ -77,15 +92,15 @@ def _fit(day: np.ndarray, k: np.ndarray, sites: float, saturated: bool, low: flo
         if a.min() <= 0 or k.sum() == 0:
             return 1e-10, 1e18
         if not saturated:
-            rate = k.sum() / (sites * a.sum())
-            return rate, float(-(k * np.log(sites * rate * a) - sites * rate * a).sum())
+            rate = k.sum() / (sites * (n * a).sum())
+            return rate, float(-(k * np.log(sites * rate * a) - n * sites * rate * a).sum())
         lo, hi = 1e-12, 1.0
         for _ in range(80):
             mid = np.sqrt(lo * hi)
             e = np.exp(-mid * a)
-            lo, hi = (mid, hi) if (k * a * e / np.maximum(1 - e, 1e-300)).sum() > sites * (a * e).sum() else (lo, mid)
+            lo, hi = (mid, hi) if (k * a * e / np.maximum(1 - e, 1e-300)).sum() > sites * (n * a * e).sum() else (lo, mid)
         mu = sites * -np.expm1(-lo * a)
-        return lo, float(-(k * np.log(mu) - mu).sum())
+        return lo, float(-(k * np.log(mu) - n * mu).sum())
 
     grid_ = np.linspace(low, high, 60) if starts is None else starts
     best = min(grid_, key=lambda t: at(t)[1])
@@ -100,38 +115,40 @@ def _fit(day: np.ndarray, k: np.ndarray, sites: float, saturated: bool, low: flo
 
 
 def fit_groups(counts: DataFrame, sites: float, low: float, model: str = "saturation", group: str = "cluster_id") -> DataFrame:
-    """``t0, rate, nll`` of each group of ``day, k`` (a cohort, whose size is bounded by the
-    study; replicates and clusters are what there may be many of)."""
+    """``t0, rate, nll`` of each group of ``day, k``, from the sums of its days."""
     kind = dict(counts.dtypes)[group]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        day, k = pdf["day"].to_numpy(float), pdf["k"].to_numpy(float)
-        t0, rate, nll = _fit(day, k, sites, model == "saturation", low, day.min() - 1)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "n": [len(pdf)], "t0": [t0], "rate": [rate], "nll": [nll]})
+        day, n, k = (pdf[c].to_numpy(float) for c in ("day", "n", "k"))
+        t0, rate, nll = _fit(day, n, k, sites, model == "saturation", low, day.min() - 1)
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "n": [int(n.sum())], "t0": [t0], "rate": [rate], "nll": [nll]})
 
-    return counts.select(group, "day", "k").groupBy(group).applyInPandas(fit, f"{group} {kind}, n long, t0 double, rate double, nll double")
+    return by_day(counts, group).groupBy(group).applyInPandas(fit, f"{group} {kind}, n long, t0 double, rate double, nll double")
 
 
 def bootstrap(counts: DataFrame, sites: float, low: float, replicates: int = 2000, model: str = "saturation", group: str = "cluster_id", seed: int = 42) -> DataFrame:
     """``t0_low, t0_high``: percentiles 2.5 and 97.5 of refits to Poisson draws around each
-    group's fit; a replicate is a row, so replicates spread over the cluster."""
+    group's fit. Draws are of a day's sum, which has the same distribution as the sum of its
+    rows' draws; replicates go over the cluster in 64 parts a group."""
     kind = dict(counts.dtypes)[group]
     fits = fit_groups(counts, sites, low, model, group)
-    rows = counts.groupBy(group).agg(F.collect_list("day").alias("days")).join(fits, group)
-    each = rows.select(group, "days", "t0", "rate", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    rows = by_day(counts, group).groupBy(group).agg(_days()).join(fits.drop("n"), group)
+    each = rows.select(group, "days", "t0", "rate", F.explode(F.sequence(F.lit(1), F.lit(min(64, replicates)))).alias("part"))
 
     def refit(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                day = np.asarray(r.days, float)
+                day, n, _ = _arrays(r.days)
                 age = np.maximum(day - r.t0, 0)
                 mu = sites * -np.expm1(-r.rate * age) if model == "saturation" else sites * r.rate * age
-                k = np.random.default_rng([seed, r.replicate]).poisson(mu)
-                out.append((getattr(r, group), _fit(day, k, sites, model == "saturation", low, day.min() - 1, np.linspace(max(low, r.t0 - 365), min(day.min() - 1, r.t0 + 365), 15))[0]))
+                starts = np.linspace(max(low, r.t0 - 365), min(day.min() - 1, r.t0 + 365), 15)
+                for replicate in range(r.part, replicates + 1, 64):
+                    k = np.random.default_rng([seed, replicate]).poisson(n * mu)
+                    out.append((getattr(r, group), _fit(day, n, k, sites, model == "saturation", low, day.min() - 1, starts)[0]))
             yield pd.DataFrame(out, columns=[group, "t0"])
 
-    drawn = each.repartition(F.col(group), F.col("replicate") % 64).mapInPandas(refit, f"{group} {kind}, t0 double")
+    drawn = each.repartition(F.col(group), F.col("part")).mapInPandas(refit, f"{group} {kind}, t0 double")
     return drawn.groupBy(group).agg(F.percentile("t0", F.lit(0.025)).alias("t0_low"), F.percentile("t0", F.lit(0.975)).alias("t0_high"), F.count("*").alias("replicates"))
 
 
@@ -139,20 +156,20 @@ def start_trajectories(counts: DataFrame, sites: float, low: float, starts: int
     """A row a start date: where a local search from it ends, and the basin of that year."""
     from cohortlens.functions import scalars as S
 
-    rows = counts.agg(F.collect_list("day").alias("days"), F.collect_list("k").alias("ks"))
-    last = F.array_min("days") - 1
+    rows = by_day(counts).agg(_days())
+    last = F.array_min("days.day") - 1
     each = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))).alias("start_idx")).withColumn("t0_init", F.lit(low) + (last - low) * F.col("start_idx") / max(1, starts - 1))
 
     def climb(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                day, k = np.asarray(r.days, float), np.asarray(r.ks, float)
+                day, n, k = _arrays(r.days)
                 near = np.array([r.t0_init])
-                out.append((r.start_idx, r.t0_init, *_fit(day, k, sites, True, max(low, r.t0_init - 365), min(day.min() - 1, r.t0_init + 365), near)))
+                out.append((r.start_idx, r.t0_init, *_fit(day, n, k, sites, True, max(low, r.t0_init - 365), min(day.min() - 1, r.t0_init + 365), near)))
             yield pd.DataFrame(out, columns=["start_idx", "t0_init", "t0", "rate", "nll"])
 
-    done = each.select("days", "ks", "start_idx", "t0_init").mapInPandas(climb, "start_idx int, t0_init double, t0 double, rate double, nll double")
+    done = each.repartition("start_idx").select("days", "start_idx", "t0_init").mapInPandas(climb, "start_idx int, t0_init double, t0 double, rate double, nll double")
     return done.withColumn("basin", S.basin(S.decimal_year(S.from_ordinal(F.col("t0")))))
 
 

@@ -523,7 +523,7 @@ def ml_fit(spark, sf):
 
 @query()
 def ml_bootstrap(spark, sf):
-    return dating.bootstrap(counts(spark, sf), 23140.0, 738000.0, 40, "linear", group="g")
+    return dating.bootstrap(counts(spark, sf), 23140.0, 738000.0, model="linear", group="g")
 
 
 @query()

@@ -102,3 +102,8 @@ def test_whole_sequences(spark, tmp_path):
         if len(top) == 2 and len(set(top.values())) == 2:
             calls.append((i, tuple(sorted(f"{g}:{c}" for g, c in top.items()))))
     assert key(run("diagnostic")) == key(calls)
+
+
+def test_bootstrap_replicates(spark):
+    if os.path.isdir(SF):
+        assert {r.replicates for r in entry.queries()["ml_bootstrap"](spark, SF).collect()} == {2000}

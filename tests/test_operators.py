@@ -153,6 +153,27 @@ def test_dating(spark):
     assert math.isfinite(dating.root_to_tip(df).first().slope)
 
 
+def test_dating_by_day(spark):
+    """Fits see a row a day however many rows there are, with the likelihood of all rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    day = rng.integers(738_500, 738_530, 6000).astype(float)
+    sites, low = 23_140.0, 736_000.0
+    k = rng.poisson(sites * -np.expm1(-3e-7 * (day - 738_000.0))).astype(float)
+    df = spark.createDataFrame([("xy"[i % 2], float(d), float(v)) for i, (d, v) in enumerate(zip(day, k, strict=True))], "cluster_id string, day double, k double")
+    days = dating.by_day(df, "cluster_id").collect()
+    assert len(days) == 60 and sum(r.n for r in days) == 6000 and sum(r.k for r in days) == k.sum()
+    for model in ("saturation", "linear"):
+        for r in dating.fit_groups(df, sites, low, model).collect():
+            at = np.arange(6000) % 2 == "xy".index(r.cluster_id)
+            age = day[at] - r.t0
+            mu = sites * (-np.expm1(-r.rate * age) if model == "saturation" else r.rate * age)
+            assert r.n == 3000 and r.nll == pytest.approx(-(k[at] * np.log(mu) - mu).sum(), rel=1e-9)
+    b = dating.bootstrap(df, sites, low, 130, "linear").collect()
+    assert [r.replicates for r in b] == [130, 130] and all(r.t0_low < r.t0_high for r in b)
+
+
 def test_trees(spark):
     from cohortlens.sources.files import tree_edges
 
