@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortlens.operators.ranges import ranged
+
 
 def wilson(k: Column, n: Column, alpha: float = 0.05) -> tuple[Column, Column]:
     """Score interval of a proportion; (0, 0) without trials."""
@@ -53,21 +55,30 @@ def proportion_test(k: int, n: int, p0: float = 0.7, halt: float = 0.5, alpha: f
     return {"k": k, "n": n, "fraction": p, "wilson_low": low, "wilson_high": high, "p_value": binomial_tail(k, n, p0), "h1_supported": low > p0, "verdict": verdict, "halt": p < halt}
 
 
+def places(n: DataFrame, value: str, count: str) -> DataFrame:
+    """``__place`` of each distinct value, ties averaged: its place in its range of values, after
+    the rows of the ranges before, so that no task sorts all values."""
+    w = W.partitionBy("__range").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    place = F.col("__before") + F.sum(count).over(w) - (F.col(count) - 1) / 2.0
+    return ranged(n, [], [F.col(value)], F.col(count)).withColumn("__place", place).select(*n.columns, "__place")
+
+
 def ranked(df: DataFrame, value: str, *groups: str) -> DataFrame:
     """``rank_<value>``: places from 1, ties averaged. Ranks come from the counts of distinct
     values, so that a large group of ties is one row of the window."""
     n = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("__n"))
+    if not groups:
+        return df.join(places(n, value, "__n").select(value, F.col("__place").alias(f"rank_{value}")), value)
     w = W.partitionBy(*groups).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    places = n.select(*groups, value, (F.sum("__n").over(w) - (F.col("__n") - 1) / 2.0).alias(f"rank_{value}"))
-    return df.join(places, [*groups, value])
+    of_group = n.select(*groups, value, (F.sum("__n").over(w) - (F.col("__n") - 1) / 2.0).alias(f"rank_{value}"))
+    return df.join(of_group, [*groups, value])
 
 
 def rank_sum(df: DataFrame, value: str, in_first: str) -> DataFrame:
     """Mann-Whitney U of the rows with ``in_first`` against the others: ``n1, n2, u``, the
     tie-corrected ``z`` with continuity, and the one-sided ``p_greater``."""
     n = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("t"), F.count_if(F.col(in_first)).alias("t1"))
-    w = W.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    agg = n.select("t", "t1", (F.sum("t").over(w) - (F.col("t") - 1) / 2.0).alias("rank")).agg(
+    agg = places(n, value, "t").select("t", "t1", F.col("__place").alias("rank")).agg(
         F.sum("t1").alias("n1"), F.sum(F.col("t") - F.col("t1")).alias("n2"), F.sum(F.col("t1") * F.col("rank")).alias("r1"), F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("ties")
     )
     both = F.col("n1") + F.col("n2")

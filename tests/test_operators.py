@@ -208,6 +208,20 @@ def test_cuts_by_ranges(spark):
     assert cohort.without_latest(df.limit(0), "d", "k", 0.1).count() == 0 and cohort.subsamples(df.limit(0), "k", 0.5, 2).count() == 0
 
 
+def test_ranks_by_ranges(spark):
+    values = [(i * 7919) % 700 / 4 for i in range(2000)] + [None]
+    df = spark.createDataFrame([(i, v, i % 3 == 0) for i, v in enumerate(values)], "k long, v double, f boolean").repartition(5)
+    known = sorted(v for v in values if v is not None)
+    place = {v: known.index(v) + (known.count(v) + 1) / 2 for v in set(known)}
+    got = stats.ranked(df, "v")
+    windows = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x and "v#" in x]
+    assert windows and all("__range" in x for x in windows)  # no window over all values
+    assert {r.k: r.rank_v for r in got.collect()} == {i: place[v] for i, v in enumerate(values) if v is not None}
+    first = [v for i, v in enumerate(values[:-1]) if i % 3 == 0]
+    u = stats.rank_sum(df, "v", "f").first()
+    assert (u.n1, u.u) == (len(first), sum(place[v] for v in first) - len(first) * (len(first) + 1) / 2)
+
+
 def test_streamed_intake(spark, tmp_path):
     schema = "organism string, clade string, seq_length long, n_fraction double, non_acgtn_fraction double, collection_date string, qc string, frameshift_qc string, at timestamp"
     rows = [("mpxv", "Ia", 10, 0.0, 0.0, "2024", "good", "good"), ("mpxv", "Ia", 197_000, 0.0, 0.0, "2024-05-01", "good", "good")]
