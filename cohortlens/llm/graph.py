@@ -23,15 +23,17 @@ def _toward_minimum(edges: DataFrame, both_ways: bool) -> DataFrame:
 def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
     """``(node, component)`` for every node of an edge table ``(u, v)``, the component
     being its smallest node. Loops and repeated edges are ignored; no edges give an empty
-    table. Each contraction is a written table, so the plan stays short."""
-    now = ws.table(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
-    seen, step = None, 0
+    table. Each contraction is a written table, so the plan stays short; it is the last
+    once every node points at one other, which points nowhere."""
+    now = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    step = 0
     while True:
         step += 1
         now = ws.table(_toward_minimum(_toward_minimum(now, True), False).distinct(), f"{name}-{step}")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        ws.drop(f"{name}-{step - 1}")
-        if state == seen:
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not ends.where("up > 1 OR up = 1 AND down = 1").head(1):
             break
-        seen = state
+        if step > 1:
+            ws.drop(f"{name}-{step - 1}")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

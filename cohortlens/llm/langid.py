@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.vectext import U64, buffers, mix, small_batches
+from cohortlens.llm.vectext import U64, buffers, mix, small_arrow, small_batches
 
 _SLICE = 1 << 18
 
@@ -102,6 +102,7 @@ class BitSlicedFilter:
 def learn(train: DataFrame, p: LanguageFilters = LanguageFilters()) -> BitSlicedFilter:
     """The filter of all languages in ``doc_id, text, lang``; rows without a language or
     without text teach nothing. Up to 64 languages have a bit; more are an error."""
+    small_arrow(train.sparkSession)
     train = train.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", "text")
     rows = {r["lang"]: r["count"] for r in train.groupBy("lang").count().orderBy("lang").limit(65).collect()}
     if len(rows) > 64:
@@ -123,12 +124,12 @@ def learn(train: DataFrame, p: LanguageFilters = LanguageFilters()) -> BitSliced
     return out
 
 
-def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """The last column is the text; the others go through."""
+def _predict(batches: Iterator[pa.RecordBatch], shared, text: int, keep: int, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    """Column ``text`` is the text; the first ``keep`` go through."""
     f: BitSlicedFilter = shared.value
     false = f.false_rates()
-    for batch in small_batches(batches, -1):
-        buf, offs = buffers(letters(batch.column(batch.num_columns - 1)))
+    for batch in small_batches(batches, text):
+        buf, offs = buffers(letters(batch.column(text)))
         n = np.zeros(batch.num_rows, np.int64)
         hits = np.zeros((len(f.langs), batch.num_rows))
         for g, row in grams(buf, offs):
@@ -145,24 +146,32 @@ def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
         else:
             score, pred = np.zeros(len(n)), ["und"] * len(n)
         score = np.where(has_letter, score, 0.0)
-        kept = [batch.column(k) for k in range(batch.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score)], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+        kept = [batch.column(k) for k in range(keep)]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score)], names=[*batch.schema.names[:keep], *names])
 
 
-def identify(docs: DataFrame, f: BitSlicedFilter, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``keep`` columns, ``lang_pred`` and ``score`` of each row.
+def identify(docs: DataFrame, f: BitSlicedFilter, keep: tuple[str, ...] = ("doc_id",), text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns and, under ``names``, language and score of each row. A text among
+    the kept columns goes to Python once.
 
     ``und`` with score 0 where the text is null or has no letter, or where no language was
     learned; otherwise the language with most n-grams of the text (ties: the first by
     name) and the share of n-grams it has, both after the correction. Repeated rows are
-    answered alike; an empty table gives an empty one; further columns are ignored.
+    answered alike; an empty table gives an empty one; further columns are ignored. A kept
+    column with one of the ``names`` is replaced.
     """
     spark = docs.sparkSession
-    kept = docs.select(*keep)
-    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in kept.schema)
+    small_arrow(spark)
+    keep = tuple(c for c in keep if c not in names)
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
+    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in [*kept.schema])
     shared = spark.sparkContext.broadcast(f)
-    # the text goes last under a name of its own, whatever the kept columns are called
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(partial(_predict, shared=shared), f"{schema}, lang_pred string, score double")
+    if text in keep and dict(kept.dtypes)[text] == "string":
+        sent, at = kept, keep.index(text)
+    else:
+        sent, at = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text")), len(keep)
+    told = f"`{names[0]}` string, `{names[1]}` double"
+    return sent.mapInArrow(partial(_predict, shared=shared, text=at, keep=len(keep), names=names), f"{schema}, {told}" if keep else told)
 
 
 def fold(doc_id: str, of: int):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import graph
-from cohortlens.llm.vectext import U64, binary_column, buffers, fixed_rows, mix, pair, row_groups, word_hashes
+from cohortlens.llm.vectext import U64, binary_column, buffers, fixed_rows, mix, pair, row_groups, small_arrow, word_hashes
 from cohortlens.workspace import Workspace
 
 
@@ -25,10 +25,10 @@ class NearDuplicates:
     ``bands`` x ``rows`` minima propose pairs: at similarity 0.8 the defaults miss a pair
     with a chance of 6e-5, at less than that for every closer pair. ``batch`` minima at a
     time are compared; a pair goes when the posterior chance (uniform prior) that its
-    similarity reaches the threshold is below ``miss``. Up to ``star`` partners are
-    verified beside one copy of their pivot's text. Pivots are tried up to ``turns`` times,
-    and as long as a turn leaves ``shrink`` of the unlinked members or less. ``small_ids`` bounds the id lists that
-    are broadcast; longer ones are joined by a shuffle.
+    similarity reaches the threshold is below ``miss``. About ``star`` partners are
+    verified beside one copy of their pivot's text; blocks of a component that texts are
+    compared with have ``star`` members or ``block_shingles`` shingles. ``small_ids``
+    bounds the id lists that are broadcast; longer ones are joined by a shuffle.
     """
 
     words: int = 5
@@ -38,9 +38,8 @@ class NearDuplicates:
     batch: int = 32
     miss: float = 1e-6
     star: int = 256
-    turns: int = 8
-    shrink: float = 0.85
-    small_ids: int = 500_000
+    block_shingles: int = 1 << 19
+    small_ids: int = 100_000
     seed: int = 11
 
 
@@ -130,47 +129,66 @@ def _prune(batches: Iterator[pa.RecordBatch], p: NearDuplicates) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(alive)) for k in (0, 1)], names=["a", "b"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], p: NearDuplicates) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group, the pivot's own first: partners whose whole set is close."""
-    pivot, group = None, None
+def _close(own: np.ndarray, other: np.ndarray, p: NearDuplicates) -> bool:
+    if 100 * min(len(own), len(other)) < p.percent * max(len(own), len(other)):
+        return False
+    both = len(np.intersect1d(own, other, assume_unique=True))
+    return 100 * both >= p.percent * (len(own) + len(other) - both)
+
+
+def _group_links(batches: Iterator[pa.RecordBatch], p: NearDuplicates) -> Iterator[pa.RecordBatch]:
+    """Rows ``part, block, salt, id, ys, text`` sorted by group, in each the known documents
+    (``ys`` null) first: for each other row a link to one of the ``ys`` it asks for. Only
+    the sets of a group's known documents are held."""
+    group, known = None, {}
     for batch in batches:
-        a, salt, b = (batch.column(k).to_pylist() for k in range(3))
-        buf, offs = buffers(batch.column(3))
-        kept: list[int] = []
+        keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+        ids, asked = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+        buf, offs = buffers(batch.column(5))
+        out = []
         for i, j in row_groups(offs, 1 << 18):
             for k, own in enumerate(shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], p.words), i):
-                if b[k] is None:
-                    pivot, group = own, (a[k], salt[k])
+                if keys[k] != group:
+                    group, known = keys[k], {}
+                if asked[k] is None:
+                    known.setdefault(ids[k], []).append(own)
                     continue
-                assert group == (a[k], salt[k]), "a group without its pivot"
-                if 100 * min(len(own), len(pivot)) < p.percent * max(len(own), len(pivot)):
-                    continue
-                both = len(np.intersect1d(own, pivot, assume_unique=True))
-                if 100 * both >= p.percent * (len(own) + len(pivot) - both):
-                    kept.append(k)
-        yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(kept, pa.int64())) for k in (0, 2)], names=["u", "v"])
+                hit = next((y for y in asked[k] if any(_close(own, other, p) for other in known[y])), None)
+                if hit is not None:
+                    out.append((hit, ids[k]))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
 
 def _few(df: DataFrame, limit: int) -> DataFrame:
-    """Broadcast a written table of ids only where its counted rows are within a bound."""
+    """Broadcast a written table only where its counted rows are within a bound."""
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, p: NearDuplicates, ws: Workspace, name: str) -> DataFrame:
+def _confirmed(asked: DataFrame, docs: DataFrame, p: NearDuplicates, ws: Workspace, name: str) -> DataFrame:
+    """Links ``u, v`` of ``part, block, x, ys``: whether document ``x`` is close to one of
+    the documents ``ys`` by their whole sets. A block has ``star`` different ys or so; many
+    askers of one block are dealt to several groups, each with the block's texts once."""
+    asked = ws.table(asked, f"{name}-asked")
+    salts = asked.groupBy("part", "block").agg(F.ceil(F.count("*") / p.star).alias("n"))
+    xs = asked.join(salts, ["part", "block"]).select("part", "block", F.pmod(F.xxhash64("x"), "n").alias("salt"), F.col("x").alias("id"), "ys", "n")
+    ys = xs.select("part", "block", "salt", F.explode("ys").alias("id")).distinct().select("*", F.lit(None).cast("array<long>").alias("ys"))
+    rows = ws.table(ys.union(xs.drop("n").select("part", "block", "salt", "id", "ys")), f"{name}-rows")
+    ids = ws.table(rows.select(F.col("id").alias("doc_id")).distinct(), f"{name}-ids")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(_few(ids, p.small_ids), "doc_id", "left_semi")
+    # an id may repeat in the input, with one text or several
+    texts = texts.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("text").alias("texts"))
+    whole = rows.join(texts, "id").select("part", "block", "salt", "id", "ys", F.explode("texts").alias("text"))
+    whole = whole.repartition("part", "block", "salt").sortWithinPartitions("part", "block", "salt", F.col("ys").asc_nulls_first())
+    return ws.table(whole.mapInArrow(partial(_group_links, p=p), "u long, v long"), f"{name}-links")
+
+
+def verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, p: NearDuplicates, ws: Workspace, name: str) -> DataFrame:
     """The pairs ``(a, b)`` of representatives whose whole shingle sets are close enough."""
-    sigs = reps.select("rep", "sig")
+    sigs = sigs.select("rep", "sig")
     both = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
-    close = ws.table(both.mapInArrow(partial(_prune, p=p), "a long, b long"), f"{name}-close")
-    ids = ws.table(close.select("a").union(close.select("b")).distinct().toDF("doc_id"), f"{name}-ids")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(_few(ids, p.small_ids), "doc_id", "left_semi")
-    salts = close.groupBy("a").agg(F.ceil(F.count("*") / p.star).alias("n"))
-    salted = close.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), "n").alias("salt"), "b")
-    # the id may repeat in the input: any one of its rows stands for it
-    one = texts.groupBy("doc_id").agg(F.max("text").alias("text"))
-    partners = salted.join(one, F.col("b") == F.col("doc_id")).select("a", "salt", "b", "text")
-    pivots = salted.select("a", "salt").distinct().join(one, F.col("a") == F.col("doc_id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    rows = partners.union(pivots).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return ws.table(rows.mapInArrow(partial(_confirm, p=p), "u long, v long"), f"{name}-links")
+    close = both.mapInArrow(partial(_prune, p=p), "a long, b long")
+    asked = close.select(F.col("a").alias("part"), F.lit(0).cast("long").alias("block"), F.col("b").alias("x"), F.array("a").alias("ys"))
+    return _confirmed(asked, docs, p, ws, name)
 
 
 def _near_blocks(table: pa.Table, p: NearDuplicates) -> pa.Table:
@@ -205,115 +223,81 @@ def _near_blocks(table: pa.Table, p: NearDuplicates) -> pa.Table:
             out.append((int(x_rep[k]), part, block, y_rep[mine].tolist()))
     cols = list(zip(*out, strict=True)) or [[]] * 4
     types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-    return pa.table({c: pa.array(v, t) for c, v, t in zip(("x", "part", "vblock", "ys"), cols, types, strict=True)})
-
-
-def _block_links(table: pa.Table, p: NearDuplicates) -> pa.Table:
-    """Of one block of a component: a link to it for each asking document, if there is one."""
-    ids, asked = table.column("id").to_pylist(), table.column("ys").to_pylist()
-    buf, offs = buffers(table.column("text").combine_chunks())
-    sets = list(shingle_sets(buf, offs, p.words))
-    of = {i: s for i, ys, s in zip(ids, asked, sets, strict=True) if ys is None}
-    out = []
-    for x, ys, own in zip(ids, asked, sets, strict=True):
-        for y in ys or ():
-            both = len(np.intersect1d(own, of[y], assume_unique=True))
-            if 100 * both >= p.percent * (len(own) + len(of[y]) - both):
-                out.append((x, y))
-                break
-    return pa.table({c: pa.array([r[k] for r in out], pa.int64()) for k, c in enumerate("uv")})
-
-
-def _far_links(known: DataFrame, rest: DataFrame, reps: DataFrame, docs: DataFrame, p: NearDuplicates, ws: Workspace) -> DataFrame:
-    """Links of the members outside their bucket's largest component (``rest``) to members
-    of other components: at least one for each pair of a document and a component that has
-    one. Pairs are formed inside tasks only, between blocks of ``star`` rows at most."""
+    return pa.table({c: pa.array(v, t) for c, v, t in zip(("x", "part", "block", "ys"), cols, types, strict=True)})
+
+
+def _far_links(known: DataFrame, linked: DataFrame, docs: DataFrame, p: NearDuplicates, ws: Workspace) -> DataFrame:
+    """Links of the members outside their bucket's largest component to members of other
+    components: at least one for each pair of a document and a component that has one.
+    ``known``: the buckets of several components, ``bucket, rep, part, rest, n_far, n_all``.
+    Pairs are formed inside tasks only, between blocks of ``star`` rows at most; a
+    component is cut into blocks of ``star`` members or ``block_shingles`` shingles."""
 
     def near_blocks(table: pa.Table) -> pa.Table:
         return _near_blocks(table, p)
 
-    def block_links(table: pa.Table) -> pa.Table:
-        return _block_links(table, p)
-
     blocks = lambda n: F.ceil(F.col(n) / p.star)
-    size = known.select("rep", "part").distinct().groupBy("part").agg(F.count("*").alias("size"))
-    sizes = rest.groupBy("bucket").agg(F.count("*").alias("n_far"))
-    sizes = ws.table(sizes.join(known.groupBy("bucket").agg(F.count("*").alias("n_all")), "bucket"), "far-sizes")
-    rows = known.join(sizes, "bucket").join(size, "part").join(reps.select("rep", "sig", "bands"), "rep")
-    rows = rows.join(rest.select("bucket", "rep", F.lit(True).alias("is_rest")), ["bucket", "rep"], "left")
-    rows = rows.select("bucket", "rep", "part", F.pmod(F.xxhash64("rep", F.lit(3)), blocks("size")).alias("vblock"), "sig", "bands", F.col("is_rest").isNotNull().alias("rest"), "n_far", "n_all")
+    members = known.select("rep", "part").distinct().join(linked.select("rep", "n_shingles"), "rep")
+    wide = members.groupBy("part").agg(F.greatest(F.ceil(F.count("*") / p.star), F.ceil(F.sum("n_shingles") / p.block_shingles)).alias("cut")).where("cut > 1")
+    wide = ws.table(wide, "far-wide")
+    rows = known.join(_few(wide, p.small_ids), "part", "left").join(linked.select("rep", "sig", "bands"), "rep")
+    rows = rows.withColumn("vblock", F.when(F.col("cut") > 1, F.pmod(F.xxhash64("rep", F.lit(3)), F.col("cut"))).otherwise(F.lit(0).cast("long")))
     near = rows.select("*", F.lit(False).alias("far"), F.pmod(F.xxhash64("rep"), blocks("n_all")).alias("yb"), F.explode(F.sequence(F.lit(0).cast("long"), blocks("n_far") - 1)).alias("xb"))
     far = rows.where("rest").select("*", F.lit(True).alias("far"), F.pmod(F.xxhash64("rep"), blocks("n_far")).alias("xb"), F.explode(F.sequence(F.lit(0).cast("long"), blocks("n_all") - 1)).alias("yb"))
     cols = ["bucket", "rep", "part", "vblock", "sig", "bands", "rest", "far", "xb", "yb"]
-    asked = near.select(*cols).union(far.select(*cols)).groupBy("bucket", "xb", "yb").applyInArrow(near_blocks, "x long, part long, vblock long, ys array<long>")
-    asked = ws.table(asked, "far-blocks").groupBy("x", "part", "vblock").agg(F.flatten(F.collect_list("ys")).alias("ys"))
-    asked = ws.table(asked, "far-asked")
-    wanted = ws.table(asked.groupBy("part", "vblock").agg(F.count("*").alias("n")), "far-wanted")
-    members = known.select("rep", "part").distinct().join(size, "part").select("rep", "part", F.pmod(F.xxhash64("rep", F.lit(3)), blocks("size")).alias("vblock"))
-    ys = members.join(wanted, ["part", "vblock"]).select(F.col("rep").alias("id"), "part", "vblock", F.explode(F.sequence(F.lit(0).cast("long"), blocks("n") - 1)).alias("salt"), F.lit(None).cast("array<long>").alias("ys"))
-    xs = asked.join(wanted, ["part", "vblock"]).select(F.col("x").alias("id"), "part", "vblock", F.pmod(F.xxhash64("x"), blocks("n")).alias("salt"), "ys")
-    both = ws.table(ys.union(xs), "far-rows")
-    ids = ws.table(both.select(F.col("id").alias("doc_id")).distinct(), "far-ids")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(_few(ids, p.small_ids), "doc_id", "left_semi")
-    texts = texts.groupBy(F.col("doc_id").alias("id")).agg(F.max("text").alias("text"))
-    return ws.table(both.join(texts, "id").groupBy("part", "vblock", "salt").applyInArrow(block_links, "u long, v long"), "far-links")
+    asked = near.select(*cols).union(far.select(*cols)).groupBy("bucket", "xb", "yb").applyInArrow(near_blocks, "x long, part long, block long, ys array<long>")
+    asked = asked.groupBy("part", "block", "x").agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys"))
+    return _confirmed(asked, docs, p, ws, "far")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``doc_id, text``.
 
     Documents with equal sets form one class with one representative; only classes are
-    compared. Each bucket of a band first links its members to one pivot. Where that
-    leaves several components in a bucket, further pivots are tried, one a bucket and turn,
-    until that links few more. Then every member outside the bucket's largest component
-    meets all members of other components: no proposed pair between different components
-    stays untested, and groups that have merged cost no further pairs.
+    compared. In each bucket of a band every member meets three pivots: the member that
+    shares most buckets with others (the text that copies were made from, if it is there),
+    the smallest, and one by hash. Where that leaves several components in a bucket, every
+    member outside the largest meets all members of other components: no proposed pair
+    between different components stays untested, and groups that have merged cost no
+    further pairs.
 
     Null and empty texts and texts of white space have an empty set, are linked with
-    nothing and kept. Of rows that repeat a doc_id each comes back with that id's
-    component. Other columns are ignored. An empty table gives an empty one.
+    nothing and kept. So are rows without a doc_id, whose component is null. Of rows that
+    repeat a doc_id each comes back with that id's component, whatever their texts. Other
+    columns are ignored. An empty table gives an empty one.
     """
     ws = Workspace(spark, "near")
+    small_arrow(spark)
     signed = ws.table(signatures(docs, p), "signed")
-    full = signed.where("n_shingles > 0")
-    reps = ws.table(
-        full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "reps"
-    )
+    full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    reps = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sig")])
+    reps = ws.table(reps, "reps")
     members = reps.select("rep", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    buckets = ws.table(members.join(shared.select("bucket", "pivot"), "bucket"), "buckets")
-    asked = ws.table(buckets.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "asked-1")
-    links = verify(asked, reps, docs, p, ws, "one")
-    parts = ws.table(graph.components(links, ws, "parts-one"), "components-1")
-    turn, all_pairs = 1, False
-    while not all_pairs:
-        turn += 1
-        known = ws.table(buckets.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part")), f"known-{turn}")
-        # another pivot in each bucket and turn: who is far from one is near another
-        per_part = known.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(turn)), "rep"))["rep"].alias("some"))
-        largest = per_part.groupBy("bucket").agg(
-            F.count("*").alias("parts"), F.max(F.struct("n", F.negative("part").alias("part"), "some")).alias("top")
-        ).where("parts > 1")
-        largest = ws.table(largest.select("bucket", F.negative("top.part").alias("top"), F.col("top.some").alias("pivot")), f"largest-{turn}")
-        rest = ws.table(known.join(largest, "bucket").where("part != top").select("bucket", "rep", "part", "pivot"), f"rest-{turn}")
-        left = rest.count()
-        if not left:
-            break
-        all_pairs = turn > p.turns or turn > 2 and left > p.shrink * before
-        before = left
-        if all_pairs:
-            links = links.union(_far_links(known, rest, reps, docs, p, ws))
-        else:
-            found = rest.select(F.col("pivot").alias("x"), F.col("rep").alias("y"))
-            found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            links = links.union(verify(ws.table(found, f"asked-{turn}"), reps, docs, p, ws, f"turn{turn}"))
-        parts = ws.table(graph.components(links, ws, f"parts-{turn}"), f"components-{turn}")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    company = members.join(shared, "bucket").groupBy("rep").agg(F.collect_set("bucket").alias("buckets"), F.sum("n").alias("company"))
+    linked = ws.table(reps.drop("set_key").join(company, "rep"), "linked")
+    rows = linked.select("rep", "company", F.explode("buckets").alias("bucket"))
+    pivots = rows.groupBy("bucket").agg(F.array_distinct(F.array(F.max_by("rep", F.struct("company", "rep")), F.min("rep"), F.min_by("rep", F.xxhash64("rep")))).alias("pivots"))
+    asked = rows.join(pivots, "bucket").select(F.explode("pivots").alias("a"), F.col("rep").alias("b"), F.array_contains("pivots", F.col("rep")).alias("both"))
+    asked = asked.where("a != b AND (NOT both OR a < b)").select("a", "b").distinct()
+    links = verify(asked, linked, docs, p, ws, "pivots")
+    parts = ws.table(graph.components(links, ws, "parts"), "components")
+    known = rows.select("bucket", "rep").join(_few(parts.withColumnRenamed("node", "rep"), p.small_ids), "rep", "left")
+    known = ws.table(known.select("bucket", "rep", F.coalesce("component", "rep").alias("part")), "known")
+    several = known.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket")
+    several = several.agg(F.count("*").alias("parts"), F.max_by("part", F.struct("n", "part")).alias("top"), F.max("n").alias("n_top"), F.sum("n").alias("n_all")).where("parts > 1 AND n_all > 2")
+    several = ws.table(several.select("bucket", "top", (F.col("n_all") - F.col("n_top")).alias("n_far"), "n_all"), "several")
+    if several.head(1):
+        known = known.join(_few(several, p.small_ids), "bucket").select("bucket", "rep", "part", (F.col("part") != F.col("top")).alias("rest"), "n_far", "n_all")
+        found = _far_links(ws.table(known, "far-known"), linked, docs, p, ws)
+        if found.head(1):
+            parts = ws.table(graph.components(parts.toDF("u", "v").union(found), ws, "parts-far"), "components-far")
     groups = reps.select("set_key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    groups = groups.select("set_key", F.coalesce("component", "rep").alias("component_id"), F.lit(True).alias("full"))
-    out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")).join(groups, "set_key", "left")
-    return out.select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.col("doc_id") == F.coalesce("component_id", "doc_id")).alias("kept")
-    )
+    groups = groups.select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    key = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_key"))
+    out = signed.select("doc_id", "n_shingles", key.alias("set_key")).join(groups, "set_key", "left")
+    component = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 #: The contract of op8 asks for two-word shingles.

@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 SLICE = 1 << 17
+_ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -67,6 +68,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def small_arrow(spark) -> None:
+    """Batches of at most 1 MiB between Spark and Python, unless the session has a limit of
+    its own: memory for larger ones stays with an executor's allocator after their use."""
+    if spark.conf.get(_ARROW_LIMIT) == "67108864b":  # Spark's own default
+        spark.conf.set(_ARROW_LIMIT, str(1 << 20))
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], text: int, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The same rows in batches with at most ``limit`` bytes of text, or one longer row
     each, so that what is computed beside them stays small too."""
