@@ -7,13 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.llm.names import col, free, lookup
 from cohortlens.workspace import Workspace
 
 
 @dataclass(frozen=True)
 class SiteLines:
     """A line goes if ``least_pages`` pages of its site or more, and a share over ``ratio``
-    of them, carry it. ``small_keys``: up to so many line keys in all are broadcast."""
+    of them, carry it. ``small_keys``: up to so many line keys (and sites) are broadcast."""
 
     ratio: float = 0.05
     least_pages: int = 4
@@ -24,41 +25,41 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
 
 
-def boilerplate(docs: DataFrame, site: str, text: str, p: SiteLines) -> DataFrame:
-    """``__site, __keys``: the keys of each site's boilerplate lines. A site has at most
-    (lines a page) / ``ratio`` of them, however many pages it has."""
-    full = F.filter(lines_of(F.col(text)), lambda x: F.trim(x) != "")
-    keys = docs.select(F.col(site).alias("__site"), F.explode(F.array_distinct(F.transform(full, lambda x: F.xxhash64(x)))).alias("__key"))
-    often = keys.groupBy("__site", "__key").agg(F.count("*").alias("__n")).where(F.col("__n") >= p.least_pages)
-    pages = docs.groupBy(F.col(site).alias("__other")).agg(F.count("*").alias("__pages"))
-    over = often.join(pages, F.col("__site").eqNullSafe(F.col("__other"))).where(F.col("__n") > p.ratio * F.col("__pages"))
-    return over.groupBy("__site").agg(F.collect_list("__key").alias("__keys"))
+def boilerplate(docs: DataFrame, site: str, text: str, p: SiteLines, ws: Workspace) -> DataFrame:
+    """``site_of_lines, gone``: the keys of each site's boilerplate lines. A site has at
+    most (lines a page) / ``ratio`` of them, however many pages it has."""
+    full = F.filter(lines_of(col(text)), lambda x: F.trim(x) != "")
+    keys = docs.select(col(site).alias("s"), F.explode(F.array_distinct(F.transform(full, lambda x: F.xxhash64(x)))).alias("key"))
+    often = keys.groupBy("s", "key").agg(F.count("*").alias("n")).where(F.col("n") >= p.least_pages)
+    pages = ws.table(docs.groupBy(col(site).alias("site_of_pages")).agg(F.count("*").alias("pages")), "pages")
+    over = lookup(often, "s", pages, "site_of_pages", pages.count() <= p.small_keys, "inner").where(F.col("n") > p.ratio * F.col("pages"))
+    return ws.table(over.groupBy(F.col("s").alias("site_of_lines")).agg(F.collect_list("key").alias("gone")), "boilerplate")
 
 
-def drop_site_lines(docs: DataFrame, site: str = "source", text: str = "text", p: SiteLines = SiteLines()) -> DataFrame:
+def drop_site_lines(docs: DataFrame, site: str = "source", text: str = "text", p: SiteLines = SiteLines(), counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """All rows and columns of ``docs`` with the boilerplate lines cut out of ``text``, and
-    ``n_lines`` and ``n_dropped`` (replaced if there are such columns).
-
-    Blank lines stay and are not counted in ``n_lines``. A page of nothing but boilerplate
-    stays as it is: it is a copy of other pages, which near-duplicate removal settles. Null
-    text stays null and counts as a page without lines. A null site is a site. Lines are
-    compared byte by byte (by a 64-bit hash); a line that one page repeats counts once
-    for that page, repeated rows each count. An empty table gives an empty one.
+    how many lines it had and lost, under the names ``counts`` (replaced if there are such
+    columns; no other column is touched).
+
+    Blank lines stay and are not counted. A page of nothing but boilerplate loses all its
+    lines: what stays are its blank ones, or an empty text. Null text stays null and counts
+    as a page without lines. A null site is a site. Lines are compared byte by byte (by a
+    64-bit hash); a line that one page repeats counts once for that page, repeated rows
+    each count. An empty table gives an empty one.
     """
     ws = Workspace(docs.sparkSession, "lines")
-    found = ws.table(boilerplate(docs, site, text, p), "boilerplate")
-    total = found.agg(F.sum(F.size("__keys"))).first()[0] or 0
-    base = docs.drop("n_lines", "n_dropped")
-    both = base.join(F.broadcast(found) if total <= p.small_keys else found, F.col(site).eqNullSafe(F.col("__site")), "left")
-    drop = F.coalesce("__keys", F.array().cast("array<long>"))
-    both = both.withColumn("__lines", lines_of(F.col(text)))
-    both = both.withColumn("n_lines", F.size(F.filter("__lines", lambda x: F.trim(x) != "")).cast("long"))
-    kept = F.filter("__lines", lambda x: (F.trim(x) == "") | ~F.array_contains(drop, F.xxhash64(x)))
-    both = both.withColumn("__kept", F.when(F.size(drop) > 0, kept).otherwise(F.col("__lines")))
-    lost = (F.size("__lines") - F.size("__kept")).cast("long")
-    both = both.withColumn("n_dropped", F.when(lost < F.col("n_lines"), lost).otherwise(F.lit(0).cast("long")))
-    new = F.when(F.col("n_dropped") > 0, F.array_join("__kept", "\n")).otherwise(F.col(text))
-    return both.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in base.columns], "n_lines", "n_dropped")
+    found = boilerplate(docs, site, text, p, ws)
+    total = found.agg(F.sum(F.size("gone"))).first()[0] or 0
+    base = docs.drop(*counts)
+    key, gone, lines, kept = free(base, "site_of_lines", "gone", "lines", "kept")
+    both = lookup(base, site, found.toDF(key, gone), key, total <= p.small_keys, "left")
+    both = both.withColumn(lines, lines_of(col(text)))
+    drop = F.coalesce(F.col(gone), F.array().cast("array<long>"))
+    both = both.withColumn(kept, F.when(F.size(drop) > 0, F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(drop, F.xxhash64(x)))).otherwise(F.col(lines)))
+    lost = (F.size(lines) - F.size(kept)).cast("long")
+    new = F.when(lost > 0, F.array_join(kept, "\n")).otherwise(col(text))
+    had = F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long")
+    return both.select(*[new.alias(c) if c == text else col(c) for c in base.columns], had.alias(counts[0]), lost.alias(counts[1]))
 
 
 def op4_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +82,7 @@ CLEAN_SQL = """
           list_filter(ls, lambda x: trim(x, ' ') = '' OR NOT list_contains(coalesce(gone, []), x)) AS kept
         FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source),
   cleaned AS (SELECT doc_id, source, CAST(n_lines AS BIGINT) AS n_lines,
-          CAST(CASE WHEN len(ls) - len(kept) < n_lines THEN len(ls) - len(kept) ELSE 0 END AS BIGINT) AS n_dropped,
-          CASE WHEN len(ls) - len(kept) < n_lines AND len(ls) > len(kept) THEN array_to_string(kept, chr(10)) ELSE text END AS text FROM c)
+          CAST(len(ls) - len(kept) AS BIGINT) AS n_dropped,
+          CASE WHEN len(ls) > len(kept) THEN coalesce(array_to_string(kept, chr(10)), '') ELSE text END AS text FROM c)
 """
 ORACLES = {"op4_site_lines": "WITH " + CLEAN_SQL.format(docs="documents") + " SELECT doc_id, source, n_lines, n_dropped, text FROM cleaned"}

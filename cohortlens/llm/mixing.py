@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.llm.names import col, free, lookup
 from cohortlens.workspace import Workspace
 
 
@@ -38,9 +39,10 @@ def unit(*parts: Column | str) -> Column:
 def rates(docs: DataFrame, source: str, m: Mixture) -> DataFrame:
     """``__source, __rate, __parts, __cdf``: copies a document of the source should have on
     average; how often to draw; the distribution of a draw, from 0 copies up."""
-    n = docs.groupBy(F.col(source).alias("__source")).agg(F.count("*").alias("__n"))
+    n = docs.groupBy(col(source).alias("__source")).agg(F.count("*").alias("__n"))
     if m.weights:
-        weight = F.coalesce(F.create_map(*[F.lit(x) for k, w in m.weights for x in (k, float(w))])[F.coalesce("__source", F.lit(""))], F.lit(0.0))
+        given = F.create_map(*[F.lit(x) for k, w in m.weights for x in (k, float(w))])
+        weight = F.when(F.col("__source").isNull(), 0.0).otherwise(F.coalesce(given[F.coalesce(F.col("__source").cast("string"), F.lit(""))], F.lit(0.0)))
     else:
         weight = F.pow(F.col("__n").cast("double"), F.lit(m.temper))
     n = n.withColumn("__weight", weight)
@@ -58,28 +60,28 @@ def rates(docs: DataFrame, source: str, m: Mixture) -> DataFrame:
 
 def mix_sources(docs: DataFrame, m: Mixture = Mixture(), source: str = "source", key: str = "doc_id") -> DataFrame:
     """The columns of ``docs``, then ``copy`` (from 1) and ``shuffle_key``: each document as
-    often as a Poisson draw, seeded by its id, says, in an order given by hashes.
+    often as a Poisson draw, seeded by its id, says. Rows are dealt to partitions by a hash
+    of ``shuffle_key``, itself a hash, and sorted by it there: a random order.
 
-    Null is a source like others (without a weight if weights are given). A null id is
-    hashed as an empty text. Texts are not looked at: null, empty and long ones are
-    replicated alike. Repeated rows with one id are drawn alike. Columns ``copy`` and
-    ``shuffle_key`` of the input are replaced. An empty table gives an empty one.
+    Null is a source like others; if weights are given it has none. A null id is hashed as
+    an empty text. Texts are not looked at: null, empty and long ones are replicated alike.
+    Repeated rows with one id are drawn alike. Columns ``copy`` and ``shuffle_key`` of the
+    input are replaced. An empty table gives an empty one.
     """
     ws = Workspace(docs.sparkSession, "mix")
     table = ws.table(rates(docs, source, m), "rates")
-    if table.count() <= m.small_sources:
-        table = F.broadcast(table)
     base = docs.drop("copy", "shuffle_key")
-    both = base.join(table, F.col(source).eqNullSafe(F.col("__source")))
+    of, rate, parts, cdf, copies = free(base, "of", "rate", "parts", "cdf", "copies")
+    both = lookup(base, source, table.toDF(of, rate, parts, cdf), of, table.count() <= m.small_sources, "inner")
     drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("__parts")), F.lit(0),
-        lambda a, c: a + F.size(F.filter("__cdf", lambda x: x <= unit(F.lit(str(m.seed)), F.col(key).cast("string"), c.cast("string")))),
+        F.sequence(F.lit(1), F.col(parts)), F.lit(0),
+        lambda a, c: a + F.size(F.filter(cdf, lambda x: x <= unit(F.lit(str(m.seed)), col(key).cast("string"), c.cast("string")))),
     )
     # drawn once as a column of its own: sequence(1, 0) would count down
-    both = both.withColumn("__copies", drawn).where("__copies > 0")
-    out = both.select(*[F.col(f"`{c}`") for c in base.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies").cast("long"))).alias("copy"))
-    out = out.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order{m.seed}"), F.col(key).cast("string"), F.col("copy").cast("string"))))
-    return out.orderBy("shuffle_key")
+    both = both.withColumn(copies, drawn).where(F.col(copies) > 0)
+    out = both.select(*[col(c) for c in base.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies).cast("long"))).alias("copy"))
+    out = out.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order{m.seed}"), col(key).cast("string"), F.col("copy").cast("string"))))
+    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

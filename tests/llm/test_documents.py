@@ -61,12 +61,16 @@ def test_site_lines(spark, odd, empty):
         n = Counter((src, x) for _, y, _, src in texts for x in set(y.split("\n")))
         pages = Counter(src for *_, src in texts)
         kept = [x for x in lines if not x.strip() or not (n[s, x] >= 4 and n[s, x] > 0.05 * pages[s])]
-        want = t if not [x for x in kept if x.strip()] else "\n".join(kept)
+        want = "\n".join(kept)
         assert out[i].text == want and out[i].n_lines == len([x for x in lines if x.strip()]), i
-    assert out[200].n_dropped == 0 and out[0].n_dropped >= 1 and "n_chars" in docs.columns
+    assert (out[200].text, out[200].n_dropped) == ("", 2) and out[0].n_dropped >= 1 and "n_chars" in docs.columns
     shuffled = linededup.drop_site_lines(docs, p=linededup.SiteLines(small_keys=0))
     assert shuffled.select("doc_id", "text").exceptAll(spark.createDataFrame(list(out.values())).select("doc_id", "text")).count() == 0
     assert linededup.drop_site_lines(odd).count() == odd.count() and linededup.drop_site_lines(empty).count() == 0
+    named = docs.withColumnsRenamed({"source": "gone", "row": "lines"}).withColumn("kept", F.lit("k")).withColumn("salt", F.lit(1)).withColumn("n_lines", F.lit("own"))
+    for few in (0, 100):
+        again = {r.doc_id: r for r in linededup.drop_site_lines(named, "gone", p=linededup.SiteLines(small_keys=few), counts=("had", "lost")).collect()}
+        assert all((r.text, r.had, r.lost, r.kept, r.n_lines, r.lines) == (out[i].text, out[i].n_lines, out[i].n_dropped, "k", "own", "x") for i, r in again.items()) and len(again) == len(out)
     assert linededup.drop_site_lines(odd).where("doc_id = 3 AND text IS NULL AND n_lines = 0").count() == 1
 
 
@@ -253,8 +257,14 @@ def test_mixing(spark, odd, empty):
     per = out.where("source = 'small'").groupBy("doc_id").count().collect()
     variance = sum((r["count"] - 7.5) ** 2 for r in per) + (400 - len(per)) * 7.5**2
     assert 0.7 < variance / 400 / 7.5 < 1.3
-    keys = [r.shuffle_key for r in out.collect()]
-    assert keys == sorted(keys) and out.columns[-2:] == ["copy", "shuffle_key"]
+    parts = out.select("shuffle_key", F.spark_partition_id().alias("p")).collect()
+    assert parts == sorted(parts, key=lambda r: (r.p, r.shuffle_key)) and out.columns[-2:] == ["copy", "shuffle_key"]
+    odd_names = docs.withColumnsRenamed({"source": "rate", "row": "cdf"})
+    weights = (("big", 1.0), ("small", 3.0))
+    again = [mixing.mix_sources(odd_names, mixing.Mixture(weights=weights, small_sources=k), "rate").select("doc_id", "copy") for k in (0, 9)]
+    assert all(x.exceptAll(out.select("doc_id", "copy")).count() == 0 and x.count() == out.count() for x in again)
+    nulls = spark.createDataFrame([(1, None), (2, ""), (3, "a")], "doc_id long, source string")
+    assert {r.source for r in mixing.mix_sources(nulls, mixing.Mixture(weights=(("", 1.0),), growth=50.0)).collect()} == {""}
     assert mixing.mix_sources(odd, mixing.Mixture(growth=50.0)).select("source").distinct().count() == 3
     assert mixing.mix_sources(empty).count() == 0
 
