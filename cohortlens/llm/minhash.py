@@ -92,7 +92,7 @@ def _sign(batches: Iterator[pa.RecordBatch], p: NearDuplicates) -> Iterator[pa.R
                     pa.array([len(s) for s in sets], pa.int64()),
                     binary_column([blake2b(s.tobytes(), digest_size=16).digest() for s in sets]),
                     pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
-                    fixed_rows(low.astype(np.uint16)),
+                    fixed_rows(low.astype(np.uint8)),
                 ],
                 names=["doc_id", "n_shingles", "set_key", "bands", "sig"],
             )
@@ -121,7 +121,7 @@ def least_matches(p: NearDuplicates) -> list[tuple[int, int]]:
 def _prune(batches: Iterator[pa.RecordBatch], p: NearDuplicates) -> Iterator[pa.RecordBatch]:
     steps, width = least_matches(p), p.bands * p.rows
     for batch in batches:
-        left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, width) for k in (2, 3))
+        left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, width) for k in (2, 3))
         alive, matches, done = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), 0
         for n, least in steps:
             matches[alive] += (left[alive, done:n] == right[alive, done:n]).sum(axis=1)
@@ -201,7 +201,7 @@ def _near_blocks(table: pa.Table, p: NearDuplicates) -> pa.Table:
     def side(mask: np.ndarray) -> list[np.ndarray]:
         t = table.filter(pa.array(mask))
         cols = {c: t.column(c).combine_chunks() for c in names}
-        sig = np.frombuffer(b"".join(cols["sig"].to_pylist()), np.uint16).reshape(len(t), -1)
+        sig = np.frombuffer(b"".join(cols["sig"].to_pylist()), np.uint8).reshape(len(t), -1)
         bands = np.array(cols["bands"].to_pylist(), np.int64).reshape(len(t), -1)
         return [cols[c].to_numpy(zero_copy_only=False) for c in names[:3]] + [sig, bands, np.array(t.column("rest").to_pylist(), bool)]
 

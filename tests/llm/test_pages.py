@@ -1,6 +1,8 @@
 """Archives and host reputation."""
 
+import gzip
 import hashlib
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,14 +57,56 @@ def test_hand_written_archive():
     first, second = archives.read_arc(data)
     assert (first.url, first.date, first.head, first.payload) == ("http://a/", "19990102030405", b"", b"hello")
     assert (second.head, second.payload) == (b"HTTP/1.0 200 OK\r\n\r\n", b"GIF")
-    kinds = [r.fields["warc-type"] for r in archives.parse_warc(archives.to_warc("x/a.arc.gz", data, {}))]
+    kinds = [r.fields["warc-type"] for r in archives.parse_warc(b"".join(archives.to_warc("x/a.arc.gz", data, {})))]
     assert kinds == ["warcinfo", "resource", "response"]
     assert archives.warc_date("19990102030405") == "1999-01-02T03:04:05Z" and archives.warc_date("1999") == "1999-01-01T00:00:00Z" and archives.warc_date("?") == "1970-01-01T00:00:00Z"
+    cut = list(archives.read_arc(data[:-9]))
+    assert [r.damage for r in cut] == [None, "cut"] and cut[1].head + cut[1].payload == b"HTTP/1.0 200 O"
+    twin = list(archives.parse_warc(b"".join(archives.to_warc("x/a.arc", data[:-9], {}))))
+    assert twin[2].fields["warc-truncated"] == "unspecified" and twin[2].block.endswith(b"200 O")
     with pytest.raises(ValueError):
-        list(archives.read_arc(data[:-9]))
+        list(archives.parse_warc(b"".join(archives.to_warc("x/a.arc", data, {}))[:-7]))
     assert hashlib.sha1(b"hello").digest() and archives.record_id("p/a.gz", 1) == archives.record_id("q/a.gz", 1)
 
 
+def test_bytes_blanks_and_damage(spark, tmp_path):
+    """Payloads that are no UTF-8, urls with blanks, lines that are no header, gzip of one
+    member, of many and none: every byte comes back."""
+    gif, latin = b"GIF89a\x00\xff\xfe\r\n\r\n\x80" * 9, "caf\u00e9 na\u00efve\r\n".encode("latin-1") * 5
+    first = b"filedesc://a.arc 0.0.0.0 19990102 text/plain 12\n1 0 someone\n\n"
+    row = lambda url, kind, body: b"%s 1.2.3.4 19990102030405 %s %d\n%s\n" % (url, kind, len(body), body)
+    parts = [first, row(b"http://a/x y z.gif", b"image/gif", gif), b"!! torn \xff line\nmore\n", row(b"http://b/\xe9", b"text/html; charset=x", latin), row(b"http://c/", b"text/html", gif)]
+    folder = tmp_path / "arc"
+    folder.mkdir()
+    (folder / "plain.arc").write_bytes(b"".join(parts))
+    (folder / "one.arc.gz").write_bytes(gzip.compress(b"".join(parts)))
+    (folder / "many.arc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    (folder / "torn.arc.gz").write_bytes(gzip.compress(b"".join(parts))[:-14])
+    rows = archives.arc_records(spark, str(folder)).collect()
+    by = {name: sorted((r.ord, r.bytes, r.digest, r.damage) for r in rows if name in r.path) for name in ("plain", "one", "many", "torn")}
+    want = [(0, gif, None), (1, b"!! torn \xff line\nmore\n", "header"), (2, latin, None), (3, gif, None)]
+    assert by["plain"] == by["one"] == by["many"] == [(k, len(x), archives.sha1_base32(x), d) for k, x, d in want]
+    assert by["torn"][0] == by["plain"][0] and by["torn"][-1][3] == "cut"
+    archives.convert_arc(spark, str(folder), f"{tmp_path}/warc")
+    files = [f.read_bytes() for f in (tmp_path / "warc").glob("part-*")]
+    records = [r for f in files for r in archives.parse_warc(f)]
+    assert len(files) == 4 and all(len(members(f)) == len(list(archives.parse_warc(f))) + 1 for f in files)
+    whole = [r for r in records if r.fields["warc-type"] == "resource" and "x-damage" not in r.fields]
+    assert {r.block for r in whole} == {gif, latin} and sum(r.fields["warc-type"] == "revisit" for r in records) >= 7
+    assert {"http://a/x%20y%20z.gif", "http://b/%E9"} <= {r.fields["warc-target-uri"] for r in records if "warc-target-uri" in r.fields}
+
+
+def members(data):
+    """The gzip members of a file, each inflated; nothing may be between or after them."""
+    out = []
+    while data:
+        z = zlib.decompressobj(31)
+        out.append(z.decompress(data))
+        assert z.eof
+        data = z.unused_data
+    return out
+
+
 def test_urls(spark):
     urls = ["http://A.b.CO.UK:80/x/y?q#f", "https://org", "//a/b", None, "", "ftp://Example.org/es/1", "http://example.org?x=/y", "http://sub.example.org/en/12", "http://org/", "x://y://z/w", "http://a.com/fr/", "http://com/de/x", "http://notcom/fr/", "http://example.org/en/2", "http://a\nb.com/fr/\n"]
     df = spark.createDataFrame(list(enumerate(urls)), "id int, url string")
