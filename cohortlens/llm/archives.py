@@ -176,7 +176,7 @@ def _key(head: bytes) -> int | None:
 
 def _member(data: bytes) -> bytes:
     """A gzip member."""
-    z = zlib.compressobj(1, zlib.DEFLATED, 31)
+    z = zlib.compressobj(4, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
 
 
