@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.vectext import U64, buffers, pair, row_groups, word_hashes
+from cohortlens.llm.vectext import U64, buffers, pair, row_groups, small_arrow, word_hashes
 from cohortlens.workspace import Workspace
 
 
@@ -26,11 +26,14 @@ from cohortlens.workspace import Workspace
 class Interpolation:
     """P(w | v) = a f(v w) / f(v) + b f(w) / N + c / (V + 1), the weights by a bucket of
     f(v), learned by ``rounds`` of expectation-maximisation on documents that the counts f
-    leave out. ``chunk_bytes``: text in a chunk (a longer text has one of its own).
-    ``bucket_tokens``: tokens of the corpus for each range of hashes."""
+    leave out; then f counts these too. ``chunk_bytes``: text in a chunk (a longer text has
+    one of its own). ``bucket_tokens``: tokens of the corpus for each range of hashes.
+    A range with more than ``hot_bytes`` of questions, as that of a word which every chunk
+    has, is summed in parts."""
 
     chunk_bytes: int = 16 << 20
-    bucket_tokens: int = 1 << 18
+    bucket_tokens: int = 1 << 19
+    hot_bytes: int = 32 << 20
     buckets: int = 16
     rounds: int = 60
 
@@ -61,14 +64,14 @@ def _unplaned(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
-def _asked(role: int, chunk: str, kind: int, keys: np.ndarray, shift: int, width: int, *counts: np.ndarray) -> Iterator[tuple]:
-    """A row for each range of sorted keys."""
+def _asked(role: int, chunk: str, kind: int, keys: np.ndarray, shift: int, width: int, n: np.ndarray) -> Iterator[tuple]:
+    """A row for each range of sorted keys; texts that are only scored count nothing."""
+    n = n if role != SCORED else np.zeros(len(keys), np.int64)
     bucket = (keys >> U64(shift)).astype(np.int64)
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]))
     raw = keys.view(np.uint8).reshape(-1, 8)[:, :width]
     for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        planes = [_planes(c[s:e]) for c in counts]
-        yield role, chunk, kind, int(bucket[s]), None, np.ascontiguousarray(raw[s:e]).tobytes(), planes[0], planes[1] if len(planes) > 1 else None
+        yield role, chunk, kind, int(bucket[s]), None, np.ascontiguousarray(raw[s:e]).tobytes(), _planes(n[s:e]), None
 
 
 def _chunked(batches: Iterator[pa.RecordBatch], p: Interpolation, word_bits: int, pair_bits: int) -> Iterator[pa.RecordBatch]:
@@ -86,16 +89,15 @@ def _chunked(batches: Iterator[pa.RecordBatch], p: Interpolation, word_bits: int
         tokens, begin = np.concatenate(words), np.concatenate(([0], np.cumsum(np.concatenate(lengths))))
         keys, ids, n = np.unique(tokens, return_inverse=True, return_counts=True)
         del tokens, words
-        zero = np.zeros(len(keys), np.int64)
         rank = np.empty(len(keys), np.int64)
         rank[np.argsort(-n, kind="stable")] = np.arange(len(keys))
         # the most frequent token gets the smallest number
         by_rank = np.empty(len(keys), U64)
         by_rank[rank] = keys
         rows = [(role, chunk, _STORE, -1, pa.array(np.concatenate(ids_)).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), by_rank.tobytes(), _planes(rank[ids]), _planes(np.diff(begin)))]
-        rows += _asked(role, chunk, _WORDS, keys, 64 - word_bits, 8, n if role != SCORED else zero, n if role == COUNTED else zero)
+        rows += _asked(role, chunk, _WORDS, keys, 64 - word_bits, 8, n)
         pairs, n = np.unique(_pair_keys(keys, ids, begin, pair_bits), return_counts=True)
-        rows += _asked(role, chunk, _PAIRS, pairs, _BITS, 5, n if role == COUNTED else np.zeros(len(pairs), np.int64))
+        rows += _asked(role, chunk, _PAIRS, pairs, _BITS, 5, n)
         for k in range(0, len(rows), 64):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 64], strict=True), schema, strict=True)], schema=schema)
 
@@ -126,56 +128,117 @@ def _keys_of(raw: bytes, width: int) -> np.ndarray:
     return out.view(U64).ravel()
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    """All questions in one range of hashes: the totals, back to each chunk that asked."""
-    kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-    keys = [_keys_of(x, 8 if kind == _WORDS else 5) for x in table.column("keys").to_pylist()]
-    _, at = np.unique(np.concatenate(keys), return_inverse=True)
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    out, sums = {}, []
-    for c in ("a", "b") if kind == _WORDS else ("a",):
-        n = np.concatenate([_unplaned(x) for x in table.column(c).to_pylist()])
-        total = np.bincount(at, n).astype(np.int64)
-        sums += [int(total.sum()), int((total > 0).sum())]
-        out[c] = [_planes(x) for x in np.split(total[at], cuts)]
-    n = table.num_rows
-    cols = {"role": table.column("role").to_pylist() + [-1], "chunk": table.column("chunk").to_pylist() + [""], "kind": [kind] * n + [_SUMS if kind == _WORDS else _SUMS + 1], "bucket": [bucket] * (n + 1)}
-    cols |= {"ids": [None] * n + [np.array(sums, np.int64).tobytes()], "keys": [None] * (n + 1), "a": out["a"] + [None], "b": out.get("b", [None] * n) + [None]}
-    types = dict(zip(cols, (pa.int32(), pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True))
-    return pa.table({k: pa.array(v, types[k]) for k, v in cols.items()})
+_TOTALS = -1  # role of a row that holds sums of questions: keys, all counts, those of COUNTED
+
+
+def _totals(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of questions (or of sums of some) in one range of hashes, with all
+    counts and those of COUNTED texts."""
+    width = 8 if rows.column("kind")[0].as_py() == _WORDS else 5
+    roles = rows.column("role").to_pylist()
+    all_ = [_unplaned(x) for x in rows.column("a").to_pylist()]
+    counted = [_unplaned(y) if r == _TOTALS else x if r == COUNTED else np.zeros(len(x), np.uint32) for r, x, y in zip(roles, all_, rows.column("b").to_pylist(), strict=True)]
+    keys, at = np.unique(np.concatenate([_keys_of(x, width) for x in rows.column("keys").to_pylist()]), return_inverse=True)
+    return keys, *(np.bincount(at, np.concatenate(n), len(keys)).astype(np.int64) for n in (all_, counted))
+
+
+def _rows(cols: dict) -> pa.Table:
+    types = (pa.int32(), pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
+    return pa.table({k: pa.array(cols[k], t) for k, t in zip(("role", "chunk", "kind", "bucket", "ids", "keys", "a", "b"), types, strict=True)})
+
+
+def _added(rows: pa.Table) -> pa.Table:
+    """Questions of one part of a range as one row."""
+    kind, bucket = rows.column("kind")[0].as_py(), rows.column("bucket")[0].as_py()
+    keys, all_, counted = _totals(rows)
+    raw = np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, : 8 if kind == _WORDS else 5]).tobytes()
+    return _rows({"role": [_TOTALS], "chunk": [""], "kind": [kind], "bucket": [bucket], "ids": [None], "keys": [raw], "a": [_planes(all_)], "b": [_planes(counted)]})
+
+
+def _told(rows: pa.Table) -> pa.Table:
+    """Answers to each question of a range (or of a part of one, with the whole range's
+    sums among the rows): all counts; to WEIGHING texts those of COUNTED ones too."""
+    kind, bucket = rows.column("kind")[0].as_py(), rows.column("bucket")[0].as_py()
+    sums = rows.filter(pa.array([r == _TOTALS for r in rows.column("role").to_pylist()]))
+    keys, all_, counted = _totals(sums if len(sums) else rows)
+    out = {c: [] for c in ("role", "chunk", "kind", "bucket", "ids", "keys", "a", "b")}
+    for role, chunk, raw in zip(*(rows.column(c).to_pylist() for c in ("role", "chunk", "keys")), strict=True):
+        if role == _TOTALS:
+            continue
+        at = np.searchsorted(keys, _keys_of(raw, 8 if kind == _WORDS else 5))
+        for c, v in zip(out, (role, chunk, kind, bucket, None, None, _planes(all_[at]), _planes(counted[at]) if role == WEIGHING else None), strict=True):
+            out[c].append(v)
+    return _rows(out)
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    """Of a whole range: the answers, and a row of sums."""
+    return pa.concat_tables([_told(rows), _sums(rows)])
+
+
+def _sums(rows: pa.Table) -> pa.Table:
+    """Of a whole range of words: all tokens, distinct ones, tokens of COUNTED texts."""
+    kind, bucket = rows.column("kind")[0].as_py(), rows.column("bucket")[0].as_py()
+    if kind != _WORDS:
+        return _rows({c: [] for c in rows.column_names} | {"ids": []})
+    _, all_, counted = _totals(rows)
+    sums = np.array([all_.sum(), (all_ > 0).sum(), counted.sum()], np.int64).tobytes()
+    return _rows({"role": [_TOTALS], "chunk": [""], "kind": [_SUMS], "bucket": [bucket], "ids": [sums], "keys": [None], "a": [None], "b": [None]})
+
+
+def _as_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sums = np.sum([np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()], axis=0) if batch.num_rows else np.zeros(3, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in sums], names=["n", "distinct", "counted"])
+
+
+def _answers(asked: DataFrame, p: Interpolation, ws: Workspace) -> DataFrame:
+    """All questions' answers, and the sums of each range of words. The rows of a range
+    go to one task; those of a hot range to as many as its bytes ask for, twice: once to be
+    added up, once with the sums of the whole range to be answered."""
+    sizes = asked.groupBy("kind", "bucket").agg((F.sum(F.octet_length("keys")) / p.hot_bytes).alias("x")).where("x > 1")
+    hot = ws.table(sizes.select("kind", "bucket", F.ceil("x").alias("parts")), "hot")
+    if not hot.head(1):
+        return asked.groupBy("kind", "bucket").applyInArrow(_summed, _PARTS)
+    cold = asked.join(hot, ["kind", "bucket"], "left_anti").select(*asked.columns).groupBy("kind", "bucket").applyInArrow(_summed, _PARTS)
+    dealt = asked.join(hot, ["kind", "bucket"]).select(*asked.columns, F.pmod(F.xxhash64("chunk"), "parts").alias("part"))
+    sums = ws.table(dealt.groupBy("kind", "bucket", "part").applyInArrow(_added, _PARTS), "hot-parts")
+    totals = ws.table(sums.groupBy("kind", "bucket").applyInArrow(_added, _PARTS), "hot-totals")
+    known = totals.join(hot, ["kind", "bucket"]).select(*asked.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    told = dealt.unionByName(known).groupBy("kind", "bucket", "part").applyInArrow(_told, _PARTS)
+    return cold.unionAll(told).unionAll(totals.groupBy("kind", "bucket").applyInArrow(_sums, _PARTS))
 
 
 @dataclass(frozen=True)
 class Totals:
-    """Training tokens and distinct ones; tokens counted for the model; bits of the ranges."""
+    """Training tokens, distinct ones, tokens of COUNTED texts; bits of the ranges."""
 
     n: int
     distinct: int
-    n_model: int
+    counted: int
     pair_bits: int
 
 
-def _answered(table: pa.Table, t: Totals):
-    """Of one chunk: row numbers, where each text begins, and for each token its two counts,
-    the count of the token before it and that of both."""
+def _answered(table: pa.Table, t: Totals, column: str = "a"):
+    """Of one chunk: row numbers, where each text begins, and for each token its count, that
+    of the token before it and that of both; all counts (``a``) or those of COUNTED (``b``)."""
     order = table.sort_by([("kind", "ascending"), ("bucket", "ascending")])
     kinds = order.column("kind").to_numpy()
     store = order.slice(int(np.flatnonzero(kinds == _STORE)[0]), 1).to_pylist()[0]
     keys, ids, begin = np.frombuffer(store["keys"], U64), _unplaned(store["a"]), np.concatenate(([0], np.cumsum(_unplaned(store["b"]).astype(np.int64))))
 
-    def told(kind: int, column: str) -> np.ndarray:
+    def told(kind: int) -> np.ndarray:
         mine = order.filter(pa.array(kinds == kind)).column(column).to_pylist()
         return np.concatenate([_unplaned(x) for x in mine]).astype(np.int64)
 
-    by_key = np.argsort(keys)
-    all_, model = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
-    all_[by_key], model[by_key] = told(_WORDS, "a"), told(_WORDS, "b")
+    by_key = np.empty(len(keys), np.int64)
+    by_key[np.argsort(keys)] = told(_WORDS)
     _, at = np.unique(_pair_keys(keys, ids, begin, t.pair_bits), return_inverse=True)
-    both = told(_PAIRS, "a")[at]
+    both = told(_PAIRS)[at]
     before = np.empty(len(ids), np.int64)
-    before[1:] = model[ids[:-1]]
-    before[begin[:-1]] = model[np.flatnonzero(keys == _END)[0]]  # as many beginnings as ends
-    return np.frombuffer(store["ids"], np.int64), begin, all_[ids], model[ids], before, both
+    before[1:] = by_key[ids[:-1]]
+    before[begin[:-1]] = by_key[np.flatnonzero(keys == _END)[0]]  # as many beginnings as ends
+    return np.frombuffer(store["ids"], np.int64), begin, by_key[ids], before, both
 
 
 def _bucket_of(before: np.ndarray, buckets: int) -> np.ndarray:
@@ -193,8 +256,8 @@ def _coarse(p: np.ndarray) -> np.ndarray:
 
 def _histogram(table: pa.Table, t: Totals, p: Interpolation) -> pa.Table:
     """Held-out tokens by context bucket and coarse probabilities."""
-    _, _, _, model, before, both = _answered(table, t)
-    cell = (_bucket_of(before, p.buckets) * _STEPS + _coarse(both / np.maximum(before, 1))) * _STEPS + _coarse(model / max(1, t.n_model))
+    _, _, model, before, both = _answered(table, t, "b")
+    cell = (_bucket_of(before, p.buckets) * _STEPS + _coarse(both / np.maximum(before, 1))) * _STEPS + _coarse(model / max(1, t.counted))
     at, n = np.unique(cell, return_counts=True)
     return pa.table({"cell": pa.array(at), "n": pa.array(n.astype(np.int64))})
 
@@ -220,9 +283,9 @@ def mixture_weights(cells: np.ndarray, n: np.ndarray, distinct: int, p: Interpol
 
 
 def _scores(table: pa.Table, t: Totals, p: Interpolation, weights: np.ndarray) -> pa.Table:
-    rows, begin, all_, model, before, both = _answered(table, t)
+    rows, begin, all_, before, both = _answered(table, t)
     w = weights[_bucket_of(before, p.buckets)]
-    likely = w[:, 0] * both / np.maximum(before, 1) + w[:, 1] * model / max(1, t.n_model) + w[:, 2] / (t.distinct + 1)
+    likely = w[:, 0] * both / np.maximum(before, 1) + w[:, 1] * all_ / max(1, t.n) + w[:, 2] / (t.distinct + 1)
     add = lambda x: np.add.reduceat(x, begin[:-1])
     cols = {
         "row": rows, "n_tokens": np.diff(begin), "n_known": add((all_ > 0).astype(np.int64)),
@@ -237,11 +300,13 @@ def score_texts(docs: DataFrame, p: Interpolation = Interpolation()) -> DataFram
 
     A token is a word (a run of anything but white space, A-Z lower-cased), or the end that
     every text has, null and empty ones too. ``base_score`` adds one to the counts of all
-    rows but the scored ones; ``score`` is the log10 probability by the interpolated model.
+    rows but the scored ones; so does ``score``, the log10 probability by the interpolated
+    model, whose weights the WEIGHING texts teach with counts of COUNTED ones alone.
     Without training rows every token is unknown. Repeated rows each count. A null ``row``
-    is the smallest integer. An empty table gives an empty one.
+    is the smallest integer. Other columns are ignored. An empty table gives an empty one.
     """
     spark = docs.sparkSession
+    small_arrow(spark)
     ws = Workspace(spark, "lm")
     docs = docs.select(F.coalesce(F.col("row").cast("long"), F.lit(-(1 << 63))).alias("row"), F.col("role").cast("int"), F.col("text").cast("string"))
     # a token is six bytes or so; what matters is that ranges grow with the corpus
@@ -251,13 +316,13 @@ def score_texts(docs: DataFrame, p: Interpolation = Interpolation()) -> DataFram
     chunks = docs.mapInArrow(partial(_chunked, p=p, word_bits=word_bits, pair_bits=pair_bits), _PARTS)
     chunks.write.option("compression", "zstd").partitionBy("kind").parquet(f"{ws.path}/parts")
     parts = spark.read.schema(_PARTS).parquet(f"{ws.path}/parts").select(*chunks.columns)
-    answers = ws.table(parts.where(F.col("kind") != _STORE).groupBy("kind", "bucket").applyInArrow(_summed, _PARTS), "answers", compression="zstd")
+    answers = ws.table(_answers(parts.where(F.col("kind") != _STORE), p, ws), "answers", compression="zstd")
     for kind in (_WORDS, _PAIRS):  # answered, and half of all bytes
         ws.drop(f"parts/kind={kind}")
     parts = spark.read.schema(_PARTS).parquet(f"{ws.path}/parts").select(*chunks.columns)
-    sums = [np.frombuffer(r[0], np.int64) for r in answers.where(F.col("kind") == _SUMS).select("ids").toLocalIterator()]
-    n, distinct, n_model, _ = np.sum(sums, axis=0).tolist() if sums else (0, 0, 0, 0)
-    t = Totals(n, distinct, n_model, pair_bits)
+    sums = answers.where(F.col("kind") == _SUMS).select("ids").mapInArrow(_as_numbers, "n long, distinct long, counted long")
+    n, distinct, counted = (x or 0 for x in sums.agg(F.sum("n"), F.sum("distinct"), F.sum("counted")).first())
+    t = Totals(n, distinct, counted, pair_bits)
     both = parts.where(F.col("kind") == _STORE).unionAll(answers.where(F.col("kind") < _SUMS))
 
     def histogram(table: pa.Table) -> pa.Table:
@@ -274,7 +339,9 @@ def score_texts(docs: DataFrame, p: Interpolation = Interpolation()) -> DataFram
 
 
 def op10_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents; fold 2 of 7 is only scored, fold 3 fits the weights, the rest is counted."""
+    """All documents; fold 2 of 7 is only scored, fold 3 fits the weights, the rest is
+    counted. A null doc_id is in no fold: it is counted, and null in the result. Repeated
+    ids each give a row; further columns are not read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7))
     role = F.when(fold == 2, SCORED).when(fold == 3, WEIGHING).otherwise(COUNTED)

@@ -288,23 +288,44 @@ def test_language_model(spark, odd, empty):
 
 
 def test_model_by_force(spark):
-    texts = [(i, prose(i % 9, 25), "en", "s") for i in range(30)]
+    """Scores with the weights that the fit starts from, exactly; then with weights that
+    expectation-maximisation over exact probabilities gives, within what rounding loses."""
+    texts = [(i, prose(i % 37, 60), "en", "s") for i in range(120)]
     role = lambda i: (2, 1, 0, 0)[i % 4]
     docs = spark.createDataFrame([(i, role(i), t) for i, t, *_ in texts], "row long, role int, text string")
-    p = ngram_lm.Interpolation(rounds=0)  # the weights that the fit starts from
-    got = {r.row: r.score for r in ngram_lm.score_texts(docs, p).collect()}
-    tokens = {i: [*words(t), "</s>"] for i, t, *_ in texts}
-    one, two, ctx = Counter(), Counter(), Counter()
-    for i, ws in tokens.items():
-        if role(i) == 0:
-            one.update(ws)
-            for a, b in zip(["<s>", *ws[:-1]], ws, strict=True):
-                two[a, b] += 1
-                ctx[a] += 1
-    v, n = len({w for i, ws in tokens.items() if role(i) < 2 for w in ws}), sum(one.values())
-    for i, ws in tokens.items():
-        want = sum(math.log10(0.4 * two[a, b] / max(1, ctx[a]) + 0.4 * one[b] / n + 0.2 / (v + 1)) for a, b in zip(["<s>", *ws[:-1]], ws, strict=True))
-        assert got[i] == pytest.approx(want)
+    pairs = {i: list(zip(["<s>", *words(t)], [*words(t), "</s>"], strict=True)) for i, t, *_ in texts}
+
+    def counts(roles):
+        two = Counter(x for i, ps in pairs.items() if role(i) in roles for x in ps)
+        one, ctx = Counter(), Counter()
+        for (v, w), n in two.items():
+            one[w] += n
+            ctx[v] += n
+        return one, two, ctx, sum(one.values())
+
+    size = len(counts((0, 1))[0]) + 1
+    parts = lambda c, v, w: (c[1][v, w] / max(1, c[2][v]), c[0][w] / c[3], 1 / size)
+    bucket = lambda n: min(15, int(math.log2(n)) + 1) if n else 0
+    left_out = counts((0,))
+    held = [(bucket(left_out[2][v]), parts(left_out, v, w)) for i, ps in pairs.items() if role(i) == 1 for v, w in ps]
+
+    def fit(likely):
+        w = [0.4, 0.4, 0.2]
+        for _ in range(60):
+            shares = [[x * y / sum(x * y for x, y in zip(w, like, strict=True)) for x, y in zip(w, like, strict=True)] for like in likely]
+            w = [sum(s[j] for s in shares) / len(shares) for j in range(3)]
+        return w
+
+    pooled = fit([like for _, like in held])
+    weights = {b: fit([like for k, like in held if k == b]) for b in {b for b, _ in held}}
+    c = counts((0, 1))
+    score = lambda ps, weigh: sum(math.log10(sum(x * y for x, y in zip(weigh(bucket(c[2][v])), parts(c, v, w), strict=True))) for v, w in ps)
+    plain = {r.row: r.score for r in ngram_lm.score_texts(docs, ngram_lm.Interpolation(rounds=0)).collect()}
+    assert all(plain[i] == pytest.approx(score(ps, lambda b: (0.4, 0.4, 0.2))) for i, ps in pairs.items())
+    split = {r.row: r.score for r in ngram_lm.score_texts(docs, ngram_lm.Interpolation(rounds=0, chunk_bytes=600, bucket_tokens=500, hot_bytes=200)).collect()}
+    assert all(split[i] == pytest.approx(plain[i]) for i in plain)
+    fitted = {r.row: r.score for r in ngram_lm.score_texts(docs).collect()}
+    assert all(fitted[i] == pytest.approx(score(ps, lambda b: weights.get(b, pooled)), rel=0.02) for i, ps in pairs.items())
 
 
 def test_folds(spark):
