@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.llm.names import lookup
 from cohortlens.workspace import Workspace
 
 #: (verdict, host and path), as agreed for op9.
@@ -15,16 +16,19 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 
 @dataclass(frozen=True)
 class Reputation:
-    """A host is blocked if, with ``z`` standard deviations to spare, its share of bad pages
-    is over ``limit``. ``suffixes``: those of several labels; any other suffix is the last
-    label. ``floor`` and ``roof`` bound the weight of a prior, in pages. ``small_hosts``:
-    up to so many hosts' answers are broadcast."""
+    """A host is blocked if its share of bad pages is over ``limit`` with a posterior chance
+    of ``sure`` or more, that is if the lower bound of the share at that level is over it.
+    A suffix is the last label, or the last two where that has two letters and the one
+    before is in ``second``; ``suffixes`` are further ones, as read from a list of public
+    suffixes. ``floor`` and ``roof`` bound the weight of a prior, in pages.
+    ``small_hosts``: up to so many hosts' answers are broadcast."""
 
     limit: float = 0.5
-    z: float = 2.0
+    sure: float = 0.977
     floor: float = 2.0
     roof: float = 200.0
-    suffixes: tuple[str, ...] = ("co.uk", "com.au", "co.jp", "com.br")
+    second: tuple[str, ...] = ("ac", "co", "com", "edu", "gov", "mil", "ne", "net", "nom", "or", "org")
+    suffixes: tuple[str, ...] = ()
     small_hosts: int = 100_000
 
 
@@ -40,11 +44,24 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^(?s).*?://[^/?#]*(/?[^?#]*)", 1)
 
 
+def read_suffixes(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Suffixes of several labels in a public suffix list (a rule a line, ``//`` comments;
+    rules with ``*`` or ``!`` are passed over). Such lists have some 10,000 rules."""
+    rules = spark.read.text(path).select(F.lower(F.trim("value")).alias("rule"))
+    rules = rules.where(r"rule RLIKE '^[^/*!\\s.]+([.][^/*!\\s.]+)+$'").distinct().orderBy("rule")
+    return tuple(r.rule for r in rules.limit(100_000).collect())
+
+
 def suffix_of(host: Column, p: Reputation) -> Column:
-    known = F.lit(None).cast("string")
-    for s in p.suffixes:
-        known = F.when((host == s) | host.endswith("." + s), F.lit(s)).otherwise(known)
-    return F.coalesce(known, F.substring_index(host, ".", -1))
+    labels = F.split(host, r"\.")
+    two = F.substring_index(host, ".", -2)
+    last, before = F.substring_index(host, ".", -1), F.substring_index(two, ".", 1)
+    out = F.when((F.length(last) == 2) & (F.size(labels) > 1) & before.isin(*p.second), two).otherwise(last)
+    if p.suffixes:
+        known = F.array(*map(F.lit, p.suffixes))
+        tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels) - k + 1), "."))
+        out = F.coalesce(F.get(F.filter(tails, lambda t: F.array_contains(known, t)), F.lit(0)), out)
+    return out
 
 
 def domain_of(host: Column, suffix: Column) -> Column:
@@ -104,36 +121,71 @@ def host_posteriors(labelled: DataFrame, p: Reputation, ws: Workspace) -> tuple[
     return shrunk(hosts.join(up, "domain"), ["host", "domain", "suffix"], "posteriors"), domains, suffixes, overall
 
 
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x > 0 (Stirling's series above 8)."""
+    z = x + 8
+    series = (z - 0.5) * F.ln(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+    return series - F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0.0), lambda s, i: s + F.ln(x + i))
+
+
+def _lower_tail(a: Column, b: Column, x: Column) -> Column:
+    """P(share < x) under Beta(a, b), for x below its mean or so: a series of positive
+    terms, of which the square root of a + b is as many as matter, times nine and more."""
+    front = F.exp(a * F.ln(x) + b * F.ln(1 - x) + log_gamma(a + b) - log_gamma(a + 1) - log_gamma(b))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def step(s: Column, n: Column) -> Column:
+        term = s["term"] * (a + b + n - 1) / (a + n) * x
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    terms = (80 + 9 * F.sqrt(a + b)).cast("int")
+    return front * F.aggregate(F.sequence(F.lit(1), terms), start, step, lambda s: s["sum"])
+
+
+def chance_over(mean: Column, size: Column, limit: float) -> Column:
+    """P(share > limit) under a Beta distribution with this mean, worth ``size`` pages."""
+    a, b, x = mean * size, (1 - mean) * size, F.lit(float(limit))
+    tail = F.when(mean >= limit, 1 - _lower_tail(a, b, x)).otherwise(_lower_tail(b, a, 1 - x))
+    return F.when(mean <= 0, 0.0).when(mean >= 1, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail)))
+
+
 def judge_urls(pages: DataFrame, labelled: DataFrame, rules=RULES, p: Reputation = Reputation()) -> DataFrame:
-    """``page_id, host, path, rule, verdict, bad_mean, bad_bound`` of every row of ``pages``
-    (``page_id, url``): the longest rule's verdict, else ``block`` if the lower bound
-    mean - z sd of the host's share of bad pages is over the limit, else ``allow``.
+    """``page_id, host, path, rule, verdict, bad_mean, bad_chance`` of every row of ``pages``
+    (``page_id, url``): the longest rule's verdict, else ``block`` if the host's share of bad
+    pages is over the limit with a posterior chance of ``sure``, else ``allow``.
 
     ``labelled``: ``url, bad`` (1 bad, 0 not, null ignored). A host without a label has the
-    posterior of its domain, else of its suffix, else the overall share, worth two pages.
-    A null, empty or malformed url has an empty host, which is a host like others.
+    posterior mean of its domain, else of its suffix, else the overall share, worth two
+    pages. A null, empty or malformed url has an empty host, which is a host like others.
     Repeated rows are judged alike (and counted each as labels); extra columns are ignored;
     empty tables give no rows, no labels let everything pass.
     """
     ws = Workspace(pages.sparkSession, "hosts")
     labels = labelled.where("bad IS NOT NULL").select(host_of(F.col("url")).alias("host"), F.col("bad").cast("long").alias("bad"))
     hosts, domains, suffixes, overall = host_posteriors(labels, p, ws)
-    few = lambda df: F.broadcast(df) if df.count() <= p.small_hosts else df
+
+    def answers(level: DataFrame, key: str, size: Column | str) -> DataFrame:
+        """Mean and chance of each group, worked out once a group."""
+        out = level.select(F.col(key).alias(f"of_{key}"), F.struct(F.col("mean"), chance_over(F.col("mean"), size, p.limit).alias("chance")).alias(f"by_{key}"))
+        return ws.table(out, f"by-{key}")
+
+    floor = F.lit(p.floor)
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("suffix", suffix_of(F.col("host"), p)).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
-    rows = rows.join(few(hosts.select("host", F.col("mean").alias("m1"), F.col("size").alias("s1"))), "host", "left")
-    rows = rows.join(few(domains.select("domain", F.col("mean").alias("m2"))), "domain", "left")
-    rows = rows.join(few(suffixes.select("suffix", F.col("mean").alias("m3"))), "suffix", "left")
-    mean = F.coalesce("m1", "m2", "m3", F.lit(overall))
-    bound = mean - p.z * F.sqrt(mean * (1 - mean) / (F.coalesce("s1", F.lit(p.floor)) + 1))
+    for level, key, size in ((hosts, "host", F.col("size")), (domains, "domain", floor), (suffixes, "suffix", floor)):
+        found = answers(level, key, size)
+        rows = lookup(rows, key, found, f"of_{key}", found.count() <= p.small_hosts, "left")
+    none = F.struct(F.lit(overall).alias("mean"), chance_over(F.lit(overall), floor, p.limit).alias("chance"))
+    said = F.coalesce("by_host", "by_domain", "by_suffix", none)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("said"), F.round(mean, 9).alias("bad_mean"), F.round(bound, 9).alias("bad_bound"))
-    by_host = F.when(F.col("bad_bound") > p.limit, F.lit("block")).otherwise(F.lit("allow"))
-    return rows.select("page_id", "host", "path", "rule", F.coalesce("said", by_host).alias("verdict"), "bad_mean", "bad_bound")
+    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("said"), F.round(said["mean"], 9).alias("bad_mean"), F.round(said["chance"], 6).alias("bad_chance"))
+    by_host = F.when(F.col("bad_chance") >= p.sure, F.lit("block")).otherwise(F.lit("allow"))
+    return rows.select("page_id", "host", "path", "rule", F.coalesce("said", by_host).alias("verdict"), "bad_mean", "bad_chance")
 
 
 def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages; a page is labelled bad if the label of its number has low quality."""
+    """All pages; a page is labelled bad if the label of its number has low quality. Null
+    urls and labels, empty tables and repeated rows: see ``judge_urls``."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (1 - F.col("quality")).alias("bad"))
     return judge_urls(pages, pages.join(labels, pages["page_id"] == labels["doc_id"]).select("url", "bad"))
@@ -145,7 +197,8 @@ ORACLES = {
 WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(url, '^(?s:.*?)://[^/?#]*(/?[^?#]*)', 1) AS path FROM u),
-s AS (SELECT *, CASE WHEN host IN ('co.uk', 'com.au', 'co.jp', 'com.br') OR regexp_matches(host, '\.(co\.uk|com\.au|co\.jp|com\.br)$')
+s AS (SELECT *, CASE WHEN len(string_split(host, '.')) > 1 AND length(string_split(host, '.')[-1]) = 2
+          AND string_split(host, '.')[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'mil', 'ne', 'net', 'nom', 'or', 'org')
         THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE string_split(host, '.')[-1] END AS suffix FROM h),
 d AS (SELECT *, array_to_string(list_slice(string_split(host, '.'), greatest(1, len(string_split(host, '.')) - len(string_split(suffix, '.'))), len(string_split(host, '.'))), '.') AS domain FROM s),
 l AS (SELECT d.host, d.domain, d.suffix, CAST(1 - quality AS DOUBLE) AS bad FROM d JOIN labels ON page_id = doc_id WHERE quality IS NOT NULL),
@@ -169,8 +222,12 @@ r AS (SELECT page_id, d.host, path, coalesce(h1.mean, d1.mean, s1.mean, overall)
        WHEN (d.host LIKE '%.com' OR d.host = 'com') AND starts_with(path, '/fr/') THEN 'com/fr/'
        WHEN (d.host LIKE '%.com' OR d.host = 'com') AND starts_with(path, '/de/') THEN 'com/de/' END AS rule
   FROM d CROSS JOIN o LEFT JOIN h1 ON d.host = h1.host LEFT JOIN d1 ON d.domain = d1.domain LEFT JOIN s1 ON d.suffix = s1.suffix),
-b AS (SELECT *, round(m, 9) AS bad_mean, round(m - 2.0 * sqrt(m * (1 - m) / (sz + 1)), 9) AS bad_bound FROM r)
+g AS (SELECT DISTINCT m, sz, CASE WHEN m >= 0.5 THEN m * sz ELSE (1 - m) * sz END AS a, CASE WHEN m >= 0.5 THEN (1 - m) * sz ELSE m * sz END AS b FROM r),
+c AS (SELECT m, sz, CASE WHEN m <= 0 THEN 0.0 WHEN m >= 1 THEN 1.0 ELSE list_sum(list_transform(range(0, CAST(100 + 10 * sqrt(sz) AS BIGINT)), lambda k:
+          exp((a + b + k) * ln(0.5) + lgamma(a + b + k) - lgamma(a + 1 + k) - lgamma(b)))) END AS tail FROM g),
+b AS (SELECT r.*, round(r.m, 9) AS bad_mean, round(CASE WHEN r.m <= 0 OR r.m >= 1 THEN tail WHEN r.m >= 0.5 THEN 1 - tail ELSE tail END, 6) AS bad_chance
+      FROM r JOIN c ON r.m = c.m AND r.sz = c.sz)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN bad_bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict, bad_mean, bad_bound FROM b
+  WHEN bad_chance >= 0.977 THEN 'block' ELSE 'allow' END AS verdict, bad_mean, bad_chance FROM b
 """
 }

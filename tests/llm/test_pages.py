@@ -137,3 +137,30 @@ def test_reputation(spark):
     none = reputation.judge_urls(pages(spark, rows), labelled.limit(0))
     assert {r.verdict for r in none.where("rule IS NULL").collect()} == {"allow"}
     assert reputation.judge_urls(pages(spark, rows).limit(0), labelled).count() == 0
+
+
+def test_beta_tails(spark):
+    """Against sums over a fine grid of the density."""
+    import numpy as np
+
+    cases = [(0.9, 3.0), (0.2, 2.0), (0.5, 40.0), (0.97, 11.5), (0.51, 20_000.0), (0.03, 900.0), (0.6, 0.9)]
+    df = spark.createDataFrame(cases, "mean double, size double")
+    got = [r[0] for r in df.select(reputation.chance_over(F.col("mean"), F.col("size"), 0.5)).collect()]
+    u = (np.arange(4_000_000) + 0.5) / 4_000_000
+    for (mean, size), chance in zip(cases, got, strict=True):
+        # x = u^3 / (u^3 + (1-u)^3) softens both ends
+        odds = 3 * (np.log(u) - np.log1p(-u))
+        x = 1 / (1 + np.exp(-odds))
+        log = mean * size * np.log(x) + (1 - mean) * size * np.log1p(-x) - np.log(u) - np.log1p(-u)
+        w = np.exp(log - log.max())
+        assert chance == pytest.approx(w[x > 0.5].sum() / w.sum(), abs=2e-6), (mean, size)
+
+
+def test_suffix_list(spark, tmp_path):
+    (tmp_path / "list").write_text("// comment\ncom\nblogspot.com\n*.ck\n!www.ck\nCity.Kobe.jp\n")
+    found = reputation.read_suffixes(spark, str(tmp_path / "list"))
+    assert found == ("blogspot.com", "city.kobe.jp")
+    p = reputation.Reputation(suffixes=found)
+    hosts = spark.createDataFrame([("a.b.blogspot.com",), ("x.city.kobe.jp",), ("a.org.uk",), ("blogspot.com",), ("q.r.com",), ("",)], "h string")
+    s = reputation.suffix_of(F.col("h"), p)
+    assert [r[0] for r in hosts.select(reputation.domain_of(F.col("h"), s)).collect()] == ["b.blogspot.com", "x.city.kobe.jp", "a.org.uk", "blogspot.com", "r.com", ""]
