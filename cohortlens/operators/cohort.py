@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlens.operators.ranges import first_rows
+from cohortlens.workspace import Workspace
 
 
 def draw(seed: Column | str, key: str) -> Column:
@@ -80,16 +81,20 @@ def drop_exactly_one(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
-    """``id, label, ancestor, depth, dist`` for every node and each of its ancestors (itself
-    at 0), by a recursive query over ``id, parent, label, dist``."""
-    view = f"tree_{abs(hash(id(edges)))}"
-    edges.createOrReplaceTempView(view)
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE up MAX RECURSION LEVEL 10000 AS (
-          SELECT id, label, id AS ancestor, parent AS above, 0 AS depth, CAST(0 AS DOUBLE) AS dist, dist AS last FROM {view}
-          UNION ALL
-          SELECT up.id, up.label, t.id, t.parent, up.depth + 1, up.dist + up.last, t.dist FROM up JOIN {view} t ON up.above = t.id)
-        SELECT id, label, ancestor, depth, dist FROM up""")
+    """``id, label, ancestor, depth, dist`` for every node of ``id, parent, label, dist`` and
+    each of its ancestors (itself at 0). Pointers double: after k steps a node knows its
+    first 2^k ancestors, so a tree of any depth takes the logarithm of it."""
+    ws = Workspace(edges.sparkSession, "tree")
+    nodes = edges.select("id", "parent", "label", F.col("dist").cast("double").alias("dist"))
+    known = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"), F.lit(0.0).alias("dist"))
+    jump = ws.table(nodes.where("parent IS NOT NULL").select("id", F.col("parent").alias("to"), "dist"), "jump-0")
+    step = 0
+    while jump.head(1):
+        far = jump.toDF("id", "to", "more").join(known.toDF("to", "ancestor", "depth", "dist"), "to")
+        known = ws.table(known.unionByName(far.select("id", "ancestor", (F.col("depth") + (1 << step)).alias("depth"), (F.col("dist") + F.col("more")).alias("dist"))), f"known-{step}")
+        step += 1
+        jump = ws.table(jump.join(jump.toDF("to", "further", "more"), "to").select("id", F.col("further").alias("to"), (F.col("dist") + F.col("more")).alias("dist")), f"jump-{step}")
+    return known.join(nodes.select("id", "label"), "id").select("id", "label", "ancestor", "depth", "dist")
 
 
 def common_ancestor(edges: DataFrame, tips: list[str]) -> str | None:

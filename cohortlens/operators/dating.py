@@ -16,10 +16,13 @@ def linear_mean(sites: float, rate: Column, age: Column) -> Column:
     return sites * rate * F.greatest(age, F.lit(0.0))
 
 
-def nll_term(k: Column, mu: Column, age: Column) -> Column:
-    """A genome's part of the negative log likelihood: a steep penalty for ages below 0, a
-    flat one where the mean is not positive."""
-    return F.when(age < 0, F.lit(1e18) + F.abs(age) * 1e6).when(mu <= 0, F.lit(1e18)).otherwise(-(k * F.ln(mu) - mu))
+def nll(k: Column, mu: Column, age: Column, n: Column) -> Column:
+    """Aggregate: the negative log likelihood of all genomes (``n`` alike a row). If any age
+    is below 0: a penalty that grows with the sum of such ages; else if any mean is not
+    positive: a flat one."""
+    young = F.sum(n * F.greatest(-age, F.lit(0.0)))
+    part = F.when((age >= 0) & (mu > 0), n * (k * F.ln(mu) - mu))
+    return F.when(F.min(age) < 0, 1e18 + young * 1e6).when(F.min(mu) <= 0, 1e18).otherwise(-F.sum(part))
 
 
 def grid(spark, t0_low: float, t0_high: float, n_t0: int, rate_low: float, rate_high: float, n_rate: int) -> DataFrame:
@@ -36,7 +39,7 @@ def likelihoods(counts: DataFrame, points: DataFrame, sites: float, model: str =
     both = some.join(F.broadcast(points))  # the grid has a fixed size
     age = F.col("day") - F.col("t0")
     mean = (saturation_mean if model == "saturation" else linear_mean)(sites, F.col("rate"), age)
-    return both.groupBy(*groups, "t0", "rate").agg(F.sum(F.col("__n") * nll_term(F.col("k"), mean, age)).alias("nll"))
+    return both.groupBy(*groups, "t0", "rate").agg(nll(F.col("k"), mean, age, F.col("__n")).alias("nll"))
 
 
 def best_fit(likely: DataFrame, *groups: str) -> DataFrame:
@@ -59,8 +62,8 @@ def linear_profile(counts: DataFrame, dates: DataFrame, sites: float, *groups: s
     n = F.col("__n")
     sums = both.groupBy(*groups, "t0").agg(F.min("age").alias("youngest"), F.sum(n * F.col("k")).alias("sk"), F.sum(n * F.col("age")).alias("sa"), F.sum(n * F.col("k") * F.ln(F.when(F.col("age") > 0, F.col("age")))).alias("skl")).where("youngest > 0")
     rate = F.col("sk") / (sites * F.col("sa"))
-    nll = -(F.col("sk") * F.ln(F.lit(float(sites)) * rate) + F.coalesce("skl", F.lit(0.0)) - F.col("sk"))
-    return sums.select(*groups, "t0", rate.alias("rate"), nll.alias("nll"))
+    least = -(F.col("sk") * F.ln(F.lit(float(sites)) * rate) + F.coalesce("skl", F.lit(0.0)) - F.col("sk"))
+    return sums.select(*groups, "t0", rate.alias("rate"), least.alias("nll"))
 
 
 def profile_summary(profile: DataFrame, *groups: str, least_range: float = 2.0) -> DataFrame:
@@ -188,3 +191,25 @@ def compare_fits(a: DataFrame, b: DataFrame, group: str, days: float = 60) -> Da
 def saturated_share(rate_age: Column) -> Column:
     """Of sites hit at least once, those hit at least twice (Poisson hits)."""
     return F.when(rate_age > 0, (1 - F.exp(-rate_age) * (1 + rate_age)) / (1 - F.exp(-rate_age))).otherwise(0.0)
+
+
+def saturation_profile(likely: DataFrame, *groups: str) -> DataFrame:
+    """The best rate of a grid at each date with the saturation model (of ``likelihoods``)."""
+    return likely.groupBy(*groups, "t0").agg(F.min_by("rate", F.struct("nll", "rate")).alias("rate"), F.min("nll").alias("nll"))
+
+
+def basins(fits: DataFrame, *groups: str) -> DataFrame:
+    """``basin``, how many searches of ``basin, t0, rate, nll`` end there, and the best one."""
+    best = F.min_by(F.struct("t0", "rate", "nll"), F.struct("nll", "t0", "rate")).alias("x")
+    return fits.groupBy(*groups, "basin").agg(F.count("*").alias("n"), best).select(*groups, "basin", "n", "x.t0", "x.rate", "x.nll")
+
+
+def emergence(replicates: DataFrame, *groups: str) -> DataFrame:
+    """Median date of replicate fits ``t0``, and percentiles 5 and 95."""
+    at = lambda q: F.percentile("t0", F.lit(q))
+    return replicates.groupBy(*groups).agg(at(0.5).alias("median_t0"), at(0.05).alias("low_t0"), at(0.95).alias("high_t0"), F.count("t0").alias("n"))
+
+
+def largest_delta(clusters: DataFrame, delta: str = "delta_days") -> DataFrame:
+    """The largest difference of dates over all clusters; null without any."""
+    return clusters.agg(F.max(delta).alias("max_delta"), F.count(delta).alias("n_clusters"))

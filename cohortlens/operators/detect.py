@@ -74,3 +74,13 @@ def breakpoint_summary(calls: DataFrame, low: int, high: int) -> DataFrame:
     out = calls.groupBy("accession").agg(F.count("*").alias("n"), F.percentile("breakpoint", F.lit(0.5)).alias("median_bp"))
     far = F.when(F.col("median_bp") < low, low - F.col("median_bp")).when(F.col("median_bp") > high, F.col("median_bp") - high).otherwise(0.0)
     return out.withColumns({"inside": F.col("median_bp").between(low, high), "distance": far})
+
+
+def hypotheses(calls: DataFrame, control: str, total: int) -> DataFrame:
+    """Of ``consensus`` rows: how many candidates there are besides the control, with a
+    Wilson interval of their share of ``total``; H3 (any) and H4 (the control is one)."""
+    from cohortlens.operators import stats
+
+    agg = calls.agg(F.count_if(F.col("candidate") & (F.col("accession") != control)).alias("k"), F.coalesce(F.bool_or(F.col("candidate") & (F.col("accession") == control)), F.lit(False)).alias("h4"))
+    low, high = stats.wilson(F.col("k"), F.lit(float(total)))
+    return agg.select("k", low.alias("low"), high.alias("high"), (F.col("k") >= 1).alias("h3"), "h4")

@@ -63,7 +63,8 @@ def serialised(df: DataFrame) -> DataFrame:
 
 def tally(df: DataFrame) -> DataFrame:
     """How often each reason excludes, whatever its details."""
-    each = df.select(F.explode("exclusion_reasons").alias("reason"))
+    # an inner explode would have Spark filter by the list's size, working it out once more
+    each = df.select(F.explode_outer("exclusion_reasons").alias("reason")).where("reason IS NOT NULL")
     return each.groupBy(F.split_part("reason", F.lit(":"), F.lit(1)).alias("reason")).agg(F.count("*").alias("n"))
 
 

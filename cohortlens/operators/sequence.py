@@ -12,18 +12,22 @@ def reverse_complement(seq: Column) -> Column:
 
 def terminal_repeat(seq: Column, max_bp: int = 20_000, min_bp: int = 1000) -> Column:
     """The longest head of ``min_bp`` or more that is the reverse complement of the tail, by
-    bisection: if a head matches, so does every shorter one. 0 if none does."""
+    bisection: if a head matches, so does every shorter one. 0 if none does. Case is ignored."""
+    seq = F.upper(seq)
     n = F.least(F.lit(max_bp), F.floor(F.length(seq) / 2).cast("int"))
-    head, tail = F.left(seq, n), F.left(reverse_complement(seq), n)
-    matches = lambda k: F.left(head, k) == F.left(tail, k)
+    ends = F.struct(F.left(seq, n).alias("head"), F.left(reverse_complement(seq), n).alias("tail"), n.alias("n"))
+    steps = F.sequence(F.lit(1), F.lit(max(1, max_bp).bit_length() + 1))
 
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["low"] + s["high"] + 1) / 2).cast("int")
-        ok = matches(mid)
-        return F.when(s["low"] >= s["high"], s).otherwise(F.struct(F.when(ok, mid).otherwise(s["low"]).alias("low"), F.when(ok, s["high"]).otherwise(mid - 1).alias("high")))
+    def longest(x: Column) -> Column:
+        def halve(s: Column, _: Column) -> Column:
+            mid = F.floor((s["low"] + s["high"] + 1) / 2).cast("int")
+            ok = F.left(x["head"], mid) == F.left(x["tail"], mid)
+            return F.when(s["low"] >= s["high"], s).otherwise(F.struct(F.when(ok, mid).otherwise(s["low"]).alias("low"), F.when(ok, s["high"]).otherwise(mid - 1).alias("high")))
 
-    steps = F.sequence(F.lit(1), F.lit(max(1, max_bp).bit_length() + 1))
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("low"), n.alias("high")), halve, lambda s: s["low"])
+        return F.aggregate(steps, F.struct(F.lit(0).alias("low"), x["n"].alias("high")), halve, lambda s: s["low"])
+
+    # as the element of an array, both ends are cut once, not at every step
+    found = F.get(F.transform(F.array(ends), longest), F.lit(0))
     return F.when(found >= min_bp, found).otherwise(0)
 
 
@@ -73,12 +77,11 @@ def site_totals(sites: DataFrame) -> DataFrame:
     return sites.agg(F.count("*").alias("l_total"), F.count_if(F.col("context") == "TC").alias("l_tc"), F.count_if(F.col("context") == "GA").alias("l_ga"))
 
 
-def variants(genomes: DataFrame, reference: DataFrame, same_length: bool = True) -> DataFrame:
-    """``accession, pos, ref, alt, context``: only the positions that differ are exploded;
-    the context is the reference's. ``reference``: one row, ``seq``. Genomes of another
-    length are skipped, or compared as far as both go."""
+def _compared(genomes: DataFrame, reference: DataFrame, same_length: bool, *keep: str) -> DataFrame:
+    """``keep`` and ``changes``: an array of the places where a genome and the reference have
+    different known bases."""
     ref = F.broadcast(reference.select(bases(F.upper("seq")).alias("ref")))  # one row
-    both = genomes.select("accession", bases(F.upper("seq")).alias("alt")).join(ref)
+    both = genomes.select(*keep, bases(F.upper("seq")).alias("alt")).join(ref)
     both = both.where(F.size("alt") == F.size("ref")) if same_length else both
 
     def change(b: Column, i: Column) -> Column:
@@ -89,7 +92,51 @@ def variants(genomes: DataFrame, reference: DataFrame, same_length: bool = True)
 
     known = ("A", "C", "G", "T")
     differ = F.filter(F.transform("alt", change), lambda x: (x["ref"] != x["alt"]) & x["ref"].isin(*known) & x["alt"].isin(*known))
-    return both.select("accession", F.explode(differ).alias("x")).select("accession", "x.*")
+    return both.select(*keep, differ.alias("changes"))
+
+
+def variants(genomes: DataFrame, reference: DataFrame, same_length: bool = True) -> DataFrame:
+    """``accession, pos, ref, alt, context``: only the positions that differ are exploded;
+    the context is the reference's. ``reference``: one row, ``seq``. Genomes of another
+    length are skipped, or compared as far as both go."""
+    return _compared(genomes, reference, same_length, "accession").select("accession", F.explode("changes").alias("x")).select("accession", "x.*")
+
+
+def count_variants(genomes: DataFrame, reference: DataFrame, same_length: bool = True) -> DataFrame:
+    """``variant_counts`` of every genome in one pass: sizes of arrays, no row a difference,
+    no shuffle. Genomes of another length are left out if ``same_length``."""
+    out = _compared(genomes, reference, same_length, "accession")
+    out = out.select("accession", F.transform("changes", lambda x: x["context"].isNotNull()).alias("hits"))
+    total, hit = F.size("hits").cast("long"), F.size(F.filter("hits", lambda h: h)).cast("long")
+    out = out.select("accession", total.alias("total_snvs"), hit.alias("apobec3_snvs"), (total - hit).alias("non_apobec3_snvs"))
+    return out.withColumn("apobec3_fraction", F.when(F.col("total_snvs") > 0, F.col("apobec3_snvs") / F.col("total_snvs")).otherwise(0.0))
+
+
+def branch_counts(genomes: DataFrame, ancestor: DataFrame, clade: str = "Ib") -> tuple[DataFrame, DataFrame]:
+    """Of the genomes of a clade (``accession, clade, seq``): their counts against the
+    ancestral sequence (one row, ``seq``), and a row ``n_tips, n_skipped``: those of another
+    length are skipped."""
+    tips = genomes.where(F.col("clade") == clade)
+    length = F.broadcast(ancestor.select(F.length("seq").alias("n")))  # one row
+    state = tips.join(length).agg(F.count("*").alias("n_tips"), F.count_if(F.length("seq") != F.col("n")).alias("n_skipped"))
+    return count_variants(tips, ancestor), state
+
+
+def masked_bp(intervals: DataFrame) -> DataFrame:
+    """``intervals, bp``: how many and their lengths' sum; overlaps count twice."""
+    return intervals.agg(F.count("*").alias("intervals"), F.sum(F.col("end") - F.col("start")).alias("bp"))
+
+
+def annotate(found: DataFrame, reference: DataFrame, genes: DataFrame) -> DataFrame:
+    """Variants with the three bases of the reference around each (N beyond the ends) and the
+    gene it is in (``gene, start, end``, half-open, from 0; the first by start, then name;
+    null outside). Genes are joined by bins of 1024 bases, not by a range of all."""
+    ref = F.broadcast(reference.select(F.concat(F.lit("N"), F.upper("seq"), F.lit("N")).alias("padded")))  # one row
+    out = found.join(ref).withColumn("trinucleotide", F.col("padded").substr(F.col("pos"), F.lit(3))).drop("padded")
+    binned = genes.select("gene", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / 1024), F.floor((F.col("end") - 1) / 1024))).alias("bin"))
+    hit = out.select("accession", "pos", F.floor((F.col("pos") - 1) / 1024).alias("bin")).distinct().join(binned, "bin").where("pos - 1 >= start AND pos - 1 < end")
+    hit = hit.groupBy("accession", "pos").agg(F.min(F.struct("start", "gene"))["gene"].alias("gene"))
+    return out.join(hit, ["accession", "pos"], "left")
 
 
 def variant_counts(genomes: DataFrame, found: DataFrame) -> DataFrame:

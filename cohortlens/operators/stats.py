@@ -89,11 +89,15 @@ def rank_sum(df: DataFrame, value: str, in_first: str) -> DataFrame:
 
 
 def normal_tail(z: Column) -> Column:
-    """P(Z > z) to 1e-7 (Abramowitz and Stegun 26.2.17)."""
+    """P(Z > z) to some 12 digits, however small: a series for the middle, a continued
+    fraction beyond 2.5."""
     a = F.abs(z)
-    t = 1 / (1 + 0.2316419 * a)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    upper = F.exp(-a * a / 2) / math.sqrt(2 * math.pi) * poly
+    density = F.exp(-a * a / 2) / math.sqrt(2 * math.pi)
+    start = F.struct(a.alias("term"), a.alias("sum"))
+    grow = lambda s, k: F.struct((s["term"] * a * a / (2 * k + 1)).alias("term"), (s["sum"] + s["term"] * a * a / (2 * k + 1)).alias("sum"))
+    middle = 0.5 - density * F.aggregate(F.sequence(F.lit(1), F.lit(50)), start, grow, lambda s: s["sum"])
+    far = density / F.aggregate(F.sequence(F.lit(120), F.lit(1)), a, lambda s, k: a + k / s)
+    upper = F.when(a < 2.5, middle).otherwise(far)
     return F.when(z >= 0, upper).otherwise(1 - upper)
 
 
@@ -163,3 +167,20 @@ def graded_exclusion(df: DataFrame, distance: str, num: str, den: str, cutoffs:
     kept = F.abs(F.col(distance)) <= F.col("cutoff")
     a, b = F.sum(F.when(kept, F.col(num))), F.sum(F.when(kept, F.col(den)))
     return each.groupBy("cutoff").agg(F.count_if(kept).alias("n"), F.when(b > 0, a / b).alias("pooled_fraction"))
+
+
+def cross_spearman(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rank correlation of each column between two tables with one row a key: ``measure, n, rho``."""
+    both = left.select(key, *[F.col(c).alias(f"{c}_left") for c in columns]).join(right.select(key, *[F.col(c).alias(f"{c}_right") for c in columns]), key)
+    out = None
+    for c in columns:
+        one = spearman(both, f"{c}_left", f"{c}_right").select(F.lit(c).alias("measure"), "n", "rho")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def dated_fraction(df: DataFrame, date: str, part: str, whole: str, *groups: str) -> DataFrame:
+    """Pooled fraction over rows with a date; null where there is nothing to divide by."""
+    total = F.sum(whole)
+    out = df.where(F.col(date).isNotNull()).groupBy(*groups)
+    return out.agg(F.count("*").alias("n"), F.when(total > 0, F.sum(part) / total).alias("pooled_fraction"))

@@ -39,7 +39,7 @@ def r6(c, name: str | None = None):
 
 # --- quality control -------------------------------------------------------------------
 
-LIMITS = qc.Limits(min_length=200, max_n=0.05, max_other=0.75, organisms=("src1", "src2", "src3"))
+LIMITS = qc.Limits(min_length=200, max_n=0.1, max_other=0.75, organisms=("src1", "src2", "src3"))
 
 _RECORDS_SQL = """
 r AS (SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, source AS organism,
@@ -48,17 +48,17 @@ r AS (SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, source AS organism,
        CASE WHEN length(text) > 0 THEN (length(text) - length(translate(text, 'Nn', ''))) * 1.0 / length(text) WHEN text IS NOT NULL THEN 0.0 END AS nf,
        CASE WHEN length(text) > 0 THEN length(translate(text, 'ACGTNacgtn', '')) * 1.0 / length(text) WHEN text IS NOT NULL THEN 0.0 END AS af,
        CASE coalesce(d.doc_id, l.doc_id) % 4 WHEN 0 THEN '2024-05-01' WHEN 1 THEN '2024-05' WHEN 2 THEN '2024' ELSE '' END AS cdate,
-       CASE WHEN toxic = 1 THEN 'Bad' ELSE 'good' END AS qc
+       CASE WHEN toxic = 1 THEN 'Bad' ELSE 'good' END AS qc, CASE WHEN coalesce(d.doc_id, l.doc_id) % 11 = 0 THEN 'bad' ELSE 'good' END AS fs
   FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id),
 x AS (SELECT *, CASE WHEN cdate LIKE '____-__-__' THEN 'day' WHEN cdate LIKE '____-__' THEN 'month' WHEN cdate LIKE '____' THEN 'year' ELSE 'unknown' END AS res FROM r),
 q AS (SELECT *, list_filter([
   CASE WHEN organism <> '' AND NOT (contains(lower(organism), 'src1') OR contains(lower(organism), 'src2') OR contains(lower(organism), 'src3')) THEN 'organism_not_mpxv:' || substr(organism, 1, 30) END,
   CASE WHEN clade <> '' AND NOT ((starts_with(clade, 'I') AND NOT starts_with(clade, 'II')) OR contains(clade, '/') OR clade IN ('IIb', 'II')) THEN 'clade_excluded:' || clade END,
   CASE WHEN seq_length IS NULL THEN 'no_sequence_found' WHEN seq_length < 200 THEN 'length_lt_200:' || seq_length END,
-  CASE WHEN nf > 0.05 THEN 'n_fraction_gt_0.05:' || printf('%.3f', nf) END,
+  CASE WHEN nf > 0.1 THEN 'n_fraction_gt_0.1:' || printf('%.3f', nf) END,
   CASE WHEN af > 0.75 THEN 'non_acgtn_gt_0.75:' || printf('%.3f', af) END,
   CASE WHEN res NOT IN ('day', 'month') THEN 'date_resolution_' || res || '_lt_month' END,
-  CASE WHEN lower(qc) = 'bad' THEN 'nextclade_qc_bad' END], lambda z: z IS NOT NULL) AS reasons FROM x)
+  CASE WHEN lower(qc) = 'bad' THEN 'nextclade_qc_bad' END, CASE WHEN fs = 'bad' THEN 'frameshift_qc_bad' END], lambda z: z IS NOT NULL) AS reasons FROM x)
 """
 
 
@@ -71,7 +71,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.col("source").alias("organism"), F.when(F.col("quality").isNull(), "").when(F.col("quality") == 1, "Ia").otherwise("IIa").alias("clade"),
         F.length("text").cast("long").alias("seq_length"), S.n_fraction(F.col("text")).alias("n_fraction"), S.non_acgtn_fraction(F.col("text")).alias("non_acgtn_fraction"),
         F.when(cycle == 0, "2024-05-01").when(cycle == 1, "2024-05").when(cycle == 2, "2024").otherwise("").alias("collection_date"),
-        F.when(F.col("toxic") == 1, "Bad").otherwise("good").alias("qc"), F.lit("good").alias("frameshift_qc"),
+        F.when(F.col("toxic") == 1, "Bad").otherwise("good").alias("qc"), F.when(F.col("doc_id") % 11 == 0, "bad").otherwise("good").alias("frameshift_qc"),
     )
 
 
@@ -131,9 +131,14 @@ def fn_composition(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.length(t).alias("len"), r6(S.n_fraction(t), "n_fraction"), r6(S.non_acgtn_fraction(t), "other_fraction"), S.non_gap_length(t).alias("non_gap"))
 
 
-@query("""SELECT CASE trim(split_part(n_name, ':', 1)) WHEN 'Canada' THEN 'AMR' WHEN 'Brazil' THEN 'AMR' ELSE 'other' END AS region, count(*) AS n FROM nation GROUP BY 1""")
+_PLACES = ("Canada: Ottawa", "Brazil", "Nigeria: Lagos", "France ", "Atlantis", "", "Japan: Tokyo")
+
+
+@query("""WITH p AS (SELECT n_nationkey, ['Canada: Ottawa', 'Brazil', 'Nigeria: Lagos', 'France ', 'Atlantis', '', 'Japan: Tokyo'][n_nationkey % 7 + 1] AS place FROM nation)
+ SELECT n_nationkey, place, CASE trim(split_part(place, ':', 1)) WHEN 'Canada' THEN 'AMR' WHEN 'Brazil' THEN 'AMR' WHEN 'Nigeria' THEN 'AFR' WHEN 'France' THEN 'EUR' WHEN 'Japan' THEN 'WPR' WHEN '' THEN 'unknown' ELSE 'other' END AS region FROM p""")
 def fn_regions(spark, sf):
-    return table(spark, sf, "nation").groupBy(S.who_region(F.col("n_name")).alias("region")).agg(F.count("*").alias("n"))
+    place = F.element_at(F.array(*map(F.lit, _PLACES)), (F.col("n_nationkey") % 7 + 1).cast("int"))
+    return table(spark, sf, "nation").select("n_nationkey", place.alias("place"), S.who_region(place).alias("region"))
 
 
 @query("""WITH s AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'n/a' ELSE CAST(year(o_orderdate) + o_orderkey % 30 AS VARCHAR) END AS s FROM orders)
@@ -180,9 +185,9 @@ def jn_semi(spark, sf):
     return table(spark, sf, "customer").join(big, "c_custkey", "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 350000)")
 def jn_anti(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return table(spark, sf, "customer").join(table(spark, sf, "orders").where("o_totalprice > 350000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL) AS flagged FROM customer")
@@ -325,7 +330,7 @@ def seq_variants(spark, sf, most=512):
 @query(f"""WITH {_VARIANTS_SQL}, c AS (SELECT accession, count(*) AS t, count(context) AS a FROM v GROUP BY 1)
  SELECT s.accession, coalesce(t, 0) AS total_snvs, coalesce(a, 0) AS apobec3_snvs, coalesce(t - a, 0) AS non_apobec3_snvs, round(CASE WHEN t > 0 THEN a * 1.0 / t ELSE 0 END, 6) AS apobec3_fraction FROM s LEFT JOIN c ON s.accession = c.accession""")
 def seq_variant_counts(spark, sf, most=512):
-    out = sequence.variant_counts(sequences(spark, sf, most), sequence.variants(sequences(spark, sf, most), reference(spark, sf, most), same_length=False))
+    out = sequence.count_variants(sequences(spark, sf, most), reference(spark, sf, most), same_length=False)
     return out.withColumn("apobec3_fraction", r6("apobec3_fraction"))
 
 
@@ -390,10 +395,13 @@ def win_ranks(spark, sf):
 
 
 @query("""WITH r AS (SELECT o_orderstatus = 'F' AS f, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0 AS r FROM orders)
- SELECT count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, round(sum(r) FILTER (f) - count(*) FILTER (f) * (count(*) FILTER (f) + 1) / 2.0, 6) AS u FROM r""")
+ , t AS (SELECT sum(c ** 3 - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM orders WHERE o_totalprice IS NOT NULL GROUP BY o_totalprice)),
+ u AS (SELECT count(*) FILTER (f)::DOUBLE AS n1, count(*) FILTER (NOT f)::DOUBLE AS n2, sum(r) FILTER (f) - count(*) FILTER (f) * (count(*) FILTER (f) + 1) / 2.0 AS u FROM r),
+ z AS (SELECT *, (u - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM u, t)
+ SELECT n1::BIGINT AS n1, n2::BIGINT AS n2, round(u, 6) AS u, round(z, 6) AS z FROM z""")
 def st_rank_sum(spark, sf):
     df = table(spark, sf, "orders").select("o_totalprice", (F.col("o_orderstatus") == "F").alias("f"))
-    return stats.rank_sum(df, "o_totalprice", "f").select("n1", "n2", r6("u", "u"))
+    return stats.rank_sum(df, "o_totalprice", "f").select("n1", "n2", r6("u", "u"), r6("z", "z"))
 
 
 @query("""WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS x, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS y FROM lineitem)
@@ -488,7 +496,7 @@ def _grid(spark: SparkSession) -> DataFrame:
     return dating.grid(spark, 738600.0, 738800.0, 40, 1e-6, 1e-2, 40)
 
 
-_NLL = "sum(CASE WHEN day - t0 < 0 THEN 1e18 + abs(day - t0) * 1e6 WHEN {mu} <= 0 THEN 1e18 ELSE -(k * ln({mu}) - {mu}) END)"
+_NLL = "CASE WHEN min(day - t0) < 0 THEN 1e18 + sum(greatest(t0 - day, 0)) * 1e6 WHEN min({mu}) <= 0 THEN 1e18 ELSE -sum(CASE WHEN {mu} > 0 THEN k * ln({mu}) - {mu} END) END"
 _SAT, _LIN = "(23140.0 * (1 - exp(-rate * greatest(day - t0, 0))))", "(23140.0 * rate * greatest(day - t0, 0))"
 
 
@@ -511,9 +519,9 @@ def ml_profile(spark, sf):
     return dating.linear_profile(counts(spark, sf), dates, 23140.0, "g").select("g", "t0", r6(F.log10("rate"), "log_rate"), F.round("nll", 4).alias("nll"))
 
 
-@query(f"WITH {_COUNTS_SQL} SELECT g, count(*) AS n, round(regr_slope(k, day), 6) AS slope FROM c GROUP BY 1")
+@query(f"WITH {_COUNTS_SQL} SELECT g, count(*) AS n, round(regr_slope(k, day), 6) AS slope, round(regr_intercept(k, day), 2) AS intercept, round(-regr_intercept(k, day) / regr_slope(k, day), 1) AS t0 FROM c GROUP BY 1")
 def ml_root_to_tip(spark, sf):
-    return dating.root_to_tip(counts(spark, sf), "g").select("g", "n", r6("slope", "slope"))
+    return dating.root_to_tip(counts(spark, sf), "g").select("g", "n", r6("slope", "slope"), F.round("intercept", 2).alias("intercept"), F.round("t0", 1).alias("t0"))
 
 
 @query()
@@ -542,3 +550,6 @@ def tr_ancestors(spark, sf):
     n = F.col("n_nationkey").cast("long")
     edges = table(spark, sf, "nation").select((n + 1).alias("id"), F.when(n > 0, F.floor((n + 1) / 2)).alias("parent"), F.col("n_name").alias("label"), F.lit(1.0).alias("dist"))
     return cohort.ancestors(edges)
+
+
+from cohortlens.plans import more  # noqa: E402, F401  (adds its queries to the two tables)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import partial
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,10 +163,77 @@ def union_accessions(*tables: DataFrame) -> DataFrame:
     return out.dropna().distinct()
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """``path, size, sha256`` of every file below a folder."""
+def _hashed(batches, limit: int):
+    """Size and SHA-256 of each path, read 1 MiB at a time."""
+    import hashlib
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        out = []
+        for path in batch.column(0).to_pylist():
+            local = re.fullmatch(r"file:/*(/.*)", path)
+            store, at = (fs.LocalFileSystem(), local[1]) if local else fs.FileSystem.from_uri(quote(path, safe=":/@"))
+            digest = hashlib.sha256()
+            with store.open_input_stream(at) as f:
+                while piece := f.read(limit):
+                    digest.update(piece)
+            out.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["path", "size", "sha256"])
+
+
+def manifest(spark: SparkSession, path: str, small: int = 1 << 28) -> DataFrame:
+    """``path, size, sha256`` of every file below a folder. Files over ``small`` bytes (Spark
+    reads none over 2 GiB whole) are streamed by their tasks, from any store of Arrow's.
+    Spark passes over empty files: they have no row."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    whole = files.where(F.col("length") <= small).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > small).select("path", F.col("length").alias("size"))
+    return whole.unionByName(large.mapInArrow(partial(_hashed, limit=1 << 20), "path string, size long, sha256 string"))
+
+
+def folder_record(files: DataFrame) -> DataFrame:
+    """One row of a manifest: ``files, size, sha256`` of the sorted list of its digests and paths."""
+    lines = F.sort_array(F.collect_list(F.concat_ws("  ", "sha256", "path")))
+    return files.agg(F.count("*").alias("files"), F.sum("size").alias("size"), F.sha2(F.array_join(lines, "\n"), 256).alias("sha256"))
+
+
+def read_parameters(spark: SparkSession, path: str) -> dict:
+    """A JSON object of parameters or results in a file of its own."""
+    rows = spark.read.option("multiLine", True).json(path).limit(1).collect()
+    return rows[0].asDict(recursive=True) if rows else {}
+
+
+def read_bundle(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
+    """Records of a JSONL bundle as flat text columns: ``name: a.path.in.the.record``."""
+    raw = spark.read.text(path).where("trim(value) != ''")
+    return raw.select(*[F.get_json_object("value", "$." + at).alias(name) for name, at in fields.items()])
+
+
+def clock_roots(dates: DataFrame, most: int = 5) -> DataFrame:
+    """The first rows (by name) of a table of dated nodes that are inner nodes or roots."""
+    return dates.where(F.col("node").startswith("NODE_") | F.col("node").rlike("(?i)root")).orderBy("node").limit(most)
+
+
+def clock_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``name, value`` of the ``rate:`` and ``intercept:`` lines of a clock report."""
+    found = spark.read.text(path).select(F.regexp_extract("value", r"(rate|intercept):\s*(\S+)", 1).alias("name"), F.regexp_extract("value", r"(rate|intercept):\s*(\S+)", 2).alias("v"))
+    return found.where("name != ''").select("name", F.expr("try_cast(v AS double)").alias("value"))
+
+
+def scan_p(spark: SparkSession, path: str, child: str) -> DataFrame:
+    """``flagged, min_p, n_triples`` of a detector's lines that name a child: the smallest
+    number above 0 and up to 1 in any of their fields, set apart by commas or tabs."""
+    lines = spark.read.text(path).where(F.col("value").contains(child))
+    numbers = F.transform(F.split("value", "[,\t]"), lambda x: F.trim(x).try_cast("double"))
+    least = F.array_min(F.filter(numbers, lambda v: (v > 0) & (v <= 1)))
+    return lines.agg((F.count("*") > 0).alias("flagged"), F.min(least).alias("min_p"), F.count("*").alias("n_triples"))
+
+
+def mask_source(*paths: tuple[str, str | None]) -> tuple[str, str] | None:
+    """Of ``(kind, path)`` in order of priority, the first that is given."""
+    return next(((kind, path) for kind, path in paths if path), None)
 
 
 def verify_manifest(now: DataFrame, then: DataFrame) -> DataFrame:
