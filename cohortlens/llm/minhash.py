@@ -164,15 +164,18 @@ def _few(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def _confirmed(asked: DataFrame, docs: DataFrame, p: NearDuplicates, ws: Workspace, name: str) -> DataFrame:
+def _confirmed(asked: DataFrame, members: DataFrame | None, docs: DataFrame, p: NearDuplicates, ws: Workspace, name: str) -> DataFrame:
     """Links ``u, v`` of ``part, block, x, ys``: whether document ``x`` is close to one of
-    the documents ``ys`` by their whole sets. A block has ``star`` different ys or so; many
-    askers of one block are dealt to several groups, each with the block's texts once."""
+    the documents ``ys`` by their whole sets. The ys are among the ``members`` (``part,
+    block, id``) of the block, ``star`` or so; without members each part is a document.
+    Many askers of one block are dealt to several groups, each with its texts once."""
     asked = ws.table(asked, f"{name}-asked")
+    if members is None:
+        members = asked.select("part", "block", F.col("part").alias("id")).distinct()
     salts = asked.groupBy("part", "block").agg(F.ceil(F.count("*") / p.star).alias("n"))
-    xs = asked.join(salts, ["part", "block"]).select("part", "block", F.pmod(F.xxhash64("x"), "n").alias("salt"), F.col("x").alias("id"), "ys", "n")
-    ys = xs.select("part", "block", "salt", F.explode("ys").alias("id")).distinct().select("*", F.lit(None).cast("array<long>").alias("ys"))
-    rows = ws.table(ys.union(xs.drop("n").select("part", "block", "salt", "id", "ys")), f"{name}-rows")
+    xs = asked.join(salts, ["part", "block"]).select("part", "block", F.pmod(F.xxhash64("x"), "n").alias("salt"), F.col("x").alias("id"), "ys")
+    ys = members.join(salts, ["part", "block"]).select("part", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("salt"), "id", F.lit(None).cast("array<long>").alias("ys"))
+    rows = ws.table(ys.union(xs), f"{name}-rows")
     ids = ws.table(rows.select(F.col("id").alias("doc_id")).distinct(), f"{name}-ids")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(_few(ids, p.small_ids), "doc_id", "left_semi")
     # an id may repeat in the input, with one text or several
@@ -188,7 +191,7 @@ def verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, p: NearDuplicates
     both = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
     close = both.mapInArrow(partial(_prune, p=p), "a long, b long")
     asked = close.select(F.col("a").alias("part"), F.lit(0).cast("long").alias("block"), F.col("b").alias("x"), F.array("a").alias("ys"))
-    return _confirmed(asked, docs, p, ws, name)
+    return _confirmed(asked, None, docs, p, ws, name)
 
 
 def _near_blocks(table: pa.Table, p: NearDuplicates) -> pa.Table:
@@ -240,14 +243,16 @@ def _far_links(known: DataFrame, linked: DataFrame, docs: DataFrame, p: NearDupl
     members = known.select("rep", "part").distinct().join(linked.select("rep", "n_shingles"), "rep")
     wide = members.groupBy("part").agg(F.greatest(F.ceil(F.count("*") / p.star), F.ceil(F.sum("n_shingles") / p.block_shingles)).alias("cut")).where("cut > 1")
     wide = ws.table(wide, "far-wide")
-    rows = known.join(_few(wide, p.small_ids), "part", "left").join(linked.select("rep", "sig", "bands"), "rep")
-    rows = rows.withColumn("vblock", F.when(F.col("cut") > 1, F.pmod(F.xxhash64("rep", F.lit(3)), F.col("cut"))).otherwise(F.lit(0).cast("long")))
+    narrow = known.join(_few(wide, p.small_ids), "part", "left")
+    narrow = narrow.withColumn("vblock", F.when(F.col("cut") > 1, F.pmod(F.xxhash64("rep", F.lit(3)), F.col("cut"))).otherwise(F.lit(0).cast("long")))
+    rows = narrow.join(linked.select("rep", "sig", "bands"), "rep")
     near = rows.select("*", F.lit(False).alias("far"), F.pmod(F.xxhash64("rep"), blocks("n_all")).alias("yb"), F.explode(F.sequence(F.lit(0).cast("long"), blocks("n_far") - 1)).alias("xb"))
     far = rows.where("rest").select("*", F.lit(True).alias("far"), F.pmod(F.xxhash64("rep"), blocks("n_far")).alias("xb"), F.explode(F.sequence(F.lit(0).cast("long"), blocks("n_all") - 1)).alias("yb"))
     cols = ["bucket", "rep", "part", "vblock", "sig", "bands", "rest", "far", "xb", "yb"]
     asked = near.select(*cols).union(far.select(*cols)).groupBy("bucket", "xb", "yb").applyInArrow(near_blocks, "x long, part long, block long, ys array<long>")
     asked = asked.groupBy("part", "block", "x").agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys"))
-    return _confirmed(asked, docs, p, ws, "far")
+    members = narrow.select("part", F.col("vblock").alias("block"), F.col("rep").alias("id")).distinct()
+    return _confirmed(asked, members, docs, p, ws, "far")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:
