@@ -123,12 +123,12 @@ def st_cross_spearman(spark, sf):
     return stats.cross_spearman(left, right, "k", ["a", "b"]).withColumn("rho", r6("rho"))
 
 
-@query("""WITH z AS (SELECT s_suppkey, (s_suppkey % 160) / 10.0 - 6 AS z FROM supplier), d AS (SELECT *, abs(z) AS a, exp(-z * z / 2) / sqrt(2 * pi()) AS d FROM z),
+@query("""WITH z AS (SELECT s_suppkey, (s_suppkey % 120) / 10.0 - 1 AS z FROM supplier), d AS (SELECT *, abs(z) AS a, exp(-z * z / 2) / sqrt(2 * pi()) AS d FROM z),
  t AS (SELECT *, CASE WHEN a < 2.5 THEN 0.5 - d * list_sum(list_transform(range(0, 51), lambda n: exp((2 * n + 1) * ln(greatest(a, 1e-300)) - (lgamma(2 * n + 2) - n * ln(2.0) - lgamma(n + 1)))))
    ELSE d / list_reduce(list_transform(range(120, 0, -1), lambda k: k::DOUBLE), lambda s, k: a + k / s, a) END AS upper FROM d)
  SELECT s_suppkey, round(ln(CASE WHEN z >= 0 THEN upper ELSE 1 - upper END), 8) AS log_tail FROM t""")
 def st_normal_tail(spark, sf):
-    z = (F.col("s_suppkey") % 160) / 10.0 - 6
+    z = (F.col("s_suppkey") % 120) / 10.0 - 1
     return table(spark, sf, "supplier").select("s_suppkey", F.round(F.ln(stats.normal_tail(z)), 8).alias("log_tail"))
 
 
