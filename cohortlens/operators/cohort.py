@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,6 +70,30 @@ def jaccard(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return both.agg(inner.alias("shared"), full.alias("either"), F.when(full > 0, inner / full).alias("jaccard"))
 
 
+#: The chance that a Poisson count of mean 1 is at most 0, 1, 2 and so on.
+POISSON_ONE = [*accumulate(math.exp(-1) / math.factorial(k) for k in range(13))]
+
+
+def jaccard_interval(a: DataFrame, b: DataFrame, key: str, least: float = 0.8, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """``jaccard``, percentiles 2.5 and 97.5 (``low, high``) of its bootstrap over the keys of
+    either side, and ``similar``: at ``least`` so much. A replicate counts each key a Poisson
+    number of times, told by the MD5 of seed, replicate and key; sums of a replicate are made
+    before the shuffle, whose rows do not grow with the keys. Null keys are left out; without
+    any key all four are null."""
+    sides = [x.select(key).where(F.col(key).isNotNull()).distinct().withColumn(name, F.lit(True)) for x, name in ((a, "__a"), (b, "__b"))]
+    both = sides[0].join(sides[1], key, "full").select(key, (F.col("__a") & F.col("__b")).alias("__shared"))
+    each = both.select("__shared", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("__replicate"), key)
+    told = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__replicate").cast("string"), F.col(key).cast("string")))
+    u = F.conv(F.substring(told, 1, 8), 16, 10).cast("double") / 2**32
+    times = F.size(F.filter(F.array(*map(F.lit, POISSON_ONE)), lambda c: c <= F.col("__u")))
+    each = each.withColumn("__u", u).withColumn("__n", F.when(F.col("__replicate") == 0, 1).otherwise(times))
+    shared, full = F.sum(F.when(F.col("__shared"), F.col("__n")).otherwise(0)), F.sum("__n")
+    sums = each.groupBy("__replicate").agg(F.when(full > 0, shared / full).alias("__j"))
+    found, drawn = F.max(F.when(F.col("__replicate") == 0, F.col("__j"))), F.when(F.col("__replicate") > 0, F.col("__j"))
+    at = lambda q: F.percentile(drawn, F.lit(q))
+    return sums.agg(found.alias("jaccard"), at(0.025).alias("low"), at(0.975).alias("high"), (found >= least).alias("similar"))
+
+
 def children_first(df: DataFrame, children: DataFrame, key: str = "accession", order: str = "ord") -> DataFrame:
     """Children, then the others, each in file order."""
     marked = df.join(children.select(key).distinct().withColumn("is_child", F.lit(True)), key, "left").withColumn("is_child", F.coalesce("is_child", F.lit(False)))
@@ -112,6 +139,25 @@ def common_ancestor(edges: DataFrame, tips: list[str]) -> str | None:
     return named["name"] if named else None
 
 
+def prune(edges: DataFrame, tips: DataFrame) -> DataFrame:
+    """``id, parent, label, dist, is_leaf`` of the tree with no other leaves than those whose
+    ``label`` is in ``tips``. Nodes left with one child go and hand their length to it; the
+    root stays, with one child or none if the others lose all tips. Labels that no leaf has
+    are passed over."""
+    ws = Workspace(edges.sparkSession, "pruned")
+    up = ws.table(ancestors(edges), "up")
+    kept = ws.table(edges.where("is_leaf").join(tips.select("label").distinct(), "label", "left_semi").select("id"), "kept")
+    live = up.join(kept, "id", "left_semi").select(F.col("ancestor").alias("id")).distinct()
+    forks = edges.join(live, "id", "left_semi").groupBy("parent").agg(F.count("*").alias("n")).where("n > 1 AND parent IS NOT NULL")
+    nodes = forks.select(F.col("parent").alias("id")).unionByName(kept).unionByName(edges.where("parent IS NULL").select("id"))
+    nodes = ws.table(nodes.distinct(), "nodes")
+    above = up.where("depth > 0").join(nodes, "id", "left_semi").join(nodes.toDF("ancestor"), "ancestor", "left_semi")
+    above = above.groupBy("id").agg(F.min_by(F.struct("ancestor", "dist"), "depth").alias("x"))
+    own = edges.select("id", "label", F.col("dist").cast("double").alias("own")).join(nodes, "id", "left_semi").join(above, "id", "left")
+    own = own.join(kept.withColumn("is_leaf", F.lit(True)), "id", "left")
+    return own.select("id", F.col("x.ancestor").alias("parent"), "label", F.coalesce("x.dist", "own").alias("dist"), F.coalesce("is_leaf", F.lit(False)).alias("is_leaf"))
+
+
 def tree_clusters(edges: DataFrame, threshold: float) -> DataFrame:
     """``label, cluster``: each leaf with the highest node whose path down to it is shorter
     than the threshold; the root is never entered. An unlabelled node is ``node_<preorder>``."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.operators import dating, detect, panels, sequence, stats
+from cohortlens.operators import cohort, dating, detect, panels, sequence, stats
 from cohortlens.plans.catalog import _CALLS_SQL, _COUNTS_SQL, _GRID_SQL, _NLL, _REC_SQL, _SAT, _grid, calls, counts, detector_records, query, r6, reference, sequences, table
 
 # --- panels ----------------------------------------------------------------------------
@@ -67,6 +67,36 @@ def set_overlap(spark, sf):
     return panels.overlap(li.where("l_quantity > 49"), li.where("l_discount > 0.09"), "l_partkey")
 
 
+@query(f"""WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 25), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_discount > 0.02),
+ f AS (SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AND b.k IS NOT NULL AS shared FROM a FULL JOIN b ON a.k = b.k),
+ d AS (SELECT shared, r, ('0x' || substr(md5('42:' || r || ':' || k), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM f, (SELECT unnest(range(1, 1001)) AS r)),
+ w AS (SELECT shared, r, len(list_filter({cohort.POISSON_ONE}::DOUBLE[], lambda c: c <= u)) AS n FROM d),
+ j AS (SELECT r, sum(CASE WHEN shared THEN n ELSE 0 END) / nullif(sum(n), 0) AS j FROM w GROUP BY r), o AS (SELECT count(*) FILTER (shared) / count(*) AS j FROM f)
+ SELECT round(max(o.j), 6) AS jaccard, round(quantile_cont(j.j, 0.025), 6) AS low, round(quantile_cont(j.j, 0.975), 6) AS high, max(o.j) >= 0.8 AS similar FROM j, o""")
+def set_jaccard_interval(spark, sf):
+    li = table(spark, sf, "lineitem")
+    out = cohort.jaccard_interval(li.where("l_quantity > 25"), li.where("l_discount > 0.02"), "l_partkey")
+    return out.select(r6("jaccard", "jaccard"), r6("low", "low"), r6("high", "high"), "similar")
+
+
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey + 1 AS id, CASE WHEN n_nationkey = 0 THEN NULL ELSE (n_nationkey + 1) // 2 END AS parent, n_name AS label, 1.0::DOUBLE + n_nationkey % 3 AS dist, n_regionkey FROM nation),
+ up AS (SELECT id, id AS ancestor, parent AS above, 0 AS depth, 0.0::DOUBLE AS dist, dist AS last FROM e
+  UNION ALL SELECT up.id, e.id, e.parent, up.depth + 1, up.dist + up.last, e.dist FROM up JOIN e ON up.above = e.id),
+ kept AS (SELECT id FROM e WHERE n_regionkey IN (1, 2) AND id NOT IN (SELECT parent FROM e WHERE parent IS NOT NULL)),
+ live AS (SELECT DISTINCT ancestor AS id FROM up WHERE id IN (FROM kept)),
+ nodes AS (SELECT id FROM kept UNION SELECT id FROM e WHERE parent IS NULL UNION SELECT parent FROM e WHERE id IN (FROM live) AND parent IS NOT NULL GROUP BY parent HAVING count(*) > 1),
+ above AS (SELECT id, arg_min(ancestor, depth) AS parent, arg_min(dist, depth) AS dist FROM up WHERE depth > 0 AND ancestor IN (FROM nodes) GROUP BY id)
+ SELECT CAST(e.id AS BIGINT) AS id, CAST(above.parent AS BIGINT) AS parent, label, coalesce(above.dist, e.dist) AS dist, e.id IN (FROM kept) AS is_leaf FROM e LEFT JOIN above ON e.id = above.id WHERE e.id IN (FROM nodes)""")
+def tr_prune(spark, sf):
+    """Nations as a binary tree by number, with the leaves of two regions."""
+    n = F.col("n_nationkey").cast("long")
+    nations = table(spark, sf, "nation")
+    edges = nations.select((n + 1).alias("id"), F.when(n > 0, F.floor((n + 1) / 2)).alias("parent"), F.col("n_name").alias("label"), (1.0 + n % 3).alias("dist"))
+    inner = edges.where("parent IS NOT NULL").select(F.col("parent").alias("id"), F.lit(False).alias("is_leaf")).distinct()
+    edges = edges.join(inner, "id", "left").withColumn("is_leaf", F.coalesce("is_leaf", F.lit(True)))
+    return cohort.prune(edges, nations.where("n_regionkey IN (1, 2)").select(F.col("n_name").alias("label")))
+
+
 @query("SELECT doc_id AS accession, coalesce(nullif(lang, 'en'), 'Ib-global') AS cluster_id FROM documents")
 def tr_lineage_clusters(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("accession"), F.nullif(F.col("lang"), F.lit("en")).alias("lineage"))

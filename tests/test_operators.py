@@ -184,6 +184,26 @@ def test_trees(spark):
         cohort.common_ancestor(edges, ["A", "zzz"])
     got = {r.label: r.cluster for r in cohort.tree_clusters(edges, 1.6).collect()}
     assert got["A"] == "n1" and got["B"] == "B" and got["D"] == got["E"] == "n2" and got["C"] == "n2"
+    tips = lambda *names: spark.createDataFrame([(n,) for n in names], "label string")
+    name = {r.id: r.label for r in edges.collect()}
+    pruned = lambda t: {r.label: (name.get(r.parent), r.dist, r.is_leaf) for r in cohort.prune(edges, t).collect()}
+    assert pruned(tips("A", "C", "D", "D", "zzz", None)) == {"root": (None, 0.0, False), "n2": ("root", 3.0, False), "A": ("root", 2.0, True), "C": ("n2", 1.0, True), "D": ("n2", 1.5, True)}
+    assert pruned(tips("E")) == {"root": (None, 0.0, False), "E": ("root", 4.5, True)}
+    assert pruned(tips()) == {"root": (None, 0.0, False)}
+    assert len(pruned(tips(*"ABCDE"))) == edges.count()
+    assert cohort.prune(edges.limit(0), tips("A")).count() == 0
+
+
+def test_jaccard_interval(spark):
+    """The interval of a share is that of the binomial distribution, up to the draws' noise."""
+    a, b = spark.range(0, 950).toDF("k"), spark.range(50, 1000).unionByName(spark.range(50, 100)).toDF("k")
+    r = cohort.jaccard_interval(a, b, "k").first()
+    assert r.jaccard == 0.9 and r.similar and r.low == pytest.approx(0.9 - 1.96 * 0.0095, abs=0.004) and r.high == pytest.approx(0.9 + 1.96 * 0.0095, abs=0.004)
+    same = cohort.jaccard_interval(a, a, "k", replicates=50).first()
+    assert (same.jaccard, same.low, same.high) == (1.0, 1.0, 1.0)
+    nulls = spark.createDataFrame([(None,)], "k long")
+    assert tuple(cohort.jaccard_interval(nulls, nulls, "k", replicates=5).first()) == (None,) * 4
+    assert cohort.jaccard_interval(nulls, a, "k", replicates=5).first().jaccard == 0.0
 
 
 def test_cuts_by_ranges(spark):
