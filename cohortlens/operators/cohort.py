@@ -82,11 +82,16 @@ def jaccard_interval(a: DataFrame, b: DataFrame, key: str, least: float = 0.8, r
     any key all four are null."""
     sides = [x.select(key).where(F.col(key).isNotNull()).distinct().withColumn(name, F.lit(True)) for x, name in ((a, "__a"), (b, "__b"))]
     both = sides[0].join(sides[1], key, "full").select(key, (F.col("__a") & F.col("__b")).alias("__shared"))
+    spark = both.sparkSession
+    both = both.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)  # few keys, many draws
     each = both.select("__shared", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("__replicate"), key)
     told = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__replicate").cast("string"), F.col(key).cast("string")))
-    u = F.conv(F.substring(told, 1, 8), 16, 10).cast("double") / 2**32
-    times = F.size(F.filter(F.array(*map(F.lit, POISSON_ONE)), lambda c: c <= F.col("__u")))
-    each = each.withColumn("__u", u).withColumn("__n", F.when(F.col("__replicate") == 0, 1).otherwise(times))
+    count = F.when(F.col("__replicate") == 0, 1)
+    for k, c in enumerate(math.ceil(c * 2**32) for c in POISSON_ONE):
+        if c < 2**32:
+            count = count.when(F.col("__told") < f"{c:08x}", k)
+            top = k + 1
+    each = each.withColumn("__told", F.substring(told, 1, 8)).withColumn("__n", count.otherwise(top))
     shared, full = F.sum(F.when(F.col("__shared"), F.col("__n")).otherwise(0)), F.sum("__n")
     sums = each.groupBy("__replicate").agg(F.when(full > 0, shared / full).alias("__j"))
     found, drawn = F.max(F.when(F.col("__replicate") == 0, F.col("__j"))), F.when(F.col("__replicate") > 0, F.col("__j"))

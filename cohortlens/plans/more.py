@@ -67,7 +67,7 @@ def set_overlap(spark, sf):
     return panels.overlap(li.where("l_quantity > 49"), li.where("l_discount > 0.09"), "l_partkey")
 
 
-@query(f"""WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 25), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_discount > 0.02),
+@query(f"""WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 46), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_discount > 0.09),
  f AS (SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AND b.k IS NOT NULL AS shared FROM a FULL JOIN b ON a.k = b.k),
  d AS (SELECT shared, r, ('0x' || substr(md5('42:' || r || ':' || k), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM f, (SELECT unnest(range(1, 1001)) AS r)),
  w AS (SELECT shared, r, len(list_filter({cohort.POISSON_ONE}::DOUBLE[], lambda c: c <= u)) AS n FROM d),
@@ -75,7 +75,7 @@ def set_overlap(spark, sf):
  SELECT round(max(o.j), 6) AS jaccard, round(quantile_cont(j.j, 0.025), 6) AS low, round(quantile_cont(j.j, 0.975), 6) AS high, max(o.j) >= 0.8 AS similar FROM j, o""")
 def set_jaccard_interval(spark, sf):
     li = table(spark, sf, "lineitem")
-    out = cohort.jaccard_interval(li.where("l_quantity > 25"), li.where("l_discount > 0.02"), "l_partkey")
+    out = cohort.jaccard_interval(li.where("l_quantity > 46"), li.where("l_discount > 0.09"), "l_partkey")
     return out.select(r6("jaccard", "jaccard"), r6("low", "low"), r6("high", "high"), "similar")
 
 
