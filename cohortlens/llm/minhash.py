@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import graph
+from cohortlens.llm.names import lookup
 from cohortlens.llm.vectext import U64, binary_column, buffers, fixed_rows, mix, pair, row_groups, small_arrow, word_hashes
 from cohortlens.workspace import Workspace
 
@@ -172,8 +173,12 @@ def _confirmed(asked: DataFrame, members: DataFrame | None, docs: DataFrame, p:
     asked = ws.table(asked, f"{name}-asked")
     if members is None:
         members = asked.select("part", "block", F.col("part").alias("id")).distinct()
-    salts = asked.groupBy("part", "block").agg(F.ceil(F.count("*") / p.star).alias("n"))
-    xs = asked.join(salts, ["part", "block"]).select("part", "block", F.pmod(F.xxhash64("x"), "n").alias("salt"), F.col("x").alias("id"), "ys")
+    salts = ws.table(asked.groupBy("part", "block").agg(F.ceil(F.count("*") / p.star).alias("n")), f"{name}-salts")
+    # most blocks are one group; only the wide ones, where most askers are, need looking up
+    wide = salts.where("n > 1").select(F.struct("part", "block").alias("wide"), "n")
+    xs = lookup(asked.withColumn("of", F.struct("part", "block")), "of", wide, "wide", wide.count() <= p.small_ids, "left")
+    salt = F.pmod(F.xxhash64("x"), F.coalesce("n", F.lit(1).cast("long")))
+    xs = xs.select("part", "block", salt.alias("salt"), F.col("x").alias("id"), "ys")
     ys = members.join(salts, ["part", "block"]).select("part", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("salt"), "id", F.lit(None).cast("array<long>").alias("ys"))
     rows = ws.table(ys.union(xs), f"{name}-rows")
     ids = ws.table(rows.select(F.col("id").alias("doc_id")).distinct(), f"{name}-ids")
@@ -310,6 +315,8 @@ OP8 = NearDuplicates(words=2)
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents alike by two-word shingles. Nulls, empty and long texts, repeated
+    ids, an empty table and further columns: as in ``near_duplicates``."""
     return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), OP8)
 
 

@@ -97,8 +97,8 @@ def components_by_force(texts, size, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("size", [2, 5])
-def test_near_duplicates(spark, size):
+@pytest.mark.parametrize("size, small", [(2, 100_000), (5, 0)])
+def test_near_duplicates(spark, size, small):
     texts = [(i, prose(i, 60)) for i in range(20)]
     for i in range(20, 80):  # a group around one text, edited more and more
         w = prose(500, 150).split()
@@ -107,7 +107,7 @@ def test_near_duplicates(spark, size):
         texts.append((i, " ".join(w)))
     texts += [(90, prose(500, 150)), (91, None), (92, ""), (93, "one"), (94, "ONE"), (95, " one\n")]
     docs = spark.createDataFrame(rows_of([(i, t, "en", "s") for i, t in texts]), SCHEMA)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark, docs, minhash.NearDuplicates(words=size, star=8)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark, docs, minhash.NearDuplicates(words=size, star=8, small_ids=small)).collect()}
     assert got == components_by_force(texts, size, 80)
 
 
