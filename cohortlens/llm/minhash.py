@@ -193,7 +193,14 @@ def _confirmed(asked: DataFrame, members: DataFrame | None, docs: DataFrame, p:
 def verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, p: NearDuplicates, ws: Workspace, name: str) -> DataFrame:
     """The pairs ``(a, b)`` of representatives whose whole shingle sets are close enough."""
     sigs = sigs.select("rep", "sig")
-    both = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
+    pairs = ws.table(pairs, f"{name}-pairs")
+    turns = ws.table(pairs.groupBy("a").agg(F.ceil(F.count("*") / p.star).alias("n")), f"{name}-turns")
+    # the partners of a pivot are dealt to groups, each beside one copy of its signature
+    wide = turns.where("n > 1").toDF("wide", "n")
+    salt = F.pmod(F.xxhash64("b"), F.coalesce("n", F.lit(1).cast("long")))
+    dealt = lookup(pairs, "a", wide, "wide", wide.count() <= p.small_ids, "left").select("a", "b", salt.alias("salt"))
+    pivots = turns.join(sigs.toDF("a", "sig_a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("salt"), "sig_a")
+    both = dealt.join(pivots, ["a", "salt"]).join(sigs.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
     close = both.mapInArrow(partial(_prune, p=p), "a long, b long")
     asked = close.select(F.col("a").alias("part"), F.lit(0).cast("long").alias("block"), F.col("b").alias("x"), F.array("a").alias("ys"))
     return _confirmed(asked, None, docs, p, ws, name)
