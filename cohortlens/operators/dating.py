@@ -16,6 +16,14 @@ def linear_mean(sites: float, rate: Column, age: Column) -> Column:
     return sites * rate * F.greatest(age, F.lit(0.0))
 
 
+def twofold_mean(sites: float, rate: Column, age: Column) -> Column:
+    """Saturation with hits back to the first state: three quarters of the sites at most."""
+    return sites * 0.75 * (1 - F.exp(-rate * 4 / 3 * F.greatest(age, F.lit(0.0))))
+
+
+MEANS = {"saturation": saturation_mean, "linear": linear_mean, "twofold": twofold_mean}
+
+
 def nll(k: Column, mu: Column, age: Column, n: Column) -> Column:
     """Aggregate: the negative log likelihood of all genomes (``n`` alike a row). If any age
     is below 0: a penalty that grows with the sum of such ages; else if any mean is not
@@ -38,7 +46,7 @@ def likelihoods(counts: DataFrame, points: DataFrame, sites: float, model: str =
     some = counts.groupBy(*groups, "day", "k").agg(F.count("*").alias("__n"))
     both = some.join(F.broadcast(points))  # the grid has a fixed size
     age = F.col("day") - F.col("t0")
-    mean = (saturation_mean if model == "saturation" else linear_mean)(sites, F.col("rate"), age)
+    mean = MEANS[model](sites, F.col("rate"), age)
     return both.groupBy(*groups, "t0", "rate").agg(nll(F.col("k"), mean, age, F.col("__n")).alias("nll"))
 
 
@@ -117,6 +125,72 @@ def _fit(day: np.ndarray, n: np.ndarray, k: np.ndarray, sites: float, saturated:
     return t0, *at(t0)
 
 
+#: Bounds of the rate in joint fits of date and rate.
+RATES = (1e-10, 1e-3)
+
+
+def _climb(day: np.ndarray, n: np.ndarray, k: np.ndarray, sites: float, saturated: bool, low: float, t0: float, rate: float) -> tuple[float, float, float, bool]:
+    """Where a local search in date and rate from one start ends: (t0, rate, nll, converged).
+    Damped scoring steps in (t0, log rate) within ``low`` to the day before the first and
+    RATES; converged if the slope is below a thousandth of a standard error's."""
+    lows, highs = np.array([low, np.log(RATES[0])]), np.array([day.min() - 1, np.log(RATES[1])])
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        a, r = day - x[0], np.exp(x[1])
+        mu = sites * (-np.expm1(-r * a) if saturated else r * a)
+        turn = np.exp(-r * a) if saturated else np.ones_like(a)
+        return float((n * mu - k * np.log(mu)).sum()), mu, sites * r * np.array([-turn, a * turn])
+
+    x, damp = np.clip([t0, np.log(rate)], lows, highs), 1e-3
+    f, mu, d = at(x)
+    for _ in range(300):
+        g, h = d @ (n - k / mu), (d * (n / mu)) @ d.T
+        free = ~((x <= lows) & (g > 0) | (x >= highs) & (g < 0))
+        if not (np.abs(g) > 1e-3 * np.sqrt(np.diag(h)))[free].any():
+            return float(x[0]), float(np.exp(x[1])), f, bool(np.isfinite(f))
+        while damp < 1e12:
+            damped = h + np.diag(np.diag(h)) * damp
+            y = x.copy()
+            y[free] -= np.linalg.solve(damped[np.ix_(free, free)], g[free])
+            y = np.clip(y, lows, highs)
+            then = at(y)
+            if then[0] < f:
+                x, (f, mu, d), damp = y, then, max(damp / 10, 1e-12)
+                break
+            damp *= 10
+        else:
+            break
+    return float(x[0]), float(np.exp(x[1])), f, False
+
+
+def multi_start(counts: DataFrame, sites: float, low: float, model: str = "saturation", group: str = "cluster_id", starts: int = 25) -> DataFrame:
+    """A row a group and start: the start's date and rate, where the joint search from it
+    ends, and whether it converged. Starts are a square of even dates and even log rates."""
+    kind, side = dict(counts.dtypes)[group], int(np.ceil(np.sqrt(starts)))
+    rows = by_day(counts.where("day IS NOT NULL AND k IS NOT NULL"), group).groupBy(group).agg(_days())
+    each = rows.select(group, "days", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))).alias("start_idx"))
+
+    def climb(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                day, n, k = _arrays(r.days)
+                i, j = divmod(r.start_idx, side)
+                t0 = low + (day.min() - 1 - low) * i / max(1, side - 1)
+                rate = 1e-9 * 1e5 ** (j / max(1, side - 1))
+                out.append((getattr(r, group), r.start_idx, t0, rate, *_climb(day, n, k, sites, model == "saturation", low, t0, rate)))
+            yield pd.DataFrame(out, columns=[group, "start_idx", "t0_init", "rate_init", "t0", "rate", "nll", "converged"])
+
+    schema = f"{group} {kind}, start_idx int, t0_init double, rate_init double, t0 double, rate double, nll double, converged boolean"
+    return each.repartition(F.col(group), F.col("start_idx")).mapInPandas(climb, schema)
+
+
+def joint_fit(ends: DataFrame, group: str = "cluster_id") -> DataFrame:
+    """The lowest end of ``multi_start`` a group, converged or not, and how many converged."""
+    best = F.min_by(F.struct("t0", "rate", "nll", "converged"), F.struct("nll", "t0", "rate")).alias("x")
+    return ends.groupBy(group).agg(best, F.count_if("converged").alias("n_converged")).select(group, "x.*", "n_converged")
+
+
 def fit_groups(counts: DataFrame, sites: float, low: float, model: str = "saturation", group: str = "cluster_id") -> DataFrame:
     """``t0, rate, nll`` of each group of ``day, k``, from the sums of its days."""
     kind = dict(counts.dtypes)[group]
@@ -129,12 +203,17 @@ def fit_groups(counts: DataFrame, sites: float, low: float, model: str = "satura
     return by_day(counts, group).groupBy(group).applyInPandas(fit, f"{group} {kind}, n long, t0 double, rate double, nll double")
 
 
-def bootstrap(counts: DataFrame, sites: float, low: float, replicates: int = 2000, model: str = "saturation", group: str = "cluster_id", seed: int = 42) -> DataFrame:
+def bootstrap(counts: DataFrame, sites: float, low: float, replicates: int = 2000, model: str = "saturation", group: str = "cluster_id", seed: int = 42, within: bool = False) -> DataFrame:
     """``t0_low, t0_high``: percentiles 2.5 and 97.5 of refits to Poisson draws around each
     group's fit. Draws are of a day's sum, which has the same distribution as the sum of its
-    rows' draws; replicates go over the cluster in 64 parts a group."""
+    rows' draws; replicates go over the cluster in 64 parts a group. ``within``: around the
+    joint fit, and each refit is a local search from it, so it stays in the fit's basin."""
     kind = dict(counts.dtypes)[group]
-    fits = fit_groups(counts, sites, low, model, group)
+    if within:
+        counts = counts.where("day IS NOT NULL AND k IS NOT NULL")
+        fits = joint_fit(multi_start(counts, sites, low, model, group), group).select(group, "t0", "rate", F.lit(0).alias("n"))
+    else:
+        fits = fit_groups(counts, sites, low, model, group)
     rows = by_day(counts, group).groupBy(group).agg(_days()).join(fits.drop("n"), group)
     each = rows.select(group, "days", "t0", "rate", F.explode(F.sequence(F.lit(1), F.lit(min(64, replicates)))).alias("part"))
 
@@ -148,7 +227,8 @@ def bootstrap(counts: DataFrame, sites: float, low: float, replicates: int = 200
                 starts = np.linspace(max(low, r.t0 - 365), min(day.min() - 1, r.t0 + 365), 15)
                 for replicate in range(r.part, replicates + 1, 64):
                     k = np.random.default_rng([seed, replicate]).poisson(n * mu)
-                    out.append((getattr(r, group), _fit(day, n, k, sites, model == "saturation", low, day.min() - 1, starts)[0]))
+                    again = _climb(day, n, k, sites, model == "saturation", low, r.t0, r.rate) if within else _fit(day, n, k, sites, model == "saturation", low, day.min() - 1, starts)
+                    out.append((getattr(r, group), again[0]))
             yield pd.DataFrame(out, columns=[group, "t0"])
 
     drawn = each.repartition(F.col(group), F.col("part")).mapInPandas(refit, f"{group} {kind}, t0 double")

@@ -239,3 +239,28 @@ def ml_emergence(spark, sf):
 def ml_saturation_profile(spark, sf):
     out = dating.saturation_profile(dating.likelihoods(counts(spark, sf), _grid(spark), 23140.0, "saturation", "g"), "g")
     return out.select("g", F.round("t0", 3).alias("t0"), F.round(F.log10("rate"), 3).alias("log_rate"), F.round("nll", 3).alias("nll"))
+
+
+_TWO = "(23140.0 * 0.75 * (1 - exp(-rate * 4 / 3 * greatest(day - t0, 0))))"
+
+
+@query(f"WITH {_COUNTS_SQL}, {_GRID_SQL}, l AS (SELECT g, t0, rate, {_NLL.format(mu=_TWO)} AS nll FROM c, p GROUP BY 1, 2, 3) SELECT g, round(t0, 3) AS t0, round(log10(rate), 3) AS log_rate, round(nll, 3) AS nll FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY nll, t0, rate) AS n FROM l) WHERE n = 1")
+def ml_grid_twofold(spark, sf):
+    fit = dating.best_fit(dating.likelihoods(counts(spark, sf), _grid(spark), 23140.0, "twofold", "g"), "g")
+    return fit.select("g", F.round("t0", 3).alias("t0"), F.round(F.log10("rate"), 3).alias("log_rate"), F.round("nll", 3).alias("nll"))
+
+
+@query()
+def ml_multi_start(spark, sf):
+    return dating.multi_start(counts(spark, sf), 23140.0, 738000.0, group="g")
+
+
+@query()
+def ml_joint_fit(spark, sf):
+    return dating.joint_fit(dating.multi_start(counts(spark, sf), 23140.0, 738000.0, "linear", "g"), "g")
+
+
+@query()
+def ml_basin_bootstrap(spark, sf):
+    """Intervals of the linear model's date within the basin of its joint fit."""
+    return dating.bootstrap(counts(spark, sf), 23140.0, 738000.0, model="linear", group="g", within=True)

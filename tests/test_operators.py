@@ -174,6 +174,33 @@ def test_dating_by_day(spark):
     assert [r.replicates for r in b] == [130, 130] and all(r.t0_low < r.t0_high for r in b)
 
 
+def test_joint_fits(spark):
+    """The best of 25 joint searches is no worse than the search over all dates; linear and
+    saturated; intervals of refits lie around it; null rows take no part."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    sites, low = 23_140.0, 730_000.0
+    day = rng.integers(738_000, 739_400, 400).astype(float)
+    k = rng.poisson(sites * -np.expm1(-4e-7 * (day - 736_500.0))).astype(float)
+    rows = [("x", d, v) for d, v in zip(day.tolist(), k.tolist(), strict=True)]
+    df = spark.createDataFrame([*rows, ("x", None, 3.0), ("x", 738_000.0, None)], "cluster_id string, day double, k double")
+    whole = df.where("day IS NOT NULL AND k IS NOT NULL")
+    for model in ("saturation", "linear"):
+        ends = dating.multi_start(df, sites, low, model).cache()
+        best, dense = dating.joint_fit(ends).first(), dating.fit_groups(whole, sites, low, model).first()
+        assert ends.count() == 25 and best.converged and best.n_converged > 0
+        assert best.nll == pytest.approx(dense.nll, abs=1e-3) and best.t0 == pytest.approx(dense.t0, abs=5)
+        age = day - best.t0
+        mu = sites * (-np.expm1(-best.rate * age) if model == "saturation" else best.rate * age)
+        assert best.nll == pytest.approx(-(k * np.log(mu) - mu).sum(), rel=1e-9)
+        b = dating.bootstrap(df, sites, low, 60, model, within=True).first()
+        assert b.replicates == 60 and b.t0_low < best.t0 < b.t0_high
+    zeros = dating.multi_start(whole.withColumn("k", F.lit(0.0)), sites, low).collect()
+    assert all(r.converged and r.rate == pytest.approx(1e-10) for r in zeros)
+    assert dating.multi_start(df.limit(0), sites, low).count() == 0
+
+
 def test_trees(spark):
     from cohortlens.sources.files import tree_edges
 
