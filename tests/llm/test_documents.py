@@ -39,6 +39,38 @@ def test_language(spark, odd, empty):
     assert {r.lang_pred for r in langid.identify(odd, nothing).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("slots, error", [(1 << 18, 1e-3), (1 << 12, 0.06)])
+def test_language_by_force(spark, slots, error):
+    """Sets of n-grams instead of a filter: the same languages and, where the filter is so
+    small that it errs often, after the correction nearly the same scores."""
+    import random
+
+    import regex
+
+    def grams(text):
+        b = regex.sub(r"[^\p{L}\p{M}]+", " ", f" {(text or '').lower()} ").encode()
+        return [b[i : i + 4] for i in range(len(b) - 3)]
+
+    r = random.Random(4)
+    lexicon = {lang: ["".join(r.choices(letters, k=r.randint(2, 8))) for _ in range(60)] for lang, letters in (("aa", "abcdeéor"), ("bb", "bcdefgñu"), ("cc", "aeioumnr"))}
+    told = lambda lang, n: " ".join(r.choice(lexicon[lang]).title() + r.choice([" ", ", ", " 12 "]) for _ in range(n))
+    train = [(i, told(lang, 50), lang, "s") for i in range(90) for lang in [("aa", "bb", "cc")[i % 3]]]
+    p = langid.LanguageFilters(least_share=1e-3, slots=slots)
+    f = langid.learn(spark.createDataFrame(rows_of(train), SCHEMA), p)
+    known = {}
+    for lang in f.langs:
+        n = Counter(g for _, t, of, _ in train if of == lang for g in grams(t))
+        known[lang] = {g for g, k in n.items() if k >= 1e-3 * sum(n.values())}
+    texts = [(i, told("aa bb cc".split()[i % 3], 5 + i) + " " + told("aa bb cc".split()[(i + 1) % 3], 2), None, "s") for i in range(60)]
+    got = {x.doc_id: x for x in langid.identify(spark.createDataFrame(rows_of(texts), SCHEMA), f).collect()}
+    for i, t, _, _ in texts:
+        all_ = grams(t)
+        share = {lang: sum(g in known[lang] for g in all_) / len(all_) for lang in f.langs}
+        assert got[i].score == pytest.approx(max(share.values()), abs=error)
+        first, second = sorted(share.values(), reverse=True)[:2]
+        assert got[i].lang_pred == max(share, key=share.get) or first - second < 2 * error
+
+
 def test_filter_false_positives_are_rare_and_none_is_missed():
     import numpy as np
 
