@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("archives", "invertible", "langid", "linededup", "minhash", "mixing", "multiindex", "ngram_lm", "pii", "reputation", "semantic", "whitening")
+_MODULES = ("archives", "invertible", "langid", "lexical", "linededup", "minhash", "mixing", "multiindex", "ngram_lm", "pii", "reputation", "semantic", "whitening")
 
 
 def _all(name: str) -> dict:

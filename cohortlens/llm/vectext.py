@@ -7,7 +7,7 @@ one with a chance near 2**-64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,12 @@ def _space(b: np.ndarray) -> np.ndarray:
     return (b == 0x20) | (b - np.uint8(0x09) < 5)
 
 
+def _no_term(b: np.ndarray) -> np.ndarray:
+    """Bytes that are neither a digit nor a letter A-Z nor part of a character past 0x7F."""
+    letter = (b | np.uint8(0x20)) - np.uint8(97) < 26
+    return ~(letter | (b - np.uint8(48) < 10) | (b >= 0x80))
+
+
 def _lower(b: np.ndarray) -> np.ndarray:
     return b + ((b - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
 
@@ -92,21 +98,27 @@ def row_groups(offs: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and for each text where its words begin (n + 1)."""
+def term_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_hashes``, of runs of digits, letters A-Z and characters past 0x7F."""
+    return word_hashes(buf, offs, _no_term)
+
+
+def word_hashes(buf: np.ndarray, offs: np.ndarray, gap: Callable = _space) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and for each text where its words begin (n + 1).
+    ``gap`` tells the bytes that are in no word."""
     edge = np.zeros(len(buf) + 1, bool)
     edge[offs] = True
     hashes, starts, s = [], [], 0
     while s < len(buf):
         e, step = min(len(buf), s + SLICE), SLICE
         while e < len(buf):
-            cuts = np.flatnonzero(_space(buf[e - step + 1 : e + 1]) | edge[e - step + 1 : e + 1])
+            cuts = np.flatnonzero(gap(buf[e - step + 1 : e + 1]) | edge[e - step + 1 : e + 1])
             if len(cuts):
                 e = e - step + 1 + int(cuts[-1])
                 break
             e = min(len(buf), e + step)
         part = buf[s:e]
-        word = ~_space(part)
+        word = ~gap(part)
         before = np.concatenate(([False], word[:-1])) & ~edge[s:e]
         after = np.concatenate((word[1:], [False])) & ~edge[s + 1 : e + 1]
         first, last = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
