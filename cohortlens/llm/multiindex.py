@@ -28,7 +28,7 @@ class MultiIndex:
     hash, fewer where these exceed ``sample_bytes``. A query visits cells by ascending
     distance until they are ``slack`` farther than the first; ``slack`` is the share
     ``recall`` of what it takes to meet neighbours of the sample at the threshold itself,
-    turned in random directions. Closer pairs are found more surely.
+    turned in random directions of both halves or of one. Closer pairs are found more surely.
 
     The vectors of a label and a first code meet in blocks of ``members`` rows that are held
     and ``queries`` rows that stream by, so no group needs more however large it is.
@@ -88,8 +88,9 @@ def fit_grid(x: np.ndarray, total: int, p: MultiIndex) -> Grid:
     k, cut = int(np.clip(round(total ** (1 / 3)), p.least_codes, p.most_codes)), -(-x.shape[1] // 2)
     grid = Grid(cut, _codebook(x[:, :cut], k, p.rounds, rng), _codebook(x[:, cut:], k, p.rounds, rng), 0.0)
     near, turned = grid.distances(x), []
-    for _ in range(max(1, -(-p.sample // len(x)))):
+    for k in range(max(3, -(-p.sample // len(x)))):
         aside = rng.standard_normal(x.shape)
+        aside[:, [slice(0), slice(cut), slice(cut, None)][k % 3]] = 0  # in both halves, in either
         aside -= (aside * x).sum(axis=1, keepdims=True) * x
         length = np.linalg.norm(aside, axis=1, keepdims=True)
         y = p.cosine * x + np.sqrt(1 - p.cosine**2) * np.divide(aside, length, out=np.zeros_like(aside), where=length > 0)
