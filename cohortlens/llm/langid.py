@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.llm.names import col
 from cohortlens.llm.vectext import U64, buffers, mix, small_arrow, small_batches
 
 _SLICE = 1 << 18
@@ -78,7 +79,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass(frozen=True)
 class BitSlicedFilter:
-    """``table``: for each slot the languages (bit i: ``langs[i]``) that have set it."""
+    """``table``: for each slot the languages that have set it, in as many words of 64 bits
+    as they need (bit i of word k: ``langs[64 k + i]``)."""
 
     langs: tuple[str, ...]
     table: np.ndarray
@@ -89,6 +91,7 @@ class BitSlicedFilter:
         return [((h >> U64(20 * k)) & U64(len(self.table) - 1)).astype(np.int64) for k in range(self.hashes)]
 
     def which(self, g: np.ndarray) -> np.ndarray:
+        """A row of words for each n-gram: the bits of all languages that contain it."""
         first, *rest = self.slots(g)
         found = self.table[first]
         for at in rest:
@@ -96,22 +99,25 @@ class BitSlicedFilter:
         return found
 
     def false_rates(self) -> np.ndarray:
-        return np.array([np.mean(self.table >> U64(i) & U64(1)) ** self.hashes for i in range(len(self.langs))])
+        return np.array([np.mean(has(self.table, i)) ** self.hashes for i in range(len(self.langs))])
+
+
+def has(words: np.ndarray, i: int) -> np.ndarray:
+    """Whether bit ``i`` is set in each row of words."""
+    return (words[:, i // 64] >> U64(i % 64) & U64(1)).astype(bool)
 
 
 def learn(train: DataFrame, p: LanguageFilters = LanguageFilters()) -> BitSlicedFilter:
     """The filter of all languages in ``doc_id, text, lang``; rows without a language or
-    without text teach nothing. Up to 64 languages have a bit; more are an error."""
+    without text teach nothing. Every language has a bit, however many there are."""
     small_arrow(train.sparkSession)
     train = train.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", "text")
-    rows = {r["lang"]: r["count"] for r in train.groupBy("lang").count().orderBy("lang").limit(65).collect()}
-    if len(rows) > 64:
-        raise ValueError("more than 64 languages")
-    table = np.zeros(p.slots, U64)
+    shares = train.groupBy("lang").agg(F.least(F.lit(1.0), p.fit_rows / F.count("*")).alias("share"))
+    rows = sorted(r.lang for r in shares.collect())
+    table = np.zeros((p.slots, -(-len(rows) // 64)), U64)
     if not rows:
         return BitSlicedFilter((), table, p.hashes)
-    share = F.create_map(*[F.lit(x) for k, n in rows.items() for x in (k, min(1.0, p.fit_rows / n))])[F.col("lang")]
-    chosen = train.where(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    chosen = train.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
     counts = chosen.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     found = counts.join(F.broadcast(total), "lang").where(F.col("n") >= p.least_share * F.col("total")).select("lang", "gram").toArrow()
@@ -120,7 +126,7 @@ def learn(train: DataFrame, p: LanguageFilters = LanguageFilters()) -> BitSliced
     names, keys = np.array(found.column("lang").to_pylist(), dtype=object), found.column("gram").to_numpy().astype(np.uint32)
     for i, lang in enumerate(langs):
         for at in out.slots(keys[names == lang]):
-            table[at] |= U64(1) << U64(i)
+            table[at, i // 64] |= U64(1) << U64(i % 64)
     return out
 
 
@@ -136,8 +142,9 @@ def _predict(batches: Iterator[pa.RecordBatch], shared, text: int, keep: int, na
             n += np.bincount(row, minlength=len(n))
             found = f.which(g)
             for i in range(len(f.langs)):
-                hits[i] += np.bincount(row[(found >> U64(i) & U64(1)).view(np.int64) == 1], minlength=len(n))
-        has_letter = np.diff(offs) > 1
+                hits[i] += np.bincount(row[has(found, i)], minlength=len(n))
+        # marks are parts of n-grams, but no letters
+        has_letter = pc.match_substring_regex(pc.fill_null(batch.column(text).cast(pa.string()), ""), r"\p{L}").to_numpy(zero_copy_only=False)
         if len(f.langs):
             true = np.clip((hits - np.outer(false, n)) / (1 - false[:, None] + 1e-12), 0, None)
             best = true.argmax(axis=0)
@@ -163,15 +170,16 @@ def identify(docs: DataFrame, f: BitSlicedFilter, keep: tuple[str, ...] = ("doc_
     spark = docs.sparkSession
     small_arrow(spark)
     keep = tuple(c for c in keep if c not in names)
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
-    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in [*kept.schema])
+    # Python gets columns by place, as it could not tell a dot in a name from a field's
+    places = [f"c{k}" for k in range(len(keep))]
+    sent = docs.select(*[col(c).alias(k) for c, k in zip(keep, places, strict=True)])
+    schema = "".join(f"{k} {kind}, " for k, kind in sent.dtypes) + "told string, score double"
     shared = spark.sparkContext.broadcast(f)
-    if text in keep and dict(kept.dtypes)[text] == "string":
-        sent, at = kept, keep.index(text)
-    else:
-        sent, at = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text")), len(keep)
-    told = f"`{names[0]}` string, `{names[1]}` double"
-    return sent.mapInArrow(partial(_predict, shared=shared, text=at, keep=len(keep), names=names), f"{schema}, {told}" if keep else told)
+    at = keep.index(text) if text in keep and dict(docs.dtypes)[text] == "string" else len(keep)
+    if at == len(keep):
+        sent = docs.select(*[col(c).alias(k) for c, k in zip(keep, places, strict=True)], col(text).cast("string").alias("text"))
+    out = sent.mapInArrow(partial(_predict, shared=shared, text=at, keep=len(keep), names=("told", "score")), schema)
+    return out.toDF(*keep, *names)
 
 
 def fold(doc_id: str, of: int):

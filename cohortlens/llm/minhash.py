@@ -50,8 +50,8 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, words: int) -> Iterator[np.n
     hashes, begin = word_hashes(buf, offs)
     grams, least = hashes, np.minimum(words, np.diff(begin))
     for k in range(1, words):
-        longer = np.zeros(len(hashes), U64)
-        longer[: len(hashes) - k] = pair(grams[: len(hashes) - k], hashes[k:])
+        longer, m = np.zeros(len(hashes), U64), max(0, len(hashes) - k)
+        longer[:m] = pair(grams[:m], hashes[k:])
         grams = np.where(np.repeat(least, np.diff(begin)) > k, longer, grams)
     for s, e, k in zip(begin[:-1], begin[1:], least, strict=True):
         yield np.unique(grams[s : e - k + 1]) if e > s else grams[:0]

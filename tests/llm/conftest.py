@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, row string, host string, `__n` int, key string, copy string, pii string, rep string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, row string, host string, `__n` int, key string, copy string, pii string, rep string, `a.b` int"
 WORDS = "the of and to in that was his with which this from they would there were been have when more will other some upon into shall only over such then like".split()
 
 
@@ -16,7 +16,7 @@ def prose(seed: int, words: int) -> str:
 
 def rows_of(texts):
     """(doc_id, text, lang, source) as rows with extra columns whose names operators use."""
-    return [(i, t, lang, source, len(t or ""), 1, "x", "y", 2, "k", "c", "p", "r") for i, t, lang, source in texts]
+    return [(i, t, lang, source, len(t or ""), 1, "x", "y", 2, "k", "c", "p", "r", 5) for i, t, lang, source in texts]
 
 
 @pytest.fixture(scope="session")

@@ -74,16 +74,29 @@ def test_language_by_force(spark, slots, error):
 def test_filter_false_positives_are_rare_and_none_is_missed():
     import numpy as np
 
-    table = np.zeros(1 << 14, np.uint64)
+    table = np.zeros((1 << 14, 1), np.uint64)
     f = langid.BitSlicedFilter(("x", "y"), table, 3)
     own = np.arange(0, 4000, 2, dtype=np.uint32)
     for at in f.slots(own):
-        table[at] |= np.uint64(2)
+        table[at, 0] |= np.uint64(2)
     assert (f.which(own) == 2).all()
     others = np.arange(1, 400_001, 2, dtype=np.uint32)
     assert abs((f.which(others) == 2).mean() - f.false_rates()[1]) < 0.01 and f.false_rates()[0] == 0
 
 
+def test_seventy_languages_and_marks_alone(spark):
+    letters = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿāăąćĉċčďđēĕėęěĝğġģ"
+    text = lambda k: " ".join(letters[k : k + 3] * 2 + letters[k + j % 3] for j in range(30))
+    docs = spark.createDataFrame(rows_of([(i, text(i % 70), f"l{i % 70:02d}", "s") for i in range(280)]), SCHEMA)
+    f = langid.learn(docs)
+    assert len(f.langs) == 70 and f.table.shape[1] == 2
+    got = langid.identify(docs, f, ("doc_id", "lang", "a.b")).collect()
+    assert got[0].asDict().keys() == {"doc_id", "lang", "a.b", "lang_pred", "score"} and all(r["a.b"] == 5 for r in got)
+    assert sum(r.lang_pred == r.lang for r in got) > 270
+    marks = spark.createDataFrame(rows_of([(1, "\u0301\u0301 12", None, "s"), (2, "\u0301\u0301 12 \u00df", None, "s")]), SCHEMA)
+    assert {r.doc_id: (r.lang_pred == "und", r.score == 0.0) for r in langid.identify(marks, f).collect()} [1] == (True, True)
+
+
 def test_site_lines(spark, odd, empty):
     texts = [(i, f"own line {i}\nmenu | home\n\nbody {i % 7}", "en", "a") for i in range(30)] + [(100 + i, "menu | home", "en", "b") for i in range(3)] + [(200, "menu | home\nmenu | home", "en", "a")]
     docs = spark.createDataFrame(rows_of(texts), SCHEMA)
@@ -150,6 +163,20 @@ def test_near_duplicates_odd(spark, odd, empty):
     assert minhash.near_duplicates(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("size", [2, 5])
+def test_shingles_of_few_words(size):
+    import numpy as np
+
+    from cohortlens.llm.vectext import word_hashes
+
+    for texts in (["x"] * k for k in range(7)):
+        for joined in ([" ".join(texts)], texts, ["", *texts], [" ".join(texts), "a b"]):
+            raw = [t.encode() for t in joined]
+            sets = list(minhash.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), size))
+            hashes = [word_hashes(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in raw]
+            assert [len(s) for s in sets] == [len({tuple(h[i : i + size]) for i in range(max(1, len(h) - size + 1))}) if len(h) else 0 for h in hashes]
+
+
 def test_posterior_bound_prunes_almost_no_true_pair():
     p = minhash.NearDuplicates()
     for n, least in minhash.least_matches(p):
