@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions import bases as B
+
 
 def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGTacgt", "TGCAtgca"))
@@ -77,38 +81,32 @@ def site_totals(sites: DataFrame) -> DataFrame:
     return sites.agg(F.count("*").alias("l_total"), F.count_if(F.col("context") == "TC").alias("l_tc"), F.count_if(F.col("context") == "GA").alias("l_ga"))
 
 
-def _compared(genomes: DataFrame, reference: DataFrame, same_length: bool, *keep: str) -> DataFrame:
-    """``keep`` and ``changes``: an array of the places where a genome and the reference have
-    different known bases."""
-    ref = F.broadcast(reference.select(bases(F.upper("seq")).alias("ref")))  # one row
-    both = genomes.select(*keep, bases(F.upper("seq")).alias("alt")).join(ref)
-    both = both.where(F.size("alt") == F.size("ref")) if same_length else both
-
-    def change(b: Column, i: Column) -> Column:
-        r = F.get("ref", i)
-        before, after = _around(F.col("ref"), i)
-        context = F.when((r == "C") & (b == "T") & (before == "T"), "TC").when((r == "G") & (b == "A") & (after == "A"), "GA")
-        return F.struct((i + 1).alias("pos"), r.alias("ref"), b.alias("alt"), context.alias("context"))
-
-    known = ("A", "C", "G", "T")
-    differ = F.filter(F.transform("alt", change), lambda x: (x["ref"] != x["alt"]) & x["ref"].isin(*known) & x["alt"].isin(*known))
-    return both.select(*keep, differ.alias("changes"))
+def _sequence(reference: DataFrame) -> B.Reference:
+    """The one sequence to compare with: a genome, whatever the size of the cohort. A
+    second row is an error, none (or null) an empty sequence."""
+    rows = reference.select("seq").limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError("more than one reference")
+    return B.Reference((rows[0].seq if rows else None) or "")
 
 
 def variants(genomes: DataFrame, reference: DataFrame, same_length: bool = True) -> DataFrame:
-    """``accession, pos, ref, alt, context``: only the positions that differ are exploded;
-    the context is the reference's. ``reference``: one row, ``seq``. Genomes of another
-    length are skipped, or compared as far as both go."""
-    return _compared(genomes, reference, same_length, "accession").select("accession", F.explode("changes").alias("x")).select("accession", "x.*")
+    """``accession, pos, ref, alt, context``: the places where a genome and the reference
+    have different known bases, case ignored; the context is the reference's. ``reference``:
+    one row, ``seq``. Genomes of another length are skipped, or compared as far as both go.
+    Genomes are compared as bytes in their tasks; only differences become rows."""
+    kind = genomes.select("accession").dtypes[0][1]
+    task = partial(B.list_differences, ref=_sequence(reference), same_length=same_length)
+    return genomes.select("accession", F.col("seq").cast("string")).mapInArrow(task, f"accession {kind}, pos int, ref string, alt string, context string")
 
 
 def count_variants(genomes: DataFrame, reference: DataFrame, same_length: bool = True) -> DataFrame:
-    """``variant_counts`` of every genome in one pass: sizes of arrays, no row a difference,
-    no shuffle. Genomes of another length are left out if ``same_length``."""
-    out = _compared(genomes, reference, same_length, "accession")
-    out = out.select("accession", F.transform("changes", lambda x: x["context"].isNotNull()).alias("hits"))
-    total, hit = F.size("hits").cast("long"), F.size(F.filter("hits", lambda h: h)).cast("long")
-    out = out.select("accession", total.alias("total_snvs"), hit.alias("apobec3_snvs"), (total - hit).alias("non_apobec3_snvs"))
+    """``variant_counts`` of every genome in one pass: no row a difference, no shuffle.
+    Genomes of another length are left out if ``same_length``; null ones always."""
+    kind = genomes.select("accession").dtypes[0][1]
+    task = partial(B.count_differences, ref=_sequence(reference), same_length=same_length)
+    out = genomes.select("accession", F.col("seq").cast("string")).mapInArrow(task, f"accession {kind}, total_snvs long, apobec3_snvs long")
+    out = out.withColumn("non_apobec3_snvs", F.col("total_snvs") - F.col("apobec3_snvs"))
     return out.withColumn("apobec3_fraction", F.when(F.col("total_snvs") > 0, F.col("apobec3_snvs") / F.col("total_snvs")).otherwise(0.0))
 
 
@@ -151,19 +149,33 @@ def occupancy(found: DataFrame) -> DataFrame:
     return found.where("context IS NOT NULL").groupBy("pos", "context").agg(F.count("*").alias("occupancy"))
 
 
-def column_statistics(long: DataFrame) -> DataFrame:
-    """A row a column of an alignment (``pos, base``): distinct A/C/G/T, share of N and gaps,
-    whether it varies, whether it is ambiguous (a tenth or more)."""
-    known = F.when(F.col("base").isin("A", "C", "G", "T"), F.col("base"))
-    out = long.groupBy("pos").agg(F.size(F.collect_set(known)).alias("n_bases"), F.avg(F.col("base").isin("N", "-").cast("double")).alias("missing"))
+def column_counts(genomes: DataFrame, group: str | None = None) -> DataFrame:
+    """``grp, pos, a, c, g, t, missing, other``: how many sequences (``seq``) of each group
+    have each base (upper case), N or a gap, or another character in each column (from 1).
+
+    A task counts a block of columns as a matrix; matrices are added a block as they stream
+    by, so the network carries a block once a task, not a row a base. ``group``: a string
+    column, nulls are a group; without one ``grp`` is null. Null sequences have no column."""
+    grp = F.col(group).cast("string") if group else F.lit(None).cast("string")
+    counted = genomes.select(grp.alias("grp"), F.col("seq").cast("string").alias("seq")).mapInArrow(B.count_columns, "grp string, block long, counts binary")
+    dealt = counted.repartition("grp", "block").sortWithinPartitions("grp", "block")
+    return dealt.mapInArrow(B.add_columns, "grp string, pos int, a long, c long, g long, t long, missing long, other long")
+
+
+def column_statistics(counts: DataFrame) -> DataFrame:
+    """A row a column of an alignment (of ``column_counts``): distinct A/C/G/T, share of N
+    and gaps, whether it varies, whether it is ambiguous (a tenth or more)."""
+    n_bases = sum((F.col(b) > 0).cast("int") for b in "acgt")
+    missing = F.col("missing") / (F.col("a") + F.col("c") + F.col("g") + F.col("t") + F.col("missing") + F.col("other"))
+    out = counts.select("pos", n_bases.alias("n_bases"), missing.alias("missing"))
     return out.withColumns({"variable": F.col("n_bases") >= 2, "ambiguous": F.col("missing") >= 0.1})
 
 
-def homoplasy_columns(long: DataFrame, reference: DataFrame) -> DataFrame:
-    """Context sites at which some sequence has the edited base."""
+def homoplasy_columns(counts: DataFrame, reference: DataFrame) -> DataFrame:
+    """Context sites at which some sequence has the edited base, from ``column_counts``."""
     sites = F.broadcast(eligible_sites(reference))  # of one sequence
-    hit = long.join(sites, "pos").where(((F.col("context") == "TC") & (F.col("base") == "T")) | ((F.col("context") == "GA") & (F.col("base") == "A")))
-    return hit.groupBy("pos", "context").agg(F.count("*").alias("n_sequences"))
+    edited = F.when(F.col("context") == "TC", F.col("t")).otherwise(F.col("a"))
+    return counts.join(sites, "pos").select("pos", "context", edited.alias("n_sequences")).where("n_sequences > 0")
 
 
 def truncate_central(seq: Column, retain: float) -> Column:
@@ -192,12 +204,12 @@ def reference_columns(aligned_reference: DataFrame) -> DataFrame:
     return aligned_reference.select(F.posexplode(kept).alias("ref_pos", "x")).select((F.col("ref_pos") + 1).alias("ref_pos"), F.col("x.column").alias("column"))
 
 
-def diagnostic_columns(long: DataFrame, groups: DataFrame, margin: int = 3) -> DataFrame:
+def diagnostic_columns(counts: DataFrame, margin: int = 3) -> DataFrame:
     """Columns whose commonest base differs between two groups, each ahead of its second
-    base by ``margin`` sequences. ``groups``: ``accession, grp``."""
-    from pyspark.sql import Window as W
-
-    n = long.where(F.col("base").isin("A", "C", "G", "T")).join(groups, "accession").groupBy("pos", "grp", "base").agg(F.count("*").alias("n"))
-    w = W.partitionBy("pos", "grp").orderBy(F.desc("n"), "base")
-    top = n.withColumns({"k": F.row_number().over(w), "second": F.coalesce(F.lead("n").over(w), F.lit(0))}).where((F.col("k") == 1) & (F.col("n") - F.col("second") >= margin))
-    return top.groupBy("pos").agg(F.count("*").alias("groups"), F.size(F.collect_set("base")).alias("bases"), F.sort_array(F.collect_list(F.concat_ws(":", "grp", "base"))).alias("calls")).where("groups = 2 AND bases = 2").select("pos", "calls")
+    base by ``margin`` sequences, from the ``column_counts`` of both groups. Of bases as
+    frequent the first by name is the commonest."""
+    ranked = F.sort_array(F.array(*[F.struct((-F.col(b)).alias("n"), F.lit(b.upper()).alias("base")) for b in "acgt"]))
+    top = counts.where("grp IS NOT NULL").select("pos", "grp", ranked[0]["base"].alias("base"), (-ranked[0]["n"]).alias("n"), (-ranked[1]["n"]).alias("second"))
+    top = top.where((F.col("n") > 0) & (F.col("n") - F.col("second") >= margin))
+    out = top.groupBy("pos").agg(F.count("*").alias("groups"), F.min("base").alias("low"), F.max("base").alias("high"), F.sort_array(F.collect_list(F.concat_ws(":", "grp", "base"))).alias("calls"))
+    return out.where("groups = 2 AND low <> high").select("pos", "calls")

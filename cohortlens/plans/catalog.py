@@ -1,12 +1,10 @@
 """All queries of the library with their SQL twins (DuckDB) over the driver's tables.
 
-Sequences are derived from the documents: their letters, turned into bases. ``seq_whole_*``
-take all of them; ``seq_*`` take the first 512, as their SQL twins do.
+Sequences are derived from the documents: all their letters, turned into bases.
 """
 
 from __future__ import annotations
 
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -279,7 +277,7 @@ def set_jaccard(spark, sf):
 
 # --- sequences -------------------------------------------------------------------------
 
-_SEQ = "substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 1, 512)"
+_SEQ = "translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
 _SEQS_SQL = f"s AS (SELECT doc_id AS accession, {_SEQ} AS seq FROM documents), ref AS (SELECT seq AS rs FROM s WHERE accession = 0)"
 _VARIANTS_SQL = f"""{_SEQS_SQL}, p AS (SELECT accession, seq, rs, unnest(range(1, least(length(seq), length(rs)) + 1)) AS pos FROM s, ref),
  v AS (SELECT accession, CAST(pos AS INTEGER) AS pos, substr(rs, pos, 1) AS ref, substr(seq, pos, 1) AS alt,
@@ -290,83 +288,79 @@ _SITES_SQL = f"""{_SEQS_SQL}, e AS (SELECT CAST(pos AS INTEGER) AS pos, CASE WHE
    WHEN substr(rs, pos, 1) = 'G' AND substr(rs, pos + 1, 1) = 'A' THEN 'GA' END AS context FROM (SELECT rs, unnest(range(1, length(rs) + 1)) AS pos FROM ref))"""
 
 
-def sequences(spark: SparkSession, sf: str, most: int | None = None) -> DataFrame:
-    """The bases of each document, or the first ``most`` of them."""
+def sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """The bases of each document."""
     letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
     seq = F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
-    seq = seq.substr(1, most) if most else seq
     return table(spark, sf, "documents").select(F.col("doc_id").alias("accession"), seq.alias("seq"))
 
 
-def reference(spark: SparkSession, sf: str, most: int | None = None) -> DataFrame:
-    return sequences(spark, sf, most).where("accession = 0").select("seq")
+def reference(spark: SparkSession, sf: str) -> DataFrame:
+    return sequences(spark, sf).where("accession = 0").select("seq")
 
 
 @query(f"WITH {_SEQS_SQL} SELECT accession, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM s")
-def seq_reverse_complement(spark, sf, most=512):
-    return sequences(spark, sf, most).select("accession", sequence.reverse_complement(F.col("seq")).alias("rc"))
+def seq_whole_reverse_complement(spark, sf):
+    return sequences(spark, sf).select("accession", sequence.reverse_complement(F.col("seq")).alias("rc"))
 
 
 @query(f"WITH {_SEQS_SQL} SELECT accession, CASE WHEN length(seq) > 10 THEN substr(seq, 1, 10) || repeat('N', CAST(least(length(seq), 40) - 10 AS BIGINT)) || substr(seq, 41) ELSE seq END AS seq FROM s")
-def seq_mask(spark, sf, most=512):
-    return sequences(spark, sf, most).select("accession", sequence.masked(F.col("seq"), [(10, 30), (25, 40)]).alias("seq"))
+def seq_whole_mask(spark, sf):
+    return sequences(spark, sf).select("accession", sequence.masked(F.col("seq"), [(10, 30), (25, 40)]).alias("seq"))
 
 
 @query(f"WITH {_SITES_SQL} SELECT pos, context FROM e WHERE context IS NOT NULL")
-def seq_eligible_sites(spark, sf, most=512):
-    return sequence.eligible_sites(reference(spark, sf, most))
+def seq_whole_eligible_sites(spark, sf):
+    return sequence.eligible_sites(reference(spark, sf))
 
 
 @query(f"WITH {_SITES_SQL} SELECT count(context) AS l_total, count(*) FILTER (context = 'TC') AS l_tc, count(*) FILTER (context = 'GA') AS l_ga FROM e")
-def seq_site_totals(spark, sf, most=512):
-    return sequence.site_totals(sequence.eligible_sites(reference(spark, sf, most)))
+def seq_whole_site_totals(spark, sf):
+    return sequence.site_totals(sequence.eligible_sites(reference(spark, sf)))
 
 
 @query(f"WITH {_VARIANTS_SQL} SELECT accession, pos, ref, alt, context FROM v")
-def seq_variants(spark, sf, most=512):
-    return sequence.variants(sequences(spark, sf, most), reference(spark, sf, most), same_length=False)
+def seq_whole_variants(spark, sf):
+    return sequence.variants(sequences(spark, sf), reference(spark, sf), same_length=False)
 
 
 @query(f"""WITH {_VARIANTS_SQL}, c AS (SELECT accession, count(*) AS t, count(context) AS a FROM v GROUP BY 1)
  SELECT s.accession, coalesce(t, 0) AS total_snvs, coalesce(a, 0) AS apobec3_snvs, coalesce(t - a, 0) AS non_apobec3_snvs, round(CASE WHEN t > 0 THEN a * 1.0 / t ELSE 0 END, 6) AS apobec3_fraction FROM s LEFT JOIN c ON s.accession = c.accession""")
-def seq_variant_counts(spark, sf, most=512):
-    out = sequence.count_variants(sequences(spark, sf, most), reference(spark, sf, most), same_length=False)
+def seq_whole_variant_counts(spark, sf):
+    out = sequence.count_variants(sequences(spark, sf), reference(spark, sf), same_length=False)
     return out.withColumn("apobec3_fraction", r6("apobec3_fraction"))
 
 
 @query(f"WITH {_VARIANTS_SQL} SELECT pos, context, count(*) AS occupancy FROM v WHERE context IS NOT NULL GROUP BY 1, 2")
-def seq_occupancy(spark, sf, most=512):
-    return sequence.occupancy(sequence.variants(sequences(spark, sf, most), reference(spark, sf, most), same_length=False))
+def seq_whole_occupancy(spark, sf):
+    return sequence.occupancy(sequence.variants(sequences(spark, sf), reference(spark, sf), same_length=False))
 
 
 @query(f"""WITH {_SEQS_SQL}, b AS (SELECT CAST(pos AS INTEGER) AS pos, substr(seq, pos, 1) AS base FROM (SELECT seq, unnest(range(1, length(seq) + 1)) AS pos FROM s))
  SELECT pos, CAST(count(DISTINCT base) AS INTEGER) AS n_bases, 0.0::DOUBLE AS missing, count(DISTINCT base) >= 2 AS variable, false AS ambiguous FROM b GROUP BY 1""")
-def seq_columns(spark, sf, most=512):
-    return sequence.column_statistics(sequence.positions(sequences(spark, sf, most), "accession"))
+def seq_whole_columns(spark, sf):
+    return sequence.column_statistics(sequence.column_counts(sequences(spark, sf)))
 
 
 @query(f"""WITH {_SITES_SQL}, b AS (SELECT CAST(pos AS INTEGER) AS pos, substr(seq, pos, 1) AS base FROM (SELECT seq, unnest(range(1, length(seq) + 1)) AS pos FROM s))
  SELECT e.pos, context, count(*) AS n_sequences FROM e JOIN b ON e.pos = b.pos WHERE (context = 'TC' AND base = 'T') OR (context = 'GA' AND base = 'A') GROUP BY 1, 2""")
-def seq_homoplasy(spark, sf, most=512):
-    return sequence.homoplasy_columns(sequence.positions(sequences(spark, sf, most), "accession"), reference(spark, sf, most))
+def seq_whole_homoplasy(spark, sf):
+    return sequence.homoplasy_columns(sequence.column_counts(sequences(spark, sf)), reference(spark, sf))
 
 
-@query(f"""WITH {_SEQS_SQL}, l AS (SELECT accession, seq, f, CAST(round_even(length(seq) * f, 0) AS BIGINT) AS k FROM s, (SELECT unnest([1.0, 0.5, 0.25])::DOUBLE AS f))
+@query(f"""WITH {_SEQS_SQL}, l AS (SELECT accession, seq, f, CAST(round_even(length(seq) * f, 0) AS BIGINT) AS k FROM s, (SELECT unnest([1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.1])::DOUBLE AS f))
  SELECT accession, f AS retain_frac, repeat('-', (length(seq) - k) // 2) || substr(seq, (length(seq) - k) // 2 + 1, k) || repeat('-', length(seq) - k - (length(seq) - k) // 2) AS seq FROM l""")
-def seq_ladder(spark, sf, most=512):
-    return sequence.truncation_ladder(sequences(spark, sf, most), (1.0, 0.5, 0.25)).select("accession", "retain_frac", "seq")
+def seq_whole_ladder(spark, sf):
+    return sequence.truncation_ladder(sequences(spark, sf)).select("accession", "retain_frac", "seq")
 
 
 @query(f"""WITH {_SEQS_SQL}, b AS (SELECT accession, CAST(pos AS INTEGER) AS pos, substr(seq, pos, 1) AS base FROM (SELECT accession, seq, unnest(range(1, length(seq) + 1)) AS pos FROM s)),
  n AS (SELECT pos, lang AS grp, base, count(*) AS n FROM b JOIN documents ON accession = doc_id WHERE lang IN ('fr', 'de') GROUP BY 1, 2, 3),
  t AS (SELECT *, row_number() OVER w AS k, coalesce(lead(n) OVER w, 0) AS second FROM n WINDOW w AS (PARTITION BY pos, grp ORDER BY n DESC, base))
  SELECT pos, list_sort(list(grp || ':' || base)) AS calls FROM t WHERE k = 1 AND n - second >= 3 GROUP BY pos HAVING count(*) = 2 AND count(DISTINCT base) = 2""")
-def seq_diagnostic(spark, sf, most=512):
-    groups = table(spark, sf, "documents").where("lang IN ('fr', 'de')").select(F.col("doc_id").alias("accession"), F.col("lang").alias("grp"))
-    return sequence.diagnostic_columns(sequence.positions(sequences(spark, sf, most), "accession"), groups)
-
-
-QUERIES |= {name.replace("seq_", "seq_whole_", 1): partial(f, most=None) for name, f in QUERIES.items() if name.startswith("seq_")}
+def seq_whole_diagnostic(spark, sf):
+    groups = table(spark, sf, "documents").where("lang IN ('fr', 'de')").select(F.col("doc_id").alias("accession"), "lang")
+    return sequence.diagnostic_columns(sequence.column_counts(sequences(spark, sf).join(groups, "accession"), "lang"))
 
 
 # --- statistics ------------------------------------------------------------------------

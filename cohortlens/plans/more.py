@@ -222,8 +222,8 @@ def seq_terminal_repeat(spark, sf):
 def seq_gap_columns(spark, sf):
     """Columns of whole texts in which some letters are gaps or N."""
     seq = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTAC-TANGTACGTACG-AC")
-    long = sequence.positions(table(spark, sf, "documents").select(F.col("doc_id").alias("accession"), seq.alias("seq")), "accession")
-    return sequence.column_statistics(long).withColumn("missing", r6("missing"))
+    counts = sequence.column_counts(table(spark, sf, "documents").select(seq.alias("seq")))
+    return sequence.column_statistics(counts).withColumn("missing", r6("missing"))
 
 
 # --- dating ----------------------------------------------------------------------------

@@ -91,7 +91,7 @@ def test_whole_sequences(spark, tmp_path):
         start = (len(q) - keep) // 2
         return "-" * start + q[start : start + keep] + "-" * (len(q) - keep - start)
 
-    assert key(run("ladder")) == key((k, f, shorter(q, f)) for k, q in seqs.items() for f in (1.0, 0.5, 0.25))
+    assert key(run("ladder")) == key((k, f, shorter(q, f)) for k, q in seqs.items() for f in (1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.1))
     calls = []
     for i, groups in by_group.items():
         top = {}

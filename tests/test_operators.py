@@ -95,7 +95,7 @@ def test_variants(spark):
     assert {(r.accession, r.pos, r.ref, r.alt, r.context) for r in found.collect()} == {("a", 2, "C", "T", "TC"), ("a", 4, "G", "A", "GA"), ("d", 1, "T", "A", None), ("d", 10, "A", "T", None)}
     n = {r.accession: (r.total_snvs, r.apobec3_snvs, r.apobec3_fraction) for r in sequence.variant_counts(g, found).collect()}
     assert n == {"a": (2, 2, 1.0), "b": (0, 0, 0.0), "c": (0, 0, 0.0), "d": (2, 0, 0.0)}
-    cols = {r.pos: (r.n_bases, r.variable, r.ambiguous) for r in sequence.column_statistics(sequence.positions(g.where("accession <> 'b'"), "accession")).collect()}
+    cols = {r.pos: (r.n_bases, r.variable, r.ambiguous) for r in sequence.column_statistics(sequence.column_counts(g.where("accession <> 'b'"))).collect()}
     assert cols[1] == (2, True, False) and cols[3][2] and cols[2] == (2, True, False)
     assert [(r.ref_pos, r.column) for r in sequence.reference_columns(spark.createDataFrame([("A--CG-",)], "seq string")).collect()] == [(1, 1), (2, 4), (3, 5)]
 
@@ -279,3 +279,21 @@ def test_streamed_intake(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.reason: r.n for r in spark.table("reasons").collect()} == {"length_lt_190000": 1, "date_resolution_year_lt_month": 1}
+
+
+def test_columns_over_many_blocks(spark, monkeypatch):
+    """Counts of columns against a dictionary: several blocks, groups, odd characters, nulls."""
+    import random
+    from collections import Counter
+
+    r = random.Random(1)
+    rows = [(r.choice(["x", "y", None]), "".join(r.choices("ACGTNacg-é", weights=[9, 5, 5, 9, 2, 1, 1, 1, 1, 1], k=r.choice([0, 3, 4096, 4097, 9000])))) for _ in range(60)] + [("x", None), (None, None)]
+    want = Counter((g, i + 1, {"A": 0, "C": 1, "G": 2, "T": 3, "N": 4, "-": 4}.get(c, 5)) for g, s in rows for i, c in enumerate(s or ""))
+    out = sequence.column_counts(spark.createDataFrame(rows, "g string, seq string").repartition(5), "g").collect()
+    got = {(x.grp, x.pos, k): n for x in out for k, n in enumerate(x[2:]) if n}
+    assert got == dict(want) and len(out) == len({k[:2] for k in want})
+    assert sequence.column_counts(spark.createDataFrame([], "g string, seq string")).count() == 0
+    ref = spark.createDataFrame([("TCéGA",)], "seq string")
+    g = spark.createDataFrame([(1, "tté" + "aa"), (2, None), (3, "")], "accession int, seq string")
+    assert [tuple(x) for x in sequence.variants(g, ref).collect()] == [(1, 2, "C", "T", "TC"), (1, 4, "G", "A", "GA")]
+    assert [tuple(x)[:3] for x in sequence.count_variants(g, ref, same_length=False).orderBy("accession").collect()] == [(1, 2, 2), (3, 0, 0)]
