@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.operators.quantiles import quantiles
+
 
 def saturation_mean(sites: float, rate: Column, age: Column) -> Column:
     return sites * (1 - F.exp(-rate * F.greatest(age, F.lit(0.0))))
@@ -285,9 +287,10 @@ def basins(fits: DataFrame, *groups: str) -> DataFrame:
 
 
 def emergence(replicates: DataFrame, *groups: str) -> DataFrame:
-    """Median date of replicate fits ``t0``, and percentiles 5 and 95."""
-    at = lambda q: F.percentile("t0", F.lit(q))
-    return replicates.groupBy(*groups).agg(at(0.5).alias("median_t0"), at(0.05).alias("low_t0"), at(0.95).alias("high_t0"), F.count("t0").alias("n"))
+    """Median date of replicate fits ``t0``, and percentiles 5 and 95; null and NaN dates are
+    left out, and groups that have no other."""
+    out = quantiles(replicates, "t0", list(groups), {"median_t0": 0.5, "low_t0": 0.05, "high_t0": 0.95})
+    return out.select(*groups, "median_t0", "low_t0", "high_t0", F.col("__n").alias("n"))
 
 
 def largest_delta(clusters: DataFrame, delta: str = "delta_days") -> DataFrame:

@@ -20,11 +20,13 @@ def ranged(df: DataFrame, group: list[str], order: list[Column], amount: Column
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
     dealt = df.repartitionByRange(parts, *[F.col(g) for g in group], *order).withColumn("__range", F.spark_partition_id())
-    dealt = Workspace(spark, "ranges").table(dealt, "rows")
+    ws = Workspace(spark, "ranges")
+    dealt = ws.table(dealt, "rows")
     sums = dealt.groupBy(*group, "__range").agg(F.sum(F.lit(1) if amount is None else amount).alias("__here"))
     w = W.partitionBy(*group).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.withColumn("__before", F.coalesce(F.sum("__here").over(w), F.lit(0)))
-    return dealt.join(F.broadcast(sums), [*group, "__range"])
+    sums = ws.table(sums.withColumn("__before", F.coalesce(F.sum("__here").over(w), F.lit(0))), "sums")
+    # a row a range and group in it: many small groups are more than a broadcast should hold
+    return dealt.join(F.broadcast(sums) if sums.count() <= RANGE_ROWS else sums, [*group, "__range"])
 
 
 def first_rows(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortlens.operators.ranges import ranged
+from cohortlens.operators.quantiles import quantiles
+from cohortlens.operators.ranges import RANGE_ROWS, ranged
+from cohortlens.workspace import Workspace
 
 
 def wilson(k: Column, n: Column, alpha: float = 0.05) -> tuple[Column, Column]:
@@ -55,23 +58,27 @@ def proportion_test(k: int, n: int, p0: float = 0.7, halt: float = 0.5, alpha: f
     return {"k": k, "n": n, "fraction": p, "wilson_low": low, "wilson_high": high, "p_value": binomial_tail(k, n, p0), "h1_supported": low > p0, "verdict": verdict, "halt": p < halt}
 
 
-def places(n: DataFrame, value: str, count: str) -> DataFrame:
-    """``__place`` of each distinct value, ties averaged: its place in its range of values, after
-    the rows of the ranges before, so that no task sorts all values."""
-    w = W.partitionBy("__range").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    place = F.col("__before") + F.sum(count).over(w) - (F.col(count) - 1) / 2.0
-    return ranged(n, [], [F.col(value)], F.col(count)).withColumn("__place", place).select(*n.columns, "__place")
+def places(n: DataFrame, value: str, count: str, *groups: str) -> DataFrame:
+    """``__place`` of each distinct value (of a group; none of these null), ties averaged: its
+    place in its range of values, after the rows of the ranges before, so that no task sorts
+    all values of a large table or group. Few values are one range."""
+    n = Workspace(n.sparkSession, "places").table(n, "values")
+    if n.count() <= RANGE_ROWS:
+        few = n.withColumns({"__range": F.lit(0), "__before": F.lit(0)})
+    else:
+        few = ranged(n, list(groups), [F.col(value)], F.col(count))
+    w = W.partitionBy(*groups, "__range").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    return few.withColumn("__place", F.col("__before") + F.sum(count).over(w) - (F.col(count) - 1) / 2.0).select(*n.columns, "__place")
 
 
 def ranked(df: DataFrame, value: str, *groups: str) -> DataFrame:
-    """``rank_<value>``: places from 1, ties averaged. Ranks come from the counts of distinct
-    values, so that a large group of ties is one row of the window."""
-    n = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("__n"))
-    if not groups:
-        return df.join(places(n, value, "__n").select(value, F.col("__place").alias(f"rank_{value}")), value)
-    w = W.partitionBy(*groups).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    of_group = n.select(*groups, value, (F.sum("__n").over(w) - (F.col("__n") - 1) / 2.0).alias(f"rank_{value}"))
-    return df.join(of_group, [*groups, value])
+    """``rank_<value>``: places from 1 in the group, ties averaged; rows with a null value or
+    group are left out. Ranks come from the counts of distinct values, so that a large group
+    of ties is one row of the window; few ones are broadcast back to the rows."""
+    keys = [*groups, value]
+    n = df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("__n"))
+    told = Workspace(df.sparkSession, "ranked").table(places(n, value, "__n", *groups).select(*keys, F.col("__place").alias(f"rank_{value}")), "ranks")
+    return df.join(F.broadcast(told) if told.count() <= RANGE_ROWS else told, keys)
 
 
 def rank_sum(df: DataFrame, value: str, in_first: str) -> DataFrame:
@@ -132,16 +139,29 @@ def spearman_p(rho: float, n: int) -> float:
 
 
 def describe(df: DataFrame, value: str, *groups: str, digits: int = 4) -> DataFrame:
-    """``n``, median and quartiles (linear interpolation), rounded half to even."""
-    q = lambda p: F.bround(F.percentile(value, F.lit(p)), digits)
-    return df.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.count(value).alias("n"), q(0.5).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3"))
+    """``n``, median and quartiles (linear interpolation), rounded half to even. Null and NaN
+    values are left out; a group without others has no row."""
+    out = quantiles(df, value, list(groups), {"median": 0.5, "q1": 0.25, "q3": 0.75})
+    return out.select(*groups, F.col("__n").alias("n"), *[F.bround(q, digits).alias(q) for q in ("median", "q1", "q3")])
+
+
+def beside(aggregated: DataFrame, quantiled: DataFrame, groups: list[str]) -> DataFrame:
+    """Aggregates with the quantiles of the same groups, null ones too; null where a group
+    has no value."""
+    if not groups:
+        return aggregated.join(quantiled.drop("__n"), how="left")  # one row each
+    names = {g: f"__of_{k}" for k, g in enumerate(groups)}
+    right = quantiled.drop("__n").withColumnsRenamed(names)
+    on = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(k)) for g, k in names.items()])
+    return aggregated.join(right, on, "left").drop(*names.values())
 
 
 def distribution(df: DataFrame, value: str, *groups: str) -> DataFrame:
-    """Size, range, mean, median and sample deviation (0 for one row)."""
-    return df.groupBy(*groups).agg(
-        F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd")
-    )
+    """Size, range, mean, median and sample deviation (0 for one row); null and NaN values
+    are left out."""
+    x = F.when(~F.isnan(F.col(value).cast("double")), F.col(value))
+    out = df.groupBy(*groups).agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("sd"))
+    return beside(out, quantiles(df, value, list(groups), {"median": 0.5}), list(groups)).select(*groups, "n", "min", "max", "mean", "median", "sd")
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int = 24) -> DataFrame:
@@ -154,10 +174,14 @@ def percent_below(df: DataFrame, value: str, x: float, *groups: str) -> DataFram
     return df.groupBy(*groups).agg((F.avg((F.col(value) < x).cast("double")) * 100).alias("percent_below"))
 
 
-def with_total(df: DataFrame, group: str, missing: str, total: str, aggs: list[Column]) -> DataFrame:
-    """Aggregates a group (null as ``missing``) and over all, as a group called ``total``."""
+def with_total(df: DataFrame, group: str, missing: str, total: str, aggs: list[Column], medians: dict[str, str] | None = None) -> DataFrame:
+    """Aggregates a group (null as ``missing``) and over all, as a group called ``total``;
+    ``medians``: names of columns to add and what they are the medians of."""
     keyed = df.withColumn(group, F.coalesce(F.col(group).cast("string"), F.lit(missing)))
     out = keyed.rollup(group).agg(*aggs, F.grouping(group).alias("__all"))
+    for name, value in (medians or {}).items():
+        twice = keyed.select(F.explode(F.array(F.struct(F.lit(0).alias("__all"), F.col(group).alias(group)), F.struct(F.lit(1).alias("__all"), F.lit(None).cast("string").alias(group)))).alias("of"), value)
+        out = beside(out, quantiles(twice.select("of.*", value), value, [group, "__all"], {name: 0.5}), [group, "__all"])
     return out.withColumn(group, F.when(F.col("__all") == 1, total).otherwise(F.col(group))).drop("__all")
 
 

@@ -255,13 +255,15 @@ def test_cuts_by_ranges(spark):
     assert cohort.without_latest(df.limit(0), "d", "k", 0.1).count() == 0 and cohort.subsamples(df.limit(0), "k", 0.5, 2).count() == 0
 
 
-def test_ranks_by_ranges(spark):
+def test_ranks_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(stats, "RANGE_ROWS", 50)  # fewer than there are values, so that they are cut
     values = [(i * 7919) % 700 / 4 for i in range(2000)] + [None]
     df = spark.createDataFrame([(i, v, i % 3 == 0) for i, v in enumerate(values)], "k long, v double, f boolean").repartition(5)
     known = sorted(v for v in values if v is not None)
     place = {v: known.index(v) + (known.count(v) + 1) / 2 for v in set(known)}
     got = stats.ranked(df, "v")
-    windows = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x and "v#" in x]
+    counted = stats.places(df.where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("__n")), "v", "__n")
+    windows = [x for x in counted._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x and "v#" in x]
     assert windows and all("__range" in x for x in windows)  # no window over all values
     assert {r.k: r.rank_v for r in got.collect()} == {i: place[v] for i, v in enumerate(values) if v is not None}
     first = [v for i, v in enumerate(values[:-1]) if i % 3 == 0]
@@ -297,3 +299,51 @@ def test_columns_over_many_blocks(spark, monkeypatch):
     g = spark.createDataFrame([(1, "tté" + "aa"), (2, None), (3, "")], "accession int, seq string")
     assert [tuple(x) for x in sequence.variants(g, ref).collect()] == [(1, 2, "C", "T", "TC"), (1, 4, "G", "A", "GA")]
     assert [tuple(x)[:3] for x in sequence.count_variants(g, ref, same_length=False).orderBy("accession").collect()] == [(1, 2, 2), (3, 0, 0)]
+
+
+def test_quantiles_by_selection(spark, monkeypatch):
+    """Against NumPy: groups of all sizes, ties, many magnitudes, nulls, with ranges so small
+    that they are cut again and again."""
+    import random
+
+    import numpy as np
+
+    from cohortlens.operators import quantiles as Q
+
+    r = random.Random(4)
+    draws = {"a": [r.gauss(0, 1) for _ in range(900)], "b": [10 ** r.uniform(-250, 250) * r.choice([1, -1]) for _ in range(700)], "c": [7.0] * 500 + [8.0], "d": [3.5], "e": [float(r.randrange(4)) for _ in range(400)], None: [1.0, 2.0, 4.0], "h": [1e308, -1e308, 1.7e308]}
+    rows = [(g, float(v)) for g, vs in draws.items() for v in vs] + [("a", None), ("z", None), ("a", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = {"q0": 0.0, "q1": 0.25, "q5": 0.5, "q9": 0.937, "q10": 1.0}
+    for rows_, small in ((100_000, 100_000), (20, 100_000), (3, 0)):
+        monkeypatch.setattr(Q, "SORTED_ROWS", rows_)
+        monkeypatch.setattr(Q, "SMALL", small)
+        monkeypatch.setattr(Q, "PARTS", 16)
+        got = {x.g: x for x in Q.quantiles(df, "v", ["g"], shares).collect()}
+        assert set(got) == set(draws)
+        for g, vs in draws.items():
+            assert got[g]["__n"] == len(vs)
+            for name, p in shares.items():
+                assert got[g][name] == pytest.approx(float(np.quantile(np.array(vs, np.longdouble), p)), rel=1e-12), (g, name)
+    whole = Q.quantiles(df.where("g = 'a'"), "v", [], {"m": 0.5}).collect()
+    assert len(whole) == 1 and whole[0].m == pytest.approx(float(np.median(draws["a"])), rel=1e-12)
+    assert Q.quantiles(df.limit(0), "v", ["g"], {"m": 0.5}).count() == 0
+    out = {x.g: (x.n, x.median) for x in stats.distribution(df, "v", "g").collect()}
+    assert out["z"] == (0, None) and out[None] == (3, 2.0) and out["a"][0] == 900
+
+
+def test_ranks_in_ranges(spark, monkeypatch):
+    """Ranks within groups by one range and by several."""
+    import random
+
+    r = random.Random(9)
+    rows = [(r.choice(["x", "y", None]), r.choice([None, *range(300)])) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    want = {}
+    for g in ("x", "y"):
+        vs = sorted(v for k, v in rows if k == g and v is not None)
+        want |= {(g, v): vs.index(v) + 1 + (vs.count(v) - 1) / 2 for v in set(vs)}
+    for size in (250_000, 50):
+        monkeypatch.setattr(stats, "RANGE_ROWS", size)
+        out = stats.ranked(df, "v", "g").collect()
+        assert {(x.g, x.v): x.rank_v for x in out} == want and len(out) == sum(g is not None and v is not None for g, v in rows)
