@@ -114,8 +114,9 @@ def drop_exactly_one(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def ancestors(edges: DataFrame) -> DataFrame:
     """``id, label, ancestor, depth, dist`` for every node of ``id, parent, label, dist`` and
-    each of its ancestors (itself at 0). Pointers double: after k steps a node knows its
-    first 2^k ancestors, so a tree of any depth takes the logarithm of it."""
+    each of its ancestors (itself at 0), which are many for a deep tree: what asks for less
+    climbs by ``jumps``. Pointers double: after k steps a node knows its first 2^k ancestors,
+    so a tree of any depth takes the logarithm of it."""
     ws = Workspace(edges.sparkSession, "tree")
     nodes = edges.select("id", "parent", "label", F.col("dist").cast("double").alias("dist"))
     known = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"), F.lit(0.0).alias("dist"))
@@ -129,46 +130,101 @@ def ancestors(edges: DataFrame) -> DataFrame:
     return known.join(nodes.select("id", "label"), "id").select("id", "label", "ancestor", "depth", "dist")
 
 
+def jumps(edges: DataFrame, ws: Workspace) -> list[DataFrame]:
+    """Jump pointers: written tables ``id, to, dist, most`` of each node's ancestor 1, 2, 4, ...
+    steps up, the length of the path and the largest length on the way. A table for each
+    power of two within the depth, so n log(depth) rows for n nodes, a chain's too."""
+    dist = F.coalesce(F.col("dist").cast("double"), F.lit(0.0))
+    jump = edges.where("parent IS NOT NULL").select("id", F.col("parent").alias("to"), dist.alias("dist"), dist.alias("most"))
+    out = []
+    while True:
+        jump = ws.table(jump, f"jump-{len(out)}")
+        if not jump.head(1):
+            return out
+        out.append(jump)
+        on = jump.toDF("to", "further", "more", "peak")
+        most = F.greatest("most", F.col("dist") + F.col("peak"))
+        jump = jump.join(on, "to").select("id", F.col("further").alias("to"), (F.col("dist") + F.col("more")).alias("dist"), most.alias("most"))
+
+
+def subtree_sums(edges: DataFrame, values: DataFrame, names: list[str], ws: Workspace) -> DataFrame:
+    """``id`` and for each of ``names`` the sum of it over the node and all below: ``values``
+    has a row for some of the nodes. After k steps a node has the sums of those less than
+    2^k below it, and those 2^k below hand it theirs: n rows a step, added before the
+    shuffle, so neither a chain nor a node with very many children grows."""
+    sums = edges.select("id").join(values, "id", "left").select("id", *[F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in names])
+    sums = ws.table(sums, "sums-0")
+    jump = ws.table(edges.where("parent IS NOT NULL").select("id", F.col("parent").alias("to")), "up-0")
+    step = 0
+    while jump.head(1):
+        step += 1
+        handed = jump.join(sums, "id").groupBy(F.col("to").alias("id")).agg(*[F.sum(n).alias(f"more_{n}") for n in names])
+        sums = sums.join(handed, "id", "left").select("id", *[(F.col(n) + F.coalesce(f"more_{n}", F.lit(0))).alias(n) for n in names])
+        sums = ws.table(sums, f"sums-{step}")
+        jump = ws.table(jump.join(jump.toDF("to", "further"), "to").select("id", F.col("further").alias("to")), f"up-{step}")
+    return sums
+
+
+def lowest_common(edges: DataFrame, tips: DataFrame) -> DataFrame:
+    """``id, label, n_tips``: one row, the deepest node above all leaves whose label is in
+    ``tips`` (``label``; those of no leaf are passed over), and the label of it or, if it has
+    none, of its nearest ancestor that has one (null if none has). No row without tips."""
+    ws = Workspace(edges.sparkSession, "mrca")
+    wanted = edges.where("is_leaf").join(tips.select("label").distinct(), "label", "left_semi").select("id", F.lit(1).alias("tips"))
+    values = edges.select("id", F.lit(1).alias("size")).join(wanted, "id", "left")
+    sums = subtree_sums(edges, values, ["tips", "size"], ws)
+    # those above all tips are the path from the root down to the one sought; sizes fall on it
+    path = sums.where("tips > 0").join(F.broadcast(sums.agg(F.max("tips").alias("tips"))), "tips").join(edges.select("id", "label"), "id")
+    named = F.when(F.col("label") != "", F.col("label"))
+    out = path.agg(F.min_by("id", "size").alias("id"), F.min_by(named, F.when(named.isNotNull(), F.col("size"))).alias("label"), F.max("tips").alias("n_tips"))
+    return out.where("id IS NOT NULL")
+
+
 def common_ancestor(edges: DataFrame, tips: list[str]) -> str | None:
-    """The deepest node above all the tips (two at least have to be in the tree); without a
-    label, its nearest ancestor that has one."""
-    up = ancestors(edges).cache()
-    wanted = up.where(F.col("label").isin(tips))
-    n = wanted.select("id").distinct().count()
-    if n < 2:
+    """The label of ``lowest_common``; fewer than two tips in the tree are an error."""
+    found = lowest_common(edges, edges.sparkSession.createDataFrame([(t,) for t in tips], "label string")).first()
+    if found is None or found.n_tips < 2:
         raise ValueError("fewer than two of the tips are in the tree")
-    shared = wanted.groupBy("ancestor").agg(F.countDistinct("id").alias("n"), F.max("depth").alias("depth")).where(F.col("n") == n)
-    lowest = shared.orderBy("depth").first()["ancestor"]
-    named = up.where((F.col("id") == lowest)).join(edges.select(F.col("id").alias("ancestor"), F.col("label").alias("name")), "ancestor").where("name != ''").orderBy("depth").first()
-    up.unpersist()
-    return named["name"] if named else None
+    return found.label
 
 
 def prune(edges: DataFrame, tips: DataFrame) -> DataFrame:
     """``id, parent, label, dist, is_leaf`` of the tree with no other leaves than those whose
     ``label`` is in ``tips``. Nodes left with one child go and hand their length to it; the
     root stays, with one child or none if the others lose all tips. Labels that no leaf has
-    are passed over."""
+    are passed over. Work is a row a node for each doubling of the depth."""
     ws = Workspace(edges.sparkSession, "pruned")
-    up = ws.table(ancestors(edges), "up")
-    kept = ws.table(edges.where("is_leaf").join(tips.select("label").distinct(), "label", "left_semi").select("id"), "kept")
-    live = up.join(kept, "id", "left_semi").select(F.col("ancestor").alias("id")).distinct()
-    forks = edges.join(live, "id", "left_semi").groupBy("parent").agg(F.count("*").alias("n")).where("n > 1 AND parent IS NOT NULL")
-    nodes = forks.select(F.col("parent").alias("id")).unionByName(kept).unionByName(edges.where("parent IS NULL").select("id"))
-    nodes = ws.table(nodes.distinct(), "nodes")
-    above = up.where("depth > 0").join(nodes, "id", "left_semi").join(nodes.toDF("ancestor"), "ancestor", "left_semi")
-    above = above.groupBy("id").agg(F.min_by(F.struct("ancestor", "dist"), "depth").alias("x"))
-    own = edges.select("id", "label", F.col("dist").cast("double").alias("own")).join(nodes, "id", "left_semi").join(above, "id", "left")
-    own = own.join(kept.withColumn("is_leaf", F.lit(True)), "id", "left")
-    return own.select("id", F.col("x.ancestor").alias("parent"), "label", F.coalesce("x.dist", "own").alias("dist"), F.coalesce("is_leaf", F.lit(False)).alias("is_leaf"))
+    dist = F.col("dist").cast("double")
+    kept = ws.table(edges.where("is_leaf").join(tips.select("label").distinct(), "label", "left_semi").select("id", F.lit(1).alias("tips")), "kept")
+    live = subtree_sums(edges, kept, ["tips"], ws).where("tips > 0").select("id")
+    live = ws.table(edges.join(live, "id", "left_semi").select("id", "parent", dist.alias("dist")), "live")
+    forks = live.groupBy("parent").agg(F.count("*").alias("n")).where("n > 1 AND parent IS NOT NULL")
+    nodes = forks.select(F.col("parent").alias("id")).unionByName(kept.select("id")).unionByName(edges.where("parent IS NULL").select("id"))
+    nodes = ws.table(nodes.distinct().withColumn("stays", F.lit(True)), "nodes")
+    # each live node's way up to the next node that stays: ways double until all have got there
+    way = live.where("parent IS NOT NULL").join(nodes.toDF("parent", "there"), "parent", "left")
+    way = ws.table(way.select("id", F.col("parent").alias("to"), "dist", F.coalesce("there", F.lit(False)).alias("there")), "way-0")
+    step = 0
+    while way.where("NOT there").head(1):
+        step += 1
+        on = way.toDF("to", "further", "more", "arrives")
+        longer = way.where("NOT there").join(on, "to").select("id", F.col("further").alias("to"), (F.col("dist") + F.col("more")).alias("dist"), F.col("arrives").alias("there"))
+        way = ws.table(way.where("there").unionByName(longer), f"way-{step}")
+    own = edges.select("id", "label", dist.alias("own")).join(nodes, "id", "left_semi").join(way.select("id", F.col("to").alias("parent"), "dist"), "id", "left")
+    own = own.join(kept.select("id", F.lit(True).alias("is_leaf")), "id", "left")
+    return own.select("id", "parent", "label", F.coalesce("dist", "own").alias("dist"), F.coalesce("is_leaf", F.lit(False)).alias("is_leaf"))
 
 
 def tree_clusters(edges: DataFrame, threshold: float) -> DataFrame:
-    """``label, cluster``: each leaf with the highest node whose path down to it is shorter
-    than the threshold; the root is never entered. An unlabelled node is ``node_<preorder>``."""
-    root = edges.where("parent IS NULL").select(F.col("id").alias("root"))
-    up = ancestors(edges).join(edges.where("is_leaf").select("id"), "id", "left_semi")
-    up = up.join(F.broadcast(root)).where((F.col("ancestor") != F.col("root")) & ((F.col("dist") < threshold) | (F.col("depth") == 0)))
-    top = up.groupBy("id", "label").agg(F.max_by("ancestor", "depth").alias("ancestor"))
-    names = edges.select(F.col("id").alias("ancestor"), F.when(F.col("label") != "", F.col("label")).otherwise(F.concat(F.lit("node_"), F.col("id").cast("string"))).alias("cluster"))
-    return top.join(names, "ancestor").select("label", "cluster")
+    """``label, cluster``: each leaf with the node that it reaches by going up as long as the
+    path from it stays shorter than the threshold; the root is the last it can reach. An
+    unlabelled node is ``node_<id>``. Leaves climb by jump pointers, the largest first."""
+    ws = Workspace(edges.sparkSession, "clusters")
+    at = ws.table(edges.where("is_leaf").select("id", "label", F.col("id").alias("at"), F.lit(0.0).alias("gone")), "start")
+    for k, jump in reversed(list(enumerate(jumps(edges, ws)))):
+        far = at.join(jump.toDF("at", "to", "dist", "most"), "at", "left")
+        go = F.col("to").isNotNull() & (F.col("gone") + F.col("most") < threshold)
+        far = far.select("id", "label", F.when(go, F.col("to")).otherwise(F.col("at")).alias("at"), F.when(go, F.col("gone") + F.col("dist")).otherwise(F.col("gone")).alias("gone"))
+        at = ws.table(far, f"climbed-{k}")
+    name = F.when(F.col("label") != "", F.col("label")).otherwise(F.concat(F.lit("node_"), F.col("id").cast("string")))
+    return at.select("label", "at").join(edges.select(F.col("id").alias("at"), name.alias("cluster")), "at").select("label", "cluster")

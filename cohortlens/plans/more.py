@@ -97,6 +97,36 @@ def tr_prune(spark, sf):
     return cohort.prune(edges, nations.where("n_regionkey IN (1, 2)").select(F.col("n_name").alias("label")))
 
 
+_DEEP_SQL = """e AS (SELECT c_custkey AS id, CASE WHEN c_custkey > 1 THEN greatest(1, c_custkey - 1 - c_custkey % 3) END AS parent, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_name END AS label, 0.5::DOUBLE + c_custkey % 5 AS dist FROM customer),
+ leaf AS (SELECT * FROM e WHERE id NOT IN (SELECT parent FROM e WHERE parent IS NOT NULL))"""
+
+
+def deep_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as a tree whose depth grows with them: each hangs on one a little before it;
+    every fourth has no name."""
+    k = F.col("c_custkey").cast("long")
+    c = table(spark, sf, "customer").select(k.alias("id"), F.when(k > 1, F.greatest(F.lit(1).cast("long"), k - 1 - k % 3)).alias("parent"), F.when(k % 4 == 0, "").otherwise(F.col("c_name")).alias("label"), (0.5 + k % 5).alias("dist"), "c_nationkey")
+    inner = c.where("parent IS NOT NULL").select(F.col("parent").alias("id")).distinct().withColumn("inner", F.lit(True))
+    return c.join(inner, "id", "left").select("id", "parent", "label", "dist", F.col("inner").isNull().alias("is_leaf"), "c_nationkey")
+
+
+@query(f"""WITH RECURSIVE {_DEEP_SQL}, w AS (SELECT id, label, id AS node, 0.0::DOUBLE AS gone FROM leaf
+  UNION ALL SELECT w.id, w.label, e.parent, w.gone + e.dist FROM w JOIN e ON w.node = e.id WHERE e.parent IS NOT NULL AND w.gone + e.dist < 40),
+ t AS (SELECT id, any_value(label) AS label, arg_max(node, gone) AS node FROM w GROUP BY id)
+ SELECT t.label, CASE WHEN e.label <> '' THEN e.label ELSE 'node_' || e.id END AS cluster FROM t JOIN e ON t.node = e.id""")
+def tr_clusters(spark, sf):
+    return cohort.tree_clusters(deep_tree(spark, sf), 40.0)
+
+
+@query(f"""WITH RECURSIVE {_DEEP_SQL}, tip AS (SELECT id FROM leaf JOIN customer ON id = c_custkey WHERE label <> '' AND c_nationkey = 7 AND c_custkey > 60),
+ up AS (SELECT id, id AS ancestor, 0 AS depth FROM tip UNION ALL SELECT up.id, e.parent, depth + 1 FROM up JOIN e ON up.ancestor = e.id WHERE e.parent IS NOT NULL),
+ shared AS (SELECT ancestor, max(depth) AS depth FROM up GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM tip))
+ SELECT (SELECT arg_min(ancestor, depth) FROM shared) AS id, (SELECT arg_min(label, depth) FROM shared JOIN e ON ancestor = e.id WHERE label <> '') AS label, (SELECT count(*) FROM tip) AS n_tips""")
+def tr_mrca(spark, sf):
+    tree = deep_tree(spark, sf)
+    return cohort.lowest_common(tree, tree.where("c_nationkey = 7 AND id > 60 AND label <> ''").select("label"))
+
+
 @query("SELECT doc_id AS accession, coalesce(nullif(lang, 'en'), 'Ib-global') AS cluster_id FROM documents")
 def tr_lineage_clusters(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("accession"), F.nullif(F.col("lang"), F.lit("en")).alias("lineage"))

@@ -211,6 +211,9 @@ def test_trees(spark):
         cohort.common_ancestor(edges, ["A", "zzz"])
     got = {r.label: r.cluster for r in cohort.tree_clusters(edges, 1.6).collect()}
     assert got["A"] == "n1" and got["B"] == "B" and got["D"] == got["E"] == "n2" and got["C"] == "n2"
+    got = {r.label: r.cluster for r in cohort.tree_clusters(edges, 2.5).collect()}  # within reach of the root
+    assert got == {"A": "root", "B": "n1", "C": "n2", "D": "n2", "E": "n2"}
+    assert {r.label: r.cluster for r in cohort.tree_clusters(edges, 1e9).collect()} == dict.fromkeys("ABCDE", "root")
     tips = lambda *names: spark.createDataFrame([(n,) for n in names], "label string")
     name = {r.id: r.label for r in edges.collect()}
     pruned = lambda t: {r.label: (name.get(r.parent), r.dist, r.is_leaf) for r in cohort.prune(edges, t).collect()}
@@ -221,6 +224,41 @@ def test_trees(spark):
     assert cohort.prune(edges.limit(0), tips("A")).count() == 0
 
 
+def test_deep_trees(spark):
+    """A chain of 3,000 nodes with a leaf on every fifteenth, and random trees by force."""
+    import random
+
+    n = 3_000
+    chain = [(k, k - 1 if k else None, f"n{k}" if k % 7 == 0 else "", 1.0, False) for k in range(n)]
+    chain += [(n + k, 15 * k, f"leaf{k}", 0.25, True) for k in range(n // 15)] + [(2 * n, n - 1, "end", 1.0, True)]
+    edges = spark.createDataFrame(chain, "id long, parent long, label string, dist double, is_leaf boolean")
+    assert cohort.common_ancestor(edges, ["leaf60", "leaf199", "end"]) == "n896" and cohort.common_ancestor(edges, ["leaf5", "leaf6"]) == "n70"
+    got = {r.label: r.cluster for r in cohort.tree_clusters(edges, 150.0).collect()}
+    assert got["leaf20"] == "node_151" and got["leaf1"] == "n0" and got["end"] == "node_2851"
+    cut = {r.id: (r.parent, r.dist) for r in cohort.prune(edges, spark.createDataFrame([("leaf3",), ("leaf150",), ("end",)], "label string")).collect()}
+    assert cut == {0: (None, 1.0), 45: (0, 45.0), 2250: (45, 2205.0), n + 3: (45, 0.25), n + 150: (2250, 0.25), 2 * n: (2250, 750.0)}
+    r = random.Random(7)
+    parent = {k: r.choice([k - 1, r.randrange(k), 0]) if k else None for k in range(300)}
+    dist = {k: r.choice([0.0, 0.5, 1.0, 2.0, -0.25]) for k in parent}
+    leaf = set(parent) - set(parent.values())
+    tree = spark.createDataFrame([(k, p, f"t{k}" if k in leaf or k % 2 else "", dist[k], k in leaf) for k, p in parent.items()], edges.schema)
+    for threshold in (0.4, 9.0):
+        want = {}
+        for k in leaf:
+            at, gone = k, 0.0
+            while parent[at] is not None and gone + dist[at] < threshold:
+                at, gone = parent[at], gone + dist[at]
+            want[f"t{k}"] = f"t{at}" if at in leaf or at % 2 else f"node_{at}"
+        assert {x.label: x.cluster for x in cohort.tree_clusters(tree, threshold).collect()} == want
+    up = lambda k: [k, *up(parent[k])] if k is not None else []
+    for size in (2, 5):
+        tips = r.sample(sorted(leaf), size)
+        shared = [a for a in up(tips[0]) if all(a in up(t) for t in tips)]
+        found = cohort.lowest_common(tree, spark.createDataFrame([(f"t{t}",) for t in tips], "label string")).first()
+        assert found.id == shared[0] and found.n_tips == size and found.label == next((f"t{a}" for a in shared if a % 2), None)
+    assert cohort.lowest_common(tree, spark.createDataFrame([("x",)], "label string")).count() == 0
+
+
 def test_jaccard_interval(spark):
     """The interval of a share is that of the binomial distribution, up to the draws' noise."""
     a, b = spark.range(0, 950).toDF("k"), spark.range(50, 1000).unionByName(spark.range(50, 100)).toDF("k")
