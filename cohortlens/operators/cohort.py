@@ -99,10 +99,13 @@ def jaccard_interval(a: DataFrame, b: DataFrame, key: str, least: float = 0.8, r
     return sums.agg(found.alias("jaccard"), at(0.025).alias("low"), at(0.975).alias("high"), (found >= least).alias("similar"))
 
 
+def marked_children(df: DataFrame, children: DataFrame, key: str = "accession") -> DataFrame:
+    return df.join(children.select(key).distinct().withColumn("is_child", F.lit(True)), key, "left").withColumn("is_child", F.coalesce("is_child", F.lit(False)))
+
+
 def children_first(df: DataFrame, children: DataFrame, key: str = "accession", order: str = "ord") -> DataFrame:
     """Children, then the others, each in file order."""
-    marked = df.join(children.select(key).distinct().withColumn("is_child", F.lit(True)), key, "left").withColumn("is_child", F.coalesce("is_child", F.lit(False)))
-    return marked.orderBy(F.desc("is_child"), order)
+    return marked_children(df, children, key).orderBy(F.desc("is_child"), order)
 
 
 def drop_exactly_one(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlens.functions import bases as B
@@ -50,6 +51,51 @@ def mask_columns(seq: Column, columns: list[int]) -> Column:
     return masked(seq, [(c, c + 1) for c in columns])
 
 
+def union_intervals(intervals: DataFrame, *keys: str) -> DataFrame:
+    """``start, end`` (and ``keys``: a reference) of intervals that neither overlap nor touch
+    and cover what the given half-open ones do. Empty and null ones are left out, starts
+    below 0 are 0, a null key is a key. Sorted by start, an interval opens a new run where
+    no earlier one reaches it; of equal starts only the farthest end is sorted, so a
+    reference has as many rows there as places at most, however many intervals."""
+    start = F.greatest(F.lit(0), F.col("start"))
+    far = intervals.select(*keys, start.alias("start"), "end").where("end > start").groupBy(*keys, "start").agg(F.max("end").alias("end"))
+    before = W.partitionBy(*keys).orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    upto = W.partitionBy(*keys).orderBy("start").rowsBetween(W.unboundedPreceding, 0)
+    opens = F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True))
+    runs = far.withColumn("__opens", opens.cast("int")).withColumn("__run", F.sum("__opens").over(upto))
+    return runs.groupBy(*keys, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__run")
+
+
+def mask_intervals(genomes: DataFrame, intervals: DataFrame, key: str | None = None, seq: str = "seq") -> DataFrame:
+    """``genomes`` with the half-open ``intervals`` (``start, end``, a table as ``read_bed``
+    gives it; they may overlap and reach beyond the ends) of ``seq`` as N: all of them, or
+    those of the genome's ``key``. Each genome's disjoint intervals are one sorted array,
+    over which a fold goes once. Genomes without intervals stay as they are."""
+    keys = [key] if key else []
+    told = union_intervals(intervals, *keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__mask"))  # at most half as many as a reference has places
+    if key:
+        both = genomes.join(told, key, "left")
+    else:
+        both = genomes.join(F.broadcast(told))  # one row
+    n, s = F.length(seq), F.col(seq)
+    cut = F.transform("__mask", lambda x: F.struct(F.least(x["start"], n).alias("start"), F.least(x["end"], n).alias("end")))
+    both = both.withColumn("__mask", cut)
+
+    def piece(x: Column, i: Column) -> Column:
+        done = F.when(i > 0, F.get("__mask", i - 1)["end"]).otherwise(F.lit(0))
+        return F.concat(F.substring(s, done + 1, x["start"] - done), F.repeat(F.lit("N"), x["end"] - x["start"]))
+
+    tail = F.substring(s, F.element_at("__mask", -1)["end"] + 1, n)
+    told = F.when(F.size("__mask") > 0, F.concat(F.array_join(F.transform("__mask", piece), ""), tail)).otherwise(s)
+    return both.withColumn(seq, told).select(*genomes.columns)
+
+
+def mask_column_table(genomes: DataFrame, columns: DataFrame, seq: str = "seq") -> DataFrame:
+    """``genomes`` with the 0-based columns of a table (``column``) as N."""
+    at = F.col("column").cast("int")
+    return mask_intervals(genomes, columns.select(at.alias("start"), (at + 1).alias("end")), seq=seq)
+
+
 def positions(df: DataFrame, *keep: str) -> DataFrame:
     """``keep``, ``pos`` (from 1), ``base``: a row a position of ``seq``."""
     return df.select(*keep, F.posexplode(bases(F.col("seq"))).alias("pos", "base")).withColumn("pos", F.col("pos") + 1)

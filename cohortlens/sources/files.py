@@ -152,8 +152,15 @@ def permutation_values(text: Column, missing: str = "--") -> list[Column]:
     return out
 
 
-def read_candidate_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+#: A candidate's record, a file of its own; fields that a file lacks are null.
+CANDIDATE = "accession string, clade string, phi_perm_p double, phi_normal_p double, nss_p double, maxchi_p double, parents array<string>, n_sites long"
+
+
+def read_candidate_json(spark: SparkSession, path: str, schema: str = CANDIDATE) -> DataFrame:
+    """The records of a folder with a JSON file a candidate, in the order of the files'
+    names. A declared schema: no pass to find one, and no surprise from one odd file."""
+    rows = spark.read.option("multiLine", True).schema(schema).json(path).withColumn("file", F.col("_metadata.file_name"))
+    return rows.orderBy("file").drop("file")
 
 
 def union_accessions(*tables: DataFrame) -> DataFrame:

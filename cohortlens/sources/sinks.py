@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.operators import cohort, sequence
+
 
 def write_tsv(df: DataFrame, path: str) -> None:
     flat = [F.array_join(c, "|").alias(c) if t.startswith("array") else F.col(f"`{c}`") for c, t in df.dtypes]
@@ -15,25 +17,52 @@ def wrapped(seq: Column, width: int = 80) -> Column:
     return F.regexp_replace(F.regexp_replace(seq, f"(.{{{width}}})", "$1\n"), "\n$", "")
 
 
-def write_fasta(records: DataFrame, path: str, keep: DataFrame | None = None, wrap: int | None = None) -> None:
-    """``accession, seq`` (in the order of ``ord`` if there is one); ``keep`` restricts ids."""
+def write_fasta(records: DataFrame, path: str, keep: DataFrame | None = None, wrap: int | None = None, order: list[str | Column] | None = None) -> None:
+    """``accession, seq`` in ``order`` (of ``ord``, if none is given and there is such a
+    column); ``keep`` restricts ids."""
     if keep is not None:
         records = records.join(keep.select("accession").distinct(), "accession", "left_semi")
     seq = wrapped(F.col("seq"), wrap) if wrap else F.col("seq")
-    if "ord" in records.columns:
-        records = records.orderBy("ord")
+    order = order or (["ord"] if "ord" in records.columns else [])
+    if order:
+        records = records.orderBy(*order)
     records.select(F.concat(F.lit(">"), "accession", F.lit("\n"), seq).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_bed(sites: DataFrame, path: str) -> None:
-    lines = sites.orderBy("pos", "context").select(F.concat_ws("\t", F.lit("ref"), (F.col("pos") - 1).cast("string"), F.col("pos").cast("string"), "context", F.col("occupancy").cast("string")).alias("value"))
-    lines.write.mode("overwrite").text(path)
+def write_condition_fasta(records: DataFrame, children: DataFrame, path: str, columns: DataFrame | None = None) -> None:
+    """The records of an alignment (``accession, seq, ord``) for a detector: children first,
+    each in file order, with the ``columns`` (0-based, ``column``) of a table as N."""
+    marked = cohort.marked_children(records, children)
+    if columns is not None:
+        marked = sequence.mask_column_table(marked, columns)
+    write_fasta(marked, path, order=[F.desc("is_child"), "ord"])
+
+
+def write_bed(sites: DataFrame, path: str, header: str | None = None) -> None:
+    """Sites (``pos`` from 1, ``context, occupancy``) sorted by position and context; a
+    ``header`` is the first line, after ``# ``."""
+    lines = sites.select(F.lit(1).alias("k"), "pos", "context", F.concat_ws("\t", F.lit("ref"), (F.col("pos") - 1).cast("string"), F.col("pos").cast("string"), "context", F.col("occupancy").cast("string")).alias("value"))
+    if header is not None:
+        first = sites.sparkSession.range(1).select(F.lit(0).alias("k"), F.lit(None).cast("int").alias("pos"), F.lit("").alias("context"), F.lit(f"# {header}").alias("value"))
+        lines = first.union(lines)
+    lines.orderBy("k", "pos", "context").select("value").write.mode("overwrite").text(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_summary(path: str, values: DataFrame, **tables: DataFrame) -> None:
+    """One JSON object, indented: the columns of the one row of ``values``, and under each
+    further name the rows of a small summary table, in the order of its columns. Nulls are
+    left out, as the reader of such a file takes what is missing for null."""
+    out = values
+    for name, rows in tables.items():
+        listed = rows.select(F.struct("*").alias("x")).agg(F.sort_array(F.collect_list("x")).alias(name))
+        out = out.join(F.broadcast(listed))  # one row each
+    out.coalesce(1).select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_checksums(files: DataFrame, path: str) -> None:
     files.orderBy("path").select(F.concat_ws("  ", "sha256", "path").alias("value")).write.mode("overwrite").text(path)
 

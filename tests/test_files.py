@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from cohortlens.operators import sequence
 from cohortlens.sources import files, sinks
 
 
@@ -62,3 +63,52 @@ def test_manifest_and_resume(spark, tmp_path):
     assert {x.seed for x in sinks.remaining(work, spark.read.parquet(f"{tmp_path}/runs"), "seed").collect()} == {0, 2}
     sinks.write_tsv(spark.createDataFrame([(["a", "b"], 1)], "r array<string>, n int"), f"{tmp_path}/t")
     assert spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/t").first().r == "a|b"
+
+
+def test_masks_from_a_bed_file(spark, tmp_path):
+    """Read, masked and written in one plan, against a fold over every interval."""
+    import random
+
+    r = random.Random(3)
+    for n in (0, 1, 40, 300):
+        spans = [(s, s + r.choice([0, 1, 2, 7, 50])) for s in (r.randrange(-5, 420) for _ in range(n))]
+        path = put(tmp_path / f"m{n}.bed", "track\n" + "".join(f"ref\t{s}\t{e}\n" for s, e in spans))
+        seqs = {"a": "".join(r.choices("ACGT-", k=400)), "b": "ACé" * 30, "c": "", "d": None, "e": "A"}
+        genomes = spark.createDataFrame([(k, s, i) for i, (k, s) in enumerate(seqs.items())], "accession string, seq string, ord int")
+        got = {x.accession: x.seq for x in sequence.mask_intervals(genomes, files.read_bed(spark, path)).collect()}
+        for k, s in seqs.items():
+            want = None if s is None else "".join("N" if any(a <= i < b for a, b in spans) else c for i, c in enumerate(s))
+            assert got[k] == want, (n, k)
+        union = [(x.start, x.end) for x in sequence.union_intervals(files.read_bed(spark, path)).orderBy("start").collect()]
+        covered = {i for a, b in spans for i in range(max(0, a), b)}
+        assert {i for a, b in union for i in range(a, b)} == covered and all(b < c for (_, b), (c, _) in zip(union, union[1:], strict=False))
+    by_key = spark.createDataFrame([("a", 0, 3), ("a", 2, 5), (None, 0, 9), ("e", -4, 0)], "accession string, start int, end int")
+    got = {x.accession: x.seq for x in sequence.mask_intervals(genomes, by_key, "accession").collect()}
+    assert got["a"][:6].count("N") == 5 and got["b"] == seqs["b"] and got["e"] == "A"
+    children = spark.createDataFrame([("e",), ("a",), ("zzz",)], "accession string")
+    sinks.write_condition_fasta(genomes.where("accession <> 'd'"), children, f"{tmp_path}/c", spark.createDataFrame([(0,), (2,), (2,)], "column int"))
+    lines = "".join(x.value + "\n" for x in spark.read.text(f"{tmp_path}/c").collect()).split("\n")
+    assert lines[:5] == [">a", "N" + seqs["a"][1] + "N" + seqs["a"][3:], ">e", "N", ">b"] and lines[5].startswith("NCN") and lines[6] == ">c"
+
+
+def test_summaries_candidates_and_sites(spark, tmp_path):
+    import json
+
+    values = spark.createDataFrame([(3, 0.5)], "n int, share double")
+    sinks.write_summary(f"{tmp_path}/s", values, by_clade=spark.createDataFrame([("b", 2), ("a", 1)], "clade string, n int"), none=spark.createDataFrame([], "x int"))
+    text = "".join(x.value + "\n" for x in spark.read.text(f"{tmp_path}/s").collect())
+    assert json.loads(text) == {"n": 3, "share": 0.5, "by_clade": [{"clade": "a", "n": 1}, {"clade": "b", "n": 2}], "none": []} and "\n  " in text
+    assert files.read_parameters(spark, f"{tmp_path}/s")["by_clade"][1] == {"clade": "b", "n": 2}
+    sites = spark.createDataFrame([(9, "TC", 2), (3, "GA", 1)], "pos int, context string, occupancy long")
+    sinks.write_bed(sites, f"{tmp_path}/b", header="sites of the cohort")
+    assert [x.value for x in spark.read.text(f"{tmp_path}/b").collect()] == ["# sites of the cohort", "ref\t2\t3\tGA\t1", "ref\t8\t9\tTC\t2"]
+    assert [tuple(x) for x in files.read_bed(spark, f"{tmp_path}/b").orderBy("start").collect()] == [(2, 3, "GA"), (8, 9, "TC")]
+    (tmp_path / "j").mkdir()
+    put(tmp_path / "j" / "2.json", '{\n "accession": "y", "phi_perm_p": 0.5, "other": [1]\n}')
+    put(tmp_path / "j" / "1.json", '{"accession": "x", "parents": ["p", "q"]}')
+    assert [(x.accession, x.phi_perm_p, x.parents) for x in files.read_candidate_json(spark, f"{tmp_path}/j").collect()] == [("x", None, ["p", "q"]), ("y", 0.5, None)]
+    files_ = spark.createDataFrame([("b", "2"), ("a", "1")], "path string, sha256 string")
+    sinks.write_checksums(files_, f"{tmp_path}/k")
+    assert [x.value for x in spark.read.text(f"{tmp_path}/k").collect()] == ["1  a", "2  b"]
+    both = files.union_accessions(spark.createDataFrame([("a",), (None,)], "accession string"), spark.createDataFrame([("a",), ("c",)], "accession string"))
+    assert {x.accession for x in both.collect()} == {"a", "c"}
