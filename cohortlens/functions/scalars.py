@@ -121,8 +121,10 @@ def is_partial(completeness: Column, fallback: Column) -> Column:
 
 
 def basin(year: Column) -> Column:
-    """Where a dating fit ended: two intervals of years, else ``other``."""
-    return F.when(year.between(2018, 2020), "~2019").when(year.between(2022.5, 2024.5), "~2023").otherwise("other")
+    """Where a dating fit ended: two intervals of years, else ``other``; without a year
+    (null or NaN) it has not converged."""
+    nowhere = year.isNull() | F.isnan(year.cast("double"))
+    return F.when(nowhere, "non-converged").when(year.between(2018, 2020), "~2019 local minimum").when(year.between(2022.5, 2024.5), "~2023 global minimum").otherwise("other")
 
 
 def starts_with(value: Column, prefix: str) -> Column:

@@ -25,11 +25,12 @@ def first_in_group(df: DataFrame, group: list[str], order: list[Column], n: int,
     return df.withColumn(place, F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col(place) <= n)
 
 
-def stratified_sample(df: DataFrame, strata: list[str], key: str, total: int, least: int, most: int, seed: str = "42") -> DataFrame:
+def stratified_sample(df: DataFrame, strata: list[str], key: str, total: int, least: int, most: int, seed: str = "42", named: bool = False) -> DataFrame:
     """At most ``total`` rows: first up to ``least`` a stratum, then one a stratum and round
     up to ``most``, strata in hashed order; ``allocation_pass`` 1 or 2. Rows of an
     ``unknown`` or null stratum are left out. Where the first pass alone exceeds ``total``
-    its rows are taken in hashed order.
+    its rows are taken in hashed order. ``named``: the passes as ``pass1_min`` and
+    ``pass2_fill``, or ``pass1_capped`` for all rows where the first pass exceeds ``total``.
 
     Only the candidates, ``most`` a stratum, are ever sorted; the cut to ``total`` is a
     limit, not a window over all."""
@@ -41,7 +42,11 @@ def stratified_sample(df: DataFrame, strata: list[str], key: str, total: int, le
     first = F.col("__k") <= least
     some = some.withColumns({"__turn": F.when(first, 0).otherwise(F.col("__k")), "__place": F.when(first, F.col("__draw")).otherwise(draw(seed, "__stratum"))})
     out = some.orderBy("__turn", "__place", "__k", key).limit(total)
-    return out.select(*df.columns, F.when(F.col("__k") <= least, 1).otherwise(2).alias("allocation_pass"))
+    turn = F.when(F.col("__k") <= least, 1).otherwise(2)
+    if named:
+        capped = F.lit(some.where(first).count() > total)
+        turn = F.when(capped, "pass1_capped").when(turn == 1, "pass1_min").otherwise("pass2_fill")
+    return out.select(*df.columns, turn.alias("allocation_pass"))
 
 
 def subsamples(df: DataFrame, key: str, share: float, replicates: int, seed: int = 42) -> DataFrame:
@@ -108,6 +113,11 @@ def children_first(df: DataFrame, children: DataFrame, key: str = "accession", o
     return marked_children(df, children, key).orderBy(F.desc("is_child"), order)
 
 
+def restricted(df: DataFrame, clade: str, prefix: str, excluded: DataFrame, key: str) -> DataFrame:
+    """The rows of a clade (by prefix) whose key is not among the excluded ones; null keys stay."""
+    return df.where(F.coalesce(F.col(clade), F.lit("")).startswith(prefix)).join(excluded.select(key).dropna().distinct(), key, "left_anti")
+
+
 def drop_exactly_one(df: DataFrame, key: str, value: str) -> DataFrame:
     n = df.where(F.col(key) == value).count()
     if n != 1:
