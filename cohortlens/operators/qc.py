@@ -69,13 +69,15 @@ def tally(df: DataFrame) -> DataFrame:
 
 
 def clade_tally(df: DataFrame) -> DataFrame:
-    return df.where("passes").groupBy(F.coalesce("clade", F.lit("unassigned")).alias("clade")).agg(F.count("*").alias("n"))
+    """Survivors a clade, counted without a filter, which would work out the reasons again."""
+    n = df.groupBy(F.coalesce("clade", F.lit("unassigned")).alias("clade")).agg(F.count_if(F.col("passes")).alias("n"))
+    return n.where("n > 0")
 
 
 def dated_share(df: DataFrame) -> DataFrame:
     """Survivors with a month or better, and whether there are 30 survivors at all."""
     dated = S.resolution_passes(S.date_resolution(F.col("collection_date")), "month")
-    return df.where("passes").agg(F.count("*").alias("passed"), F.avg(dated.cast("double")).alias("share_dated"), (F.count("*") >= 30).alias("enough"))
+    return df.agg(F.count_if(F.col("passes")).alias("passed"), F.avg(F.when(F.col("passes"), dated.cast("double"))).alias("share_dated")).withColumn("enough", F.col("passed") >= 30)
 
 
 def summary(df: DataFrame) -> DataFrame:

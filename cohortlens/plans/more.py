@@ -192,6 +192,29 @@ def st_normal_tail(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", F.round(F.ln(stats.normal_tail(z)), 8).alias("log_tail"))
 
 
+_P_SQL = """p AS (SELECT *, (n - 2) / 2.0 AS a, (1 - abs(rho)) / 4000 AS h FROM c),
+ i AS (SELECT *, (SELECT sum(CASE WHEN k = 0 OR k = 4000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(greatest(0, 1 - (abs(rho) + k * h) ** 2), a - 1)) FROM (SELECT unnest(range(0, 4001)) AS k)) * h / 3 AS area FROM p)"""
+
+
+@query(f"""WITH r AS (SELECT rank() OVER (ORDER BY s_acctbal) + (count(*) OVER (PARTITION BY s_acctbal) - 1) / 2.0 AS x, rank() OVER (ORDER BY s_nationkey) + (count(*) OVER (PARTITION BY s_nationkey) - 1) / 2.0 AS y FROM supplier),
+ c AS (SELECT count(*) AS n, corr(x, y) AS rho FROM r), {_P_SQL} SELECT n, round(rho, 6) AS rho, round(2 * area * exp(lgamma(a + 0.5) - lgamma(a)) / sqrt(pi()), 6) AS p FROM i""")
+def st_spearman_p(spark, sf):
+    """The chance of a rank correlation as large, which SQL integrates by Simpson's rule."""
+    return stats.spearman(table(spark, sf, "supplier"), "s_acctbal", "s_nationkey").select("n", r6("rho", "rho"), r6("p", "p"))
+
+
+@query("""WITH r AS (SELECT s_nationkey < 12 AS f, rank() OVER (ORDER BY s_acctbal) + (count(*) OVER (PARTITION BY s_acctbal) - 1) / 2.0 AS r FROM supplier),
+ t AS (SELECT sum(c ** 3 - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM supplier WHERE s_acctbal IS NOT NULL GROUP BY s_acctbal)),
+ u AS (SELECT count(*) FILTER (f)::DOUBLE AS n1, count(*) FILTER (NOT f)::DOUBLE AS n2, sum(r) FILTER (f) - count(*) FILTER (f) * (count(*) FILTER (f) + 1) / 2.0 AS u FROM r),
+ z AS (SELECT *, (u - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM u, t), d AS (SELECT *, abs(z) AS a, exp(-z * z / 2) / sqrt(2 * pi()) AS d FROM z),
+ p AS (SELECT *, CASE WHEN a < 2.5 THEN 0.5 - d * list_sum(list_transform(range(0, 51), lambda n: exp((2 * n + 1) * ln(greatest(a, 1e-300)) - (lgamma(2 * n + 2) - n * ln(2.0) - lgamma(n + 1)))))
+   ELSE d / list_reduce(list_transform(range(120, 0, -1), lambda k: k::DOUBLE), lambda s, k: a + k / s, a) END AS upper FROM d)
+ SELECT n1::BIGINT AS n1, n2::BIGINT AS n2, round(u, 6) AS u, round(z, 6) AS z, round(CASE WHEN z >= 0 THEN upper ELSE 1 - upper END, 8) AS p_greater FROM p""")
+def st_rank_sum_p(spark, sf):
+    df = table(spark, sf, "supplier").select("s_acctbal", (F.col("s_nationkey") < 12).alias("f"))
+    return stats.rank_sum(df, "s_acctbal", "f").select("n1", "n2", r6("u", "u"), r6("z", "z"), F.round("p_greater", 8).alias("p_greater"))
+
+
 # --- sequences -------------------------------------------------------------------------
 
 _WHOLE = "translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"

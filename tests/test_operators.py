@@ -339,6 +339,17 @@ def test_columns_over_many_blocks(spark, monkeypatch):
     assert [tuple(x)[:3] for x in sequence.count_variants(g, ref, same_length=False).orderBy("accession").collect()] == [(1, 2, 2), (3, 0, 0)]
 
 
+def test_correlation_p(spark):
+    """Against the same function of two numbers, and known values of Student's t."""
+    rows = [(rho, n) for n in (3, 4, 5, 10, 50, 198, 1000, 10**6) for rho in (-0.999, -0.8289, -0.3, -1e-3, 0.02, 0.5, 0.97)]
+    df = spark.createDataFrame([*rows, (1.0, 9), (0.0, 9), (None, 9), (0.5, 2)], "rho double, n long")
+    got = {(r.rho, r.n): r.p for r in df.withColumn("p", stats.correlation_p(F.col("rho"), F.col("n"))).collect()}
+    for rho, n in rows:
+        assert got[rho, n] == pytest.approx(stats.spearman_p(rho, n), rel=1e-9, abs=1e-300), (rho, n)
+    assert got[1.0, 9] == 0.0 and got[0.0, 9] == 1.0 and got[None, 9] is None and got[0.5, 2] is None
+    assert got[0.5, 10] == pytest.approx(0.14111328, rel=1e-6)  # t = 1.632993, 8 degrees of freedom
+
+
 def test_quantiles_by_selection(spark, monkeypatch):
     """Against NumPy: groups of all sizes, ties, many magnitudes, nulls, with ranges so small
     that they are cut again and again."""
