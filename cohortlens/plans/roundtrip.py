@@ -4,6 +4,7 @@ readers, into a fresh folder of the session's shared one; and small operators be
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlens.functions import scalars as S
@@ -145,6 +146,23 @@ def src_node_state(spark, sf):
     return files.read_node_state(spark, path, "n1")
 
 
+@query("""WITH s AS (SELECT *, dense_rank() OVER (ORDER BY s_nationkey) AS g, row_number() OVER (ORDER BY s_nationkey, s_suppkey) AS i FROM supplier), n AS (SELECT s_nationkey, g + min(i) - 1 AS id FROM s GROUP BY s_nationkey, g)
+ SELECT 0 AS id, NULL AS parent, 'root' AS label, 0.0::DOUBLE AS dist, false AS is_leaf UNION ALL SELECT id, 0, 'n' || s_nationkey, 2.5, false FROM n
+ UNION ALL SELECT s.g + s.i, n.id, s_name, round(s_suppkey % 9 / 4.0, 6), true FROM s JOIN n ON s.s_nationkey = n.s_nationkey""")
+def src_newick(spark, sf):
+    """Suppliers as leaves of their nations, in one file."""
+    of_nation = W.partitionBy("s_nationkey").orderBy("s_suppkey")
+    s = table(spark, sf, "supplier").withColumns({"first": F.row_number().over(of_nation) == 1, "last": F.lead("s_suppkey").over(of_nation).isNull()})
+    name = F.concat(F.col("s_name"), F.lit(":"), F.format_string("%.2f", F.col("s_suppkey") % 9 / 4.0))
+    text = F.concat(F.when(F.col("first"), "(").otherwise(""), name, F.when(F.col("last"), F.concat(F.lit(")n"), F.col("s_nationkey").cast("string"), F.lit(":2.5"))).otherwise(""))
+    edge = s.agg(F.min(F.struct("s_nationkey", "s_suppkey")).alias("low"), F.max(F.struct("s_nationkey", "s_suppkey")).alias("high"))
+    at = F.struct("s_nationkey", "s_suppkey")
+    s = s.join(F.broadcast(edge))  # one row
+    line = F.concat(F.when(at == F.col("low"), "(").otherwise(","), text, F.when(at == F.col("high"), ")root;").otherwise(""))
+    path = text_file(s.orderBy("s_nationkey", "s_suppkey").select(line.alias("value")).coalesce(1), spark, "newick", lineSep=" ")
+    return files.newick_tree(spark, path)
+
+
 # --- detectors -------------------------------------------------------------------------
 
 _REC_LINES_SQL = "SELECT l_orderkey, l_linenumber, l_discount AS p1, CASE WHEN l_tax > 0 THEN l_tax END AS p2 FROM lineitem"

@@ -7,9 +7,11 @@ from functools import partial
 from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlens.functions import scalars as S
+from cohortlens.workspace import Workspace
 
 
 def read_tsv(spark: SparkSession, path: str, columns: list[str] | None = None, comment: str | None = None) -> DataFrame:
@@ -108,6 +110,59 @@ def tree_edges(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(read_newick(text), "id long, parent long, label string, dist double, is_leaf boolean")
 
 
+#: Nodes of a tree, in preorder, that one task looks through at a time.
+TREE_BLOCK = 1 << 16
+
+
+def newick_tree(spark: SparkSession, path: str) -> DataFrame:
+    """``tree_edges`` of a Newick file of any size: ``id, parent, label, dist, is_leaf``, ids in
+    preorder. The text is read in pieces between its commas and never whole: running sums
+    of opened and closed brackets give each piece its depth and its first id; a node's
+    parent, and the node that a closing bracket names, is the last node opened at the
+    depth above. Running sums and last nodes are taken within blocks and carried from block
+    to block. What follows the first ``;`` is passed over; an empty file gives no rows."""
+    ws = Workspace(spark, "newick")
+    raw = spark.read.option("lineSep", ",").text(path)
+    # Spark may read the parts of a file in any order; their places tell the right one
+    part = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    raw = ws.table(raw.select("value", part.alias("part"), F.monotonically_increasing_id().alias("ord")), "pieces")
+    end = F.broadcast(raw.where(F.col("value").contains(";")).agg(F.min(F.struct("part", "ord")).alias("end")))  # one row
+    raw = raw.join(end).where(F.col("end").isNull() | (F.struct("part", "ord") <= F.col("end"))).withColumn("value", F.substring_index("value", ";", 1))
+    parts = F.split(F.regexp_replace("value", r"\(", ""), r"\)")
+    piece = raw.select("ord", "part", (F.length("value") - F.length(F.translate("value", "(", ""))).alias("opens"), parts.alias("texts"))
+    piece = piece.withColumn("deeper", F.col("opens") - F.size("texts") + 1)
+    sums = piece.groupBy("part").agg(F.sum("deeper").alias("deeper"), F.sum(F.col("opens") + 1).alias("nodes"))
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row a part of the file
+    sums = sums.select("part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"all_{c}") for c in ("deeper", "nodes")])
+    within = W.partitionBy("part").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
+    before = lambda x, c: F.coalesce(F.sum(x).over(within), F.lit(0)) + F.col(f"all_{c}")
+    piece = piece.join(F.broadcast(sums), "part").withColumns({"depth": before(F.col("deeper"), "deeper"), "first": before(F.col("opens") + 1, "nodes")})
+    piece = ws.table(piece.select("opens", "texts", "depth", "first"), "placed")
+    last = F.col("first") + F.col("opens")
+    nodes = piece.select("*", F.explode(F.sequence(F.lit(0), "opens")).alias("k")).select((F.col("first") + F.col("k")).alias("id"), (F.col("depth") + F.col("k")).alias("depth"), (F.col("k") < F.col("opens")).alias("inner"), (F.col("k") == 0).alias("starts"), F.when(F.col("k") == F.col("opens"), F.col("texts")[0]).alias("text"))
+    nodes = ws.table(nodes, "nodes")
+    none = F.lit(None).cast("long")
+    opened = nodes.where("inner").select("depth", F.col("id").alias("at"), F.col("id").alias("open"), none.alias("child"), F.lit(None).cast("string").alias("text"))
+    begun = nodes.where("starts AND id > 0").select(F.col("depth") - 1, F.col("id").alias("at"), none.alias("open"), F.col("id").alias("child"), F.lit(None).cast("string").alias("text"))
+    shut = piece.select("depth", "opens", last.alias("at"), F.posexplode(F.slice("texts", 2, F.greatest(F.lit(0), F.size("texts") - 1))).alias("j", "text"))
+    shut = shut.select((F.col("depth") + F.col("opens") - 1 - F.col("j")).alias("depth"), "at", none.alias("open"), none.alias("child"), "text")
+    events = opened.unionAll(begun).unionAll(shut).withColumn("block", F.floor(F.col("at") / TREE_BLOCK))
+    carried = events.groupBy("depth", "block").agg(F.max("open").alias("open"))
+    carried = carried.select("depth", "block", F.max("open").over(W.partitionBy("depth").orderBy("block").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
+    upto = F.max("open").over(W.partitionBy("depth", "block").orderBy("at").rangeBetween(W.unboundedPreceding, 0))
+    seen = events.withColumn("upto", upto).where("open IS NULL").join(carried, ["depth", "block"]).withColumn("above", F.coalesce("upto", "carried"))
+    seen = ws.table(seen.select("child", "text", "above"), "found")
+    parents = seen.where("child IS NOT NULL").select(F.col("child").alias("id"), F.col("above").alias("parent"))
+    names = seen.where("child IS NULL AND above IS NOT NULL").groupBy(F.col("above").alias("id")).agg(F.max("text").alias("name"))
+    out = nodes.join(parents, "id", "left").join(names, "id", "left")
+    # a node that does not start a piece hangs on the one before it
+    parent = F.when(F.col("starts"), F.col("parent")).otherwise(F.col("id") - 1)
+    text = F.coalesce("text", "name", F.lit(""))
+    label, dist = F.split(text, ":", 2)[0], F.trim(F.get(F.split(text, ":", 2), F.lit(1)))
+    label = F.btrim(F.regexp_replace(label, r"^\s+|\s+$", ""), F.lit("'"))
+    return out.select("id", parent.alias("parent"), label.alias("label"), F.when(dist != "", F.regexp_replace(dist, r"\s", "").cast("double")).otherwise(0.0).alias("dist"), (~F.col("inner")).alias("is_leaf"))
+
+
 def _p_value(text: Column) -> Column:
     p = F.trim(text).try_cast("double")
     return F.when((p > 0) & (p <= 1), p)

@@ -112,3 +112,29 @@ def test_summaries_candidates_and_sites(spark, tmp_path):
     assert [x.value for x in spark.read.text(f"{tmp_path}/k").collect()] == ["1  a", "2  b"]
     both = files.union_accessions(spark.createDataFrame([("a",), (None,)], "accession string"), spark.createDataFrame([("a",), ("c",)], "accession string"))
     assert {x.accession for x in both.collect()} == {"a", "c"}
+
+
+def test_trees_of_any_size(spark, tmp_path, monkeypatch):
+    """The same edges as the small parser, for odd spellings and random trees read in pieces."""
+    import random
+
+    r = random.Random(5)
+
+    def grown(n):
+        if n <= 1:
+            return r.choice(["A", "'b c'", "", " x "]) + r.choice(["", ":1.5", ":0", ":2e-3"])
+        cuts = sorted(r.sample(range(1, n), min(n - 1, r.choice([1, 1, 2, 5]))))
+        inner = ",".join(grown(b - a) for a, b in zip([0, *cuts], [*cuts, n], strict=True))
+        return f"({inner}){r.choice(['', 'n', 'k'])}" + r.choice(["", ":3.25"])
+
+    chain = "(" * 400 + "a" + "".join(f",t{k}:1)n{k}:2" for k in range(400)) + ";"
+    trees = ["((A:1,B:2)n1:1,(C:1,(D:1,E:1):0.5)n2:3)root;", "A;", "(A);", "((A));", "(,(,),);\n(B,C);", "( (A:1 , 'q r':2 ) n1:1\n,\nC)r:0.5;", chain] + [grown(n) + ";" for n in (2, 9, 300)]
+    for block in (1 << 16, 8):
+        monkeypatch.setattr(files, "TREE_BLOCK", block)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 200 if block == 8 else 128 << 20)
+        try:
+            for k, text in enumerate(trees if block == 8 else trees[:2]):
+                got = sorted(tuple(x) for x in files.newick_tree(spark, put(tmp_path / f"t{block}-{k}.nwk", text)).collect())
+                assert got == sorted(files.read_newick(text)), text[:80]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
