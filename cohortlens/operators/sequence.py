@@ -183,6 +183,42 @@ def annotate(found: DataFrame, reference: DataFrame, genes: DataFrame) -> DataFr
     return out.join(hit, ["accession", "pos"], "left")
 
 
+#: The standard genetic code, codons in the order of their bases T, C, A, G (a fixed value).
+GENETIC_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+
+
+def amino_acid(codon: Column) -> Column:
+    """The letter of a codon, ``*`` for a stop; null unless it is three known bases."""
+    at = [F.instr(F.lit("TCAG"), F.substring(codon, k, 1)) - 1 for k in (1, 2, 3)]
+    return F.when(codon.rlike("^[ACGT]{3}$"), F.substring(F.lit(GENETIC_CODE), (16 * at[0] + 4 * at[1] + at[2] + 1).cast("int"), F.lit(1)))
+
+
+def codon_effects(found: DataFrame, reference: DataFrame, exons: DataFrame) -> DataFrame:
+    """``accession, pos, ref, alt, gene, codon`` (its number from 1), ``ref_aa, alt_aa, effect``
+    of variants (of ``variants``) within coding exons ``gene, strand, start, end`` (half-open,
+    from 0), each by itself against the reference.
+
+    Exons of a gene are spliced in the order of its strand; on ``-`` bases are complements.
+    ``effect`` is ``synonymous``, ``missense``, ``stop_gained`` or ``stop_lost``; null where the
+    codon is cut short or has an unknown base. A variant in two genes has two rows, one in
+    none has no row. Exons are joined by bins of 1024 bases."""
+    ref = F.broadcast(reference.select(F.upper("seq").alias("seq")))  # one row
+    back = F.col("strand") == "-"
+    earlier = W.partitionBy("gene").orderBy(F.when(back, -F.col("start")).otherwise(F.col("start"))).rowsBetween(W.unboundedPreceding, -1)  # exons of one gene
+    placed = exons.join(ref).withColumn("offset", F.coalesce(F.sum(F.col("end") - F.col("start")).over(earlier), F.lit(0)))
+    part = F.substring("seq", F.col("start") + 1, F.col("end") - F.col("start"))
+    placed = placed.withColumn("part", F.when(back, reverse_complement(part)).otherwise(part)).drop("seq")
+    spliced = placed.groupBy("gene").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("offset", "part"))), lambda x: x["part"]), "").alias("coding"))
+    binned = placed.join(spliced, "gene").select("gene", "strand", "start", "end", "offset", "coding", F.explode(F.sequence(F.floor(F.col("start") / 1024), F.floor((F.col("end") - 1) / 1024))).alias("bin"))
+    hit = found.select("accession", "pos", "ref", "alt", F.floor((F.col("pos") - 1) / 1024).alias("bin")).join(binned, "bin").where("pos - 1 >= start AND pos - 1 < end")
+    place = F.col("offset") + F.when(back, F.col("end") - F.col("pos")).otherwise(F.col("pos") - 1 - F.col("start"))
+    hit = hit.withColumn("place", place).withColumn("was", F.substring("coding", (F.floor(F.col("place") / 3) * 3 + 1).cast("int"), F.lit(3)))
+    alt = F.when(back, F.translate("alt", "ACGT", "TGCA")).otherwise(F.col("alt"))
+    hit = hit.withColumn("now", F.overlay("was", alt, (F.col("place") % 3 + 1).cast("int"), 1)).withColumns({"ref_aa": amino_acid(F.col("was")), "alt_aa": amino_acid(F.col("now"))})
+    effect = F.when(F.col("ref_aa") == F.col("alt_aa"), "synonymous").when(F.col("alt_aa") == "*", "stop_gained").when(F.col("ref_aa") == "*", "stop_lost").when(F.col("ref_aa").isNotNull() & F.col("alt_aa").isNotNull(), "missense")
+    return hit.select("accession", "pos", "ref", "alt", "gene", (F.floor(F.col("place") / 3) + 1).cast("int").alias("codon"), "ref_aa", "alt_aa", effect.alias("effect"))
+
+
 def variant_counts(genomes: DataFrame, found: DataFrame) -> DataFrame:
     """A row a genome: all variants, those in context, the rest, the fraction in context."""
     agg = found.groupBy("accession").agg(F.count("*").alias("total_snvs"), F.count("context").alias("apobec3_snvs"))

@@ -257,6 +257,23 @@ def seq_annotated(spark, sf):
     return sequence.annotate(sequence.variants(tips(spark, sf).where("clade = 'Ib'"), ref), ref, genes).select("accession", "pos", "ref", "alt", "context", "trinucleotide", "gene")
 
 
+_EXONS = [("fwd", "+", 0, 31), ("fwd", "+", 40, 76), ("rev", "-", 20, 50), ("rev", "-", 70, 130), ("short", "+", 100, 104)]
+_CODE_SQL = lambda c: f"CASE WHEN regexp_full_match({c}, '[ACGT]{{{{3}}}}') THEN substr('{sequence.GENETIC_CODE}', 16 * (instr('TCAG', substr({c}, 1, 1)) - 1) + 4 * (instr('TCAG', substr({c}, 2, 1)) - 1) + instr('TCAG', substr({c}, 3, 1)), 1) END"
+
+
+@query(f"""WITH {_CHANGES_SQL}, x AS (SELECT * FROM (VALUES {", ".join(map(str, _EXONS))}) t(gene, strand, s, e)),
+ o AS (SELECT *, coalesce(sum(e - s) OVER (PARTITION BY gene ORDER BY CASE WHEN strand = '-' THEN -s ELSE s END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM x),
+ c AS (SELECT gene, string_agg(CASE WHEN strand = '-' THEN reverse(translate(substr(rs, s + 1, e - s), 'ACGT', 'TGCA')) ELSE substr(rs, s + 1, e - s) END, '' ORDER BY o) AS coding FROM o, ref GROUP BY gene),
+ h AS (SELECT v.accession, v.pos, v.ref, v.alt, o.gene, coding, CAST(o + CASE WHEN strand = '-' THEN e - pos ELSE pos - 1 - s END AS BIGINT) AS p, CASE WHEN strand = '-' THEN translate(alt, 'ACGT', 'TGCA') ELSE alt END AS b FROM v JOIN o ON pos - 1 >= s AND pos - 1 < e JOIN c ON c.gene = o.gene),
+ w AS (SELECT *, substr(coding, p // 3 * 3 + 1, 3) AS was FROM h), n AS (SELECT *, substr(was, 1, p % 3) || b || substr(was, p % 3 + 2) AS now FROM w),
+ a AS (SELECT *, {_CODE_SQL("was").format()} AS ref_aa, {_CODE_SQL("now").format()} AS alt_aa FROM n)
+ SELECT accession, pos, ref, alt, gene, CAST(p // 3 + 1 AS INTEGER) AS codon, ref_aa, alt_aa, CASE WHEN ref_aa = alt_aa THEN 'synonymous' WHEN alt_aa = '*' THEN 'stop_gained' WHEN ref_aa = '*' THEN 'stop_lost' WHEN ref_aa IS NOT NULL AND alt_aa IS NOT NULL THEN 'missense' END AS effect FROM a""")
+def seq_codon_effects(spark, sf):
+    ref = reference(spark, sf)
+    exons = spark.createDataFrame(_EXONS, "gene string, strand string, start int, end int")
+    return sequence.codon_effects(sequence.variants(tips(spark, sf).where("clade = 'Ib'"), ref), ref, exons)
+
+
 @query(f"""WITH s AS (SELECT doc_id AS accession, {_WHOLE} AS seq FROM documents), c AS (SELECT accession, seq || reverse(translate(substr(lower(seq), 1, 1000 + accession % 500), 'acgt', 'tgca')) AS seq FROM s WHERE length(seq) >= 1500),
  h AS (SELECT accession, upper(seq) AS seq, reverse(translate(upper(seq), 'ACGT', 'TGCA')) AS rc, least(20000, length(seq) // 2) AS n FROM c),
  p AS (SELECT accession, n, coalesce((SELECT min(i) FROM (SELECT unnest(range(1, n + 1)) AS i) WHERE substr(seq, i, 1) <> substr(rc, i, 1)) - 1, n) AS k FROM h)

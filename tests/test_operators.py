@@ -396,3 +396,18 @@ def test_ranks_in_ranges(spark, monkeypatch):
         monkeypatch.setattr(stats, "RANGE_ROWS", size)
         out = stats.ranked(df, "v", "g").collect()
         assert {(x.g, x.v): x.rank_v for x in out} == want and len(out) == sum(g is not None and v is not None for g, v in rows)
+
+
+def test_codon_effects(spark):
+    """A gene of two exons on each strand, by hand."""
+    #                            0123456789012345678901
+    ref = spark.createDataFrame([("ATGTCAGGTTAAAATTACCCAT",)], "seq string")
+    # +: ATG|TCA, intron GG, TTA; -: (CAT) of 19-22 reversed: ATG, then 10-13 reversed (AAA): TTT
+    exons = spark.createDataFrame([("f", "+", 0, 6), ("f", "+", 8, 11), ("r", "-", 19, 22), ("r", "-", 10, 13), ("s", "+", 20, 22)], "gene string, strand string, start int, end int")
+    variants = [("a", 4, "T", "A"), ("a", 6, "A", "G"), ("a", 5, "C", "A"), ("a", 10, "T", "C"), ("a", 7, "G", "A"), ("b", 22, "T", "C"), ("b", 11, "A", "G"), ("b", 13, "A", "C"), ("b", 21, "A", "C")]
+    found = spark.createDataFrame(variants, "accession string, pos int, ref string, alt string")
+    got = {(x.gene, x.pos): (x.codon, x.ref_aa, x.alt_aa, x.effect) for x in sequence.codon_effects(found, ref, exons).collect()}
+    assert got == {
+        ("f", 4): (2, "S", "T", "missense"), ("f", 6): (2, "S", "S", "synonymous"), ("f", 5): (2, "S", "*", "stop_gained"), ("f", 10): (3, "L", "S", "missense"),
+        ("f", 11): (3, "L", "L", "synonymous"), ("r", 22): (1, "M", "V", "missense"), ("r", 11): (2, "F", "F", "synonymous"), ("r", 13): (2, "F", "V", "missense"), ("r", 21): (1, "M", "R", "missense"), ("s", 22): (1, None, None, None), ("s", 21): (1, None, None, None),
+    }
