@@ -196,6 +196,8 @@ def fingerprint_edits(docs: DataFrame, t: Table = Table()) -> DataFrame:
 
 
 def op6_lookup_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edits. Nulls, empty and long texts, ties,
+    repeated rows, an empty table and further columns: as in ``fingerprint_edits``."""
     return fingerprint_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

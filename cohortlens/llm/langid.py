@@ -187,7 +187,9 @@ def fold(doc_id: str, of: int):
 
 
 def op2_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Languages of all documents, learned from the four folds that are not held out."""
+    """Languages of all documents, learned from the four folds that are not held out. Nulls,
+    empty and long texts, ties, repeated rows, empty tables and further columns: as in
+    ``learn`` and ``identify``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     f = learn(docs.where(fold("doc_id", 5) != 0))
     out = identify(docs, f)

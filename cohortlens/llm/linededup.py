@@ -63,7 +63,8 @@ def drop_site_lines(docs: DataFrame, site: str = "source", text: str = "text", p
 
 
 def op4_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source."""
+    """Documents without the boilerplate lines of their source. Nulls, empty and long texts,
+    ties, repeated rows, an empty table and further columns: as in ``drop_site_lines``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return drop_site_lines(docs).select("doc_id", "source", "n_lines", "n_dropped", "text")
 

@@ -118,6 +118,10 @@ def _told(found: Column) -> Column:
 
 
 def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents. A null or empty text has no span, its counts are 0 and
+    its digest that of an empty text; texts are searched whole; repeated rows and null ids
+    each come back; spans are sorted by kind, then start, so ties cannot arise; an empty
+    table gives an empty one; further columns are ignored."""
     docs = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "pii")
     n = [F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
     base = F.sha2(_told(F.filter("pii", lambda s: s["kind"].isin(*BASE))), 256)
