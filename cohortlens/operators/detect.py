@@ -48,6 +48,21 @@ def agreement_sweep(calls: DataFrame, control: str, k: tuple[int, ...] = (1, 2,
     return each.groupBy("k").agg(F.count_if(hit).alias("n_candidates"), F.coalesce(F.bool_or(hit & (F.col("accession") == control)), F.lit(False)).alias("control_in_set"))
 
 
+def segment_sweep(breakpoints: DataFrame, threshold: float, scales: list[float], control: str) -> DataFrame:
+    """``scale, n_candidates, n_breakpoints, control``: how many candidates of ``accession,
+    delta, baseline`` keep a breakpoint, and how many there are, if one counts where its gain
+    reaches the scaled threshold; whether the control is among them. Files without a baseline
+    count nothing; a scale at which nothing counts has zeros."""
+    each = breakpoints.withColumn("scale", F.explode(F.array(*[F.lit(float(x)) for x in scales])))
+    kept = F.col("baseline").isNotNull() & (F.col("delta") >= F.col("scale") * threshold)
+    by = each.groupBy("scale", "accession").agg(F.count_if(kept).alias("n"))
+    found = by.groupBy("scale").agg(F.count_if(F.col("n") > 0).alias("n_candidates"), F.sum("n").alias("n_breakpoints"), F.bool_or((F.col("n") > 0) & (F.col("accession") == control)).alias("control"))
+    every = breakpoints.sparkSession.createDataFrame([(float(x),) for x in scales], "scale double")
+    out = every.join(found, "scale", "left")
+    zero = F.lit(0).cast("long")
+    return out.select("scale", F.coalesce("n_candidates", zero).alias("n_candidates"), F.coalesce("n_breakpoints", zero).alias("n_breakpoints"), F.coalesce("control", F.lit(False)).alias("control"))
+
+
 def flagged_by_condition(records: DataFrame, condition: str) -> DataFrame:
     return records.where("p IS NOT NULL").groupBy(condition).agg(F.countDistinct("child").alias("flagged"))
 

@@ -211,6 +211,18 @@ def src_candidates(spark, sf):
     return files.read_candidate_json(spark, path).select("accession", r6("phi_perm_p", "phi_perm_p"), "n_sites", F.col("parents").isNotNull().alias("has_parents"))
 
 
+@query("""WITH b AS (SELECT s_name AS accession, s_suppkey % 5 <> 0 AS ok, unnest([s_nationkey::DOUBLE, s_nationkey / 2.0]) AS delta FROM supplier), c AS (SELECT unnest([0.75, 1.0, 1.25, 99])::DOUBLE AS scale)
+ SELECT scale, count(DISTINCT accession) FILTER (ok AND delta >= scale * 10) AS n_candidates, count(*) FILTER (ok AND delta >= scale * 10) AS n_breakpoints, coalesce(bool_or(ok AND delta >= scale * 10 AND accession = 'Supplier#000000003'), false) AS control FROM b, c GROUP BY 1""")
+def st_segment_sweep(spark, sf):
+    """A JSON file a supplier with two breakpoints, some without a baseline."""
+    s = table(spark, sf, "supplier")
+    gain = F.col("s_nationkey").cast("double")
+    points = F.create_map(F.lit("0"), F.struct(gain.alias("delta_cAIC")), F.lit("1"), F.struct((gain / 2).alias("delta_cAIC")))
+    base = F.when(F.col("s_suppkey") % 5 != 0, F.struct(F.lit(1000.5).alias("c-AIC")))
+    path = text_file(s.select(F.to_json(F.struct(F.col("s_name").alias("candidate_accession"), points.alias("breakpointData"), base.alias("baselineParameters"))).alias("value")), spark, "segments", maxRecordsPerFile=1)
+    return detect.segment_sweep(files.read_segments(spark, path), 10.0, [0.75, 1.0, 1.25, 99.0], "Supplier#000000003")
+
+
 # --- summaries, bundles, manifests -----------------------------------------------------
 
 

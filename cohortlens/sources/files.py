@@ -218,6 +218,19 @@ def read_candidate_json(spark: SparkSession, path: str, schema: str = CANDIDATE)
     return rows.orderBy("file").drop("file")
 
 
+_SEGMENTS = "candidate_accession string, breakpointData map<string, struct<delta_cAIC: double, cAIC: double>>, baselineParameters struct<`c-AIC`: double>"
+
+
+def read_segments(spark: SparkSession, path: str) -> DataFrame:
+    """``accession, breakpoint, delta, baseline`` of a segment detector's JSON files, one a
+    candidate (without its name, the file's): a row a breakpoint with the gain of the
+    criterion that it brings (that of the whole model where no gain is given, else 0)."""
+    rows = spark.read.option("multiLine", True).schema(_SEGMENTS).json(path)
+    name = F.coalesce("candidate_accession", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", ""))
+    rows = rows.select(name.alias("accession"), F.col("baselineParameters.`c-AIC`").alias("baseline"), F.explode("breakpointData").alias("breakpoint", "x"))
+    return rows.select("accession", "breakpoint", F.coalesce("x.delta_cAIC", "x.cAIC", F.lit(0.0)).alias("delta"), "baseline")
+
+
 def union_accessions(*tables: DataFrame) -> DataFrame:
     out = tables[0].select("accession")
     for t in tables[1:]:
