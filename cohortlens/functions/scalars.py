@@ -67,6 +67,13 @@ def decimal_year(d: Column) -> Column:
     return F.year(d) + F.datediff(d, start) / F.datediff(F.add_months(start, 12), start)
 
 
+def year_of_ordinal(x: Column) -> Column:
+    """The decimal year of an ordinal with its fraction of a day; null for null and NaN."""
+    x = F.when(~F.isnan(x.cast("double")), x)
+    start = F.trunc(from_ordinal(x), "YEAR")
+    return F.year(start) + (x - ordinal(start)) / F.datediff(F.add_months(start, 12), start)
+
+
 def without(s: Column, letters: str) -> Column:
     return F.translate(s, letters, "")
 

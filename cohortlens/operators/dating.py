@@ -187,6 +187,21 @@ def multi_start(counts: DataFrame, sites: float, low: float, model: str = "satur
     return each.repartition(F.col(group), F.col("start_idx")).mapInPandas(climb, schema)
 
 
+def trajectory_table(ends: DataFrame, *groups: str) -> DataFrame:
+    """The ends of ``multi_start`` as a table: of each start its ordinal, year and rate, of its
+    end the ordinal, date, year, rate, likelihood, whether it converged, and the basin that
+    the end's year is in (``non-converged`` without an end)."""
+    from cohortlens.functions import scalars as S
+
+    end = F.when(~F.isnan("t0"), F.col("t0"))
+    year = S.year_of_ordinal(end)
+    return ends.select(
+        *groups, "start_idx", F.floor("t0_init").cast("int").alias("t0_init_ordinal"), F.col("rate_init").alias("lam_init"), S.year_of_ordinal(F.col("t0_init")).alias("t0_init_year"),
+        F.floor(end).cast("int").alias("t0_converged_ordinal"), F.coalesce(S.from_ordinal(end).cast("string"), F.lit("non-converged")).alias("t0_converged_date"), F.col("rate").alias("lam_converged"),
+        year.alias("t0_converged_year"), F.col("nll").alias("final_nll"), F.col("converged").alias("converged_status"), S.basin(year).alias("basin"),
+    )
+
+
 def joint_fit(ends: DataFrame, group: str = "cluster_id") -> DataFrame:
     """The lowest end of ``multi_start`` a group, converged or not, and how many converged."""
     best = F.min_by(F.struct("t0", "rate", "nll", "converged"), F.struct("nll", "t0", "rate")).alias("x")

@@ -325,6 +325,16 @@ def ml_multi_start(spark, sf):
     return dating.multi_start(counts(spark, sf), 23140.0, 738000.0, group="g")
 
 
+@query("SELECT c_custkey AS g, 3 AS start_idx, CAST(floor(736000 + c_custkey % 900 + 0.25) AS INTEGER) AS t0_init_ordinal, CAST(floor(t) AS INTEGER) AS t0_converged_ordinal, coalesce(strftime(DATE '0001-01-01' + CAST(floor(t) - 1 AS INTEGER), '%Y-%m-%d'), 'non-converged') AS t0_converged_date, round(y, 6) AS t0_converged_year, CASE WHEN y IS NULL THEN 'non-converged' WHEN y BETWEEN 2018 AND 2020 THEN '~2019 local minimum' WHEN y BETWEEN 2022.5 AND 2024.5 THEN '~2023 global minimum' ELSE 'other' END AS basin FROM (SELECT c_custkey, t, year(d) + (t - (date_diff('day', DATE '0001-01-01', date_trunc('year', d)) + 1)) / date_diff('day', date_trunc('year', d), date_trunc('year', d) + INTERVAL 1 YEAR) AS y FROM (SELECT c_custkey, t, DATE '0001-01-01' + CAST(floor(t) - 1 AS INTEGER) AS d FROM (SELECT c_custkey, CASE WHEN c_custkey % 10 > 0 THEN 736500 + c_custkey % 2600 + 0.5 END AS t FROM customer)))")
+def ml_start_table(spark, sf):
+    """The table of starts and ends, of customers as ends."""
+    k = F.col("c_custkey")
+    end = F.when(k % 10 > 0, 736_500 + k % 2600 + 0.5).otherwise(F.lit(float("nan")))
+    ends = table(spark, sf, "customer").select(k.alias("g"), F.lit(3).alias("start_idx"), (736_000 + k % 900 + 0.25).alias("t0_init"), F.lit(1e-6).alias("rate_init"), end.alias("t0"), F.lit(1e-6).alias("rate"), F.lit(1.0).alias("nll"), F.lit(True).alias("converged"))
+    out = dating.trajectory_table(ends, "g")
+    return out.select("g", "start_idx", "t0_init_ordinal", "t0_converged_ordinal", "t0_converged_date", r6("t0_converged_year", "t0_converged_year"), "basin")
+
+
 @query()
 def ml_joint_fit(spark, sf):
     return dating.joint_fit(dating.multi_start(counts(spark, sf), 23140.0, 738000.0, "linear", "g"), "g")
