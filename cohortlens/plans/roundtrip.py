@@ -283,13 +283,13 @@ def src_clock_lines(spark, sf):
 # --- small operators -------------------------------------------------------------------
 
 
-@query("""SELECT o_orderkey, CAST(DATE '0001-01-01' + CAST(floor(o_totalprice) AS INTEGER) - 1 AS DATE) AS day, round(CASE WHEN o_custkey % 3 > 0 THEN o_totalprice / (o_custkey % 3) ELSE 0 END, 6) AS ratio,
+@query("""SELECT o_orderkey, CAST(DATE '0001-01-01' + CAST(floor(730000 + o_custkey % 9000 + 0.75) AS INTEGER) - 1 AS DATE) AS day, round(CASE WHEN o_custkey % 3 > 0 THEN o_totalprice / (o_custkey % 3) ELSE 0 END, 6) AS ratio,
  o_orderpriority LIKE '1%' AS urgent, split_part(o_orderpriority, '-', 1) AS token, o_orderstatus = 'P' OR (o_orderstatus IS NULL AND o_totalprice < 1000) AS partial FROM orders""")
 def fn_scalars(spark, sf):
     o, k = table(spark, sf, "orders"), F.col("o_custkey") % 3
     completeness = F.when(F.col("o_orderstatus") == "P", "PARTIAL").otherwise(F.col("o_orderstatus"))
     return o.select(
-        "o_orderkey", S.from_ordinal(F.col("o_totalprice")).alias("day"), r6(S.safe_ratio(F.col("o_totalprice"), k), "ratio"),
+        "o_orderkey", S.from_ordinal(730_000 + F.col("o_custkey") % 9000 + 0.75).alias("day"), r6(S.safe_ratio(F.col("o_totalprice"), k), "ratio"),
         S.starts_with(F.col("o_orderpriority"), "1").alias("urgent"), S.first_token(F.concat(F.lit(" "), F.regexp_replace("o_orderpriority", "-", " "))).alias("token"), S.is_partial(completeness, F.col("o_totalprice") < 1000).alias("partial"),
     )
 
