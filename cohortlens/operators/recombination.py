@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions import bases, walks
+from cohortlens.functions import bases, compatibility, walks
+from cohortlens.operators.sequence import column_counts
 from cohortlens.workspace import Workspace
 
 #: Bytes of sequences of one side that a task holds at once.
 BLOCK = 16 << 20
 _HELD = 1 << 22  # steps of walks at once
+_PARTS = 32  # that an alignment is dealt to
 
 
 def _codes(seqs) -> np.ndarray:
@@ -121,3 +125,49 @@ def triplet_scan(children: DataFrame, parents: DataFrame, block: int = BLOCK) ->
     out = each.join(F.broadcast(total))  # one row
     corrected = F.when(F.col("x.p") >= 1, F.lit(1.0)).otherwise(-F.expm1(F.col("__all") * F.log1p(-F.col("x.p"))))
     return out.select("x.child", "n_triplets", "x.p_name", "x.q_name", "x.m", "x.n", "x.k", "x.from_pos", "x.to_pos", "x.p", corrected.alias("p_corrected"))
+
+
+def phi_test(alignments: DataFrame, group: str = "candidate", window: int = 100, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """``n_sites, near, phi, phi_mean, phi_perm_p`` of each alignment (``group``, ``seq``).
+
+    Informative sites have two bases or more that two sequences or more have. Two sites'
+    incompatibility is the least number of changes beyond those that one tree needs: edges
+    less vertices plus components of the graph of pairs of bases. ``phi`` is its mean over
+    sites at most ``near`` informative sites apart, as many as ``window`` columns hold on
+    average (1 at least). Recombination makes near sites more compatible than far ones, so
+    ``phi_perm_p`` is the share of ``replicates`` orders of the sites, by MD5, whose mean is no
+    larger; the alignment's own order counts as one more. Fewer than two sites: nulls.
+
+    Null groups are left out; null sequences and columns past an end are unknown, as is
+    whatever is not A, C, G or T; case is ignored; repeated rows count. No task holds an
+    alignment: sequences become sets of pairs of bases in tiles of sites, united as they
+    stream by; each tile adds to the sum of every order. Sites of an alignment (its columns
+    at most) are an array, joined to its sequences and tiles in 32 parts."""
+    ws = Workspace(alignments.sparkSession, "compatibility")
+    rows = alignments.where(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("grp"), F.upper(F.col("seq").cast("string")).alias("seq"))
+    counts = column_counts(rows, "grp")
+    many = sum((F.col(b) > 1).cast("int") for b in "acgt")
+    sites = counts.groupBy("grp").agg(F.max("pos").alias("length"), F.sort_array(F.collect_list(F.when(many >= 2, F.col("pos")))).alias("sites"))
+    n = F.size("sites")
+    near = F.least(n - 1, F.greatest(F.lit(1), F.floor(F.lit(window) * n / F.col("length")))).cast("int")
+    sites = ws.table(sites.select("grp", n.alias("n_sites"), near.alias("near"), "sites"), "sites")
+
+    parts = F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))).alias("part")
+    open_ = sites.where("n_sites > 1").select("grp", parts, "sites", "near")
+    # which pairs of bases occur does not depend on how often, so equal sequences are one
+    dealt = rows.dropDuplicates(["grp", "seq"]).withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(_PARTS)).cast("int"))
+    joined = dealt.join(open_, ["grp", "part"]).select("grp", "seq", "sites")
+    tiles = joined.mapInArrow(compatibility.meet, "grp string, i int, j int, bits binary").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    tiles = ws.table(tiles.mapInArrow(compatibility.unite, "grp string, i int, j int, score binary"), "tiles")
+    dealt = tiles.withColumn("part", F.pmod(F.xxhash64("i", "j"), F.lit(_PARTS)).cast("int"))
+    ready = dealt.join(open_, ["grp", "part"]).select("grp", "i", "j", "score", "sites", "near").sortWithinPartitions("grp")
+    totals = ready.mapInArrow(partial(compatibility.windows, replicates=replicates, seed=seed), "grp string, replicate int, total long")
+    totals = totals.groupBy("grp", "replicate").agg(F.sum("total").alias("total"))
+    own = totals.where("replicate = 0").select("grp", F.col("total").alias("own"))
+    told = totals.join(own, "grp").groupBy("grp").agg(F.max("own").alias("own"), F.avg(F.when(F.col("replicate") > 0, F.col("total"))).alias("mean"), F.count_if(F.col("total") <= F.col("own")).alias("low"))
+    pairs = F.col("near") * F.col("n_sites") - F.col("near") * (F.col("near") + 1) / 2
+    out = rows.select("grp").distinct().join(sites.drop("sites"), "grp", "left").join(told, "grp", "left")
+    return out.select(
+        F.col("grp").alias(group), F.coalesce("n_sites", F.lit(0)).alias("n_sites"), F.when(F.col("n_sites") > 1, F.col("near")).alias("near"),
+        (F.col("own") / pairs).alias("phi"), (F.col("mean") / pairs).alias("phi_mean"), (F.col("low") / (replicates + 1)).alias("phi_perm_p"),
+    )

@@ -55,3 +55,34 @@ def ex_triplet_scan(spark, sf):
     """Every vector as a mosaic of the first vectors of two labels."""
     out = recombination.triplet_scan(alignment(spark, sf), founders(spark, sf))
     return out.select("child", "n_triplets", "p_name", "q_name", "m", "n", "k", "from_pos", "to_pos", r6(F.log10("p"), "log_p"), r6("p_corrected", "p_corrected"))
+
+
+_REPLICATES = 200
+
+
+@query(f"""WITH {_BASES_SQL}, al AS (SELECT CAST(vec_id // 10 AS VARCHAR) AS candidate, name, pos, base FROM b JOIN embeddings ON name = CAST(vec_id AS VARCHAR)),
+ cand AS (SELECT DISTINCT CAST(vec_id // 10 AS VARCHAR) AS candidate FROM embeddings),
+ le AS (SELECT candidate, max(pos) AS length FROM al GROUP BY 1),
+ si AS (SELECT candidate, pos FROM (SELECT candidate, pos, base, count(*) AS n FROM al WHERE base <> 'N' GROUP BY 1, 2, 3) WHERE n > 1 GROUP BY 1, 2 HAVING count(*) > 1),
+ ns AS (SELECT si.candidate, count(*) AS s, any_value(length) AS length FROM si JOIN le ON si.candidate = le.candidate GROUP BY 1),
+ nr AS (SELECT candidate, s, least(s - 1, greatest(1, CAST(floor(10.0 * s / length) AS BIGINT))) AS near FROM ns WHERE s > 1),
+ x AS (SELECT al.* FROM al JOIN si ON al.candidate = si.candidate AND al.pos = si.pos WHERE base <> 'N'),
+ e AS (SELECT DISTINCT u.candidate, u.pos AS i, v.pos AS j, u.base AS a, v.base AS b FROM x u JOIN x v ON u.candidate = v.candidate AND u.name = v.name AND u.pos < v.pos),
+ c2 AS (SELECT l.candidate, l.i, l.j, l.a, min(r.a) AS m FROM e l JOIN e r ON l.candidate = r.candidate AND l.i = r.i AND l.j = r.j AND l.b = r.b GROUP BY 1, 2, 3, 4),
+ e2 AS (SELECT e.*, m FROM e JOIN c2 ON e.candidate = c2.candidate AND e.i = c2.i AND e.j = c2.j AND e.a = c2.a),
+ c3 AS (SELECT l.candidate, l.i, l.j, l.a, min(r.m) AS m FROM e2 l JOIN e2 r ON l.candidate = r.candidate AND l.i = r.i AND l.j = r.j AND l.b = r.b GROUP BY 1, 2, 3, 4),
+ e3 AS (SELECT e.*, m FROM e JOIN c3 ON e.candidate = c3.candidate AND e.i = c3.i AND e.j = c3.j AND e.a = c3.a),
+ c4 AS (SELECT l.candidate, l.i, l.j, l.a, min(r.m) AS m FROM e3 l JOIN e3 r ON l.candidate = r.candidate AND l.i = r.i AND l.j = r.j AND l.b = r.b GROUP BY 1, 2, 3, 4),
+ inc AS (SELECT e.candidate, e.i, e.j, count(*) - count(DISTINCT e.a) - count(DISTINCT e.b) + count(DISTINCT c4.m) AS r FROM e JOIN c4 ON e.candidate = c4.candidate AND e.i = c4.i AND e.j = c4.j AND e.a = c4.a GROUP BY 1, 2, 3),
+ pl AS (SELECT candidate, pos, rep, row_number() OVER (PARTITION BY candidate, rep ORDER BY CASE WHEN rep > 0 THEN md5('42:' || rep || ':' || pos) END, pos) AS place FROM si, range({_REPLICATES} + 1) g(rep)),
+ tt AS (SELECT inc.candidate, u.rep, sum(CASE WHEN abs(u.place - v.place) <= near THEN r ELSE 0 END) AS total FROM inc JOIN nr ON inc.candidate = nr.candidate JOIN pl u ON u.candidate = inc.candidate AND u.pos = inc.i
+   JOIN pl v ON v.candidate = inc.candidate AND v.pos = inc.j AND v.rep = u.rep GROUP BY 1, 2),
+ ow AS (SELECT candidate, total AS own FROM tt WHERE rep = 0),
+ fin AS (SELECT tt.candidate, any_value(own) AS own, avg(total) FILTER (rep > 0) AS mean, count(*) FILTER (total <= own) AS low FROM tt JOIN ow ON tt.candidate = ow.candidate GROUP BY 1)
+ SELECT cand.candidate, CAST(coalesce(ns.s, 0) AS INTEGER) AS n_sites, CAST(near AS INTEGER) AS near, round(own / (near * nr.s - near * (near + 1) / 2), 6) AS phi, round(mean / (near * nr.s - near * (near + 1) / 2), 6) AS phi_mean, round(low / {_REPLICATES + 1}, 6) AS phi_perm_p
+  FROM cand LEFT JOIN ns ON cand.candidate = ns.candidate LEFT JOIN nr ON cand.candidate = nr.candidate LEFT JOIN fin ON cand.candidate = fin.candidate""")
+def ex_phi_test(spark, sf):
+    """Every ten neighbouring vectors as an alignment."""
+    rows = alignment(spark, sf).select(F.floor(F.col("name").cast("long") / 10).cast("string").alias("candidate"), "seq")
+    out = recombination.phi_test(rows, window=10, replicates=_REPLICATES)
+    return out.select("candidate", "n_sites", "near", r6("phi", "phi"), r6("phi_mean", "phi_mean"), r6("phi_perm_p", "phi_perm_p"))

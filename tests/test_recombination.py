@@ -86,3 +86,71 @@ def test_no_triplets(spark):
     assert R.triplet_scan(none, some).count() == 0
     assert R.triplet_scan(some, none).count() == 0
     assert R.triplet_scan(some, some).count() == 0
+
+
+def phi(seqs, window, replicates, seed=42):
+    """Mean incompatibility of near sites and the share of orders at or below it, pair by pair."""
+    from collections import Counter
+    from hashlib import md5
+
+    rows = [(s or "").upper() for s in seqs]
+    length = max(map(len, rows))
+    cells = {c: [s[c - 1] if c <= len(s) and s[c - 1] in "ACGT" else None for s in rows] for c in range(1, length + 1)}
+    sites = [c for c, col in cells.items() if sum(n > 1 for b, n in Counter(col).items() if b) > 1]
+    if len(sites) < 2:
+        return len(sites), None, None, None, None
+    near = min(len(sites) - 1, max(1, window * len(sites) // length))
+
+    def score(i, j):
+        edges = {("l" + a, "r" + b) for a, b in zip(cells[i], cells[j], strict=True) if a and b}
+        nodes = {x for e in edges for x in e}
+        parts = {x: x for x in nodes}
+        for _ in nodes:
+            for a, b in edges:
+                parts[a] = parts[b] = min(parts[a], parts[b])
+        return len(edges) - len(nodes) + len(set(parts.values()))
+
+    known = {}
+
+    def total(order):
+        out = 0
+        for k, i in enumerate(order):
+            for j in order[k + 1 : k + 1 + near]:
+                pair = (min(i, j), max(i, j))
+                known[pair] = known[pair] if pair in known else score(*pair)
+                out += known[pair]
+        return out
+
+    own = total(sites)
+    drawn = [total(sorted(sites, key=lambda c: md5(f"{seed}:{r}:{c}".encode()).digest())) for r in range(1, replicates + 1)]
+    pairs = near * len(sites) - near * (near + 1) / 2
+    return len(sites), near, own / pairs, sum(drawn) / replicates / pairs, (1 + sum(x <= own for x in drawn)) / (replicates + 1)
+
+
+def evolved(r, n, columns, split):
+    """Sequences on a tree, and on another one from ``split`` on."""
+    out = [[] for _ in range(n)]
+    trees = [r.sample(range(n), n) for _ in range(2)]
+    for c in range(columns):
+        order = trees[c >= split]
+        a, b = sorted(r.sample(range(n + 1), 2))
+        old, new = r.sample("ACGT", 2)
+        for k, who in enumerate(order):
+            out[who].append(new if a <= k < b else old)
+    return ["".join(x) for x in out]
+
+
+def test_phi(spark):
+    r = random.Random(8)
+    whole = evolved(r, 10, 220, 220)
+    groups = {"tree": whole, "mosaic": evolved(r, 10, 220, 110), "noise": ["".join(r.choices("acgtACGTN-", k=r.choice([150, 180]))) for _ in range(9)]}
+    groups |= {"few": ["ACGT", None, ""], "pair": ["AACC", "AACC", "GGCC", "GGCC", "TTT", "TTT"], "twice": whole + whole}
+    rows = [(g, s) for g, seqs in groups.items() for s in seqs] + [(None, "ACGT")] * 4
+    df = spark.createDataFrame(rows, "candidate string, seq string")
+    got = {x.candidate: x for x in R.phi_test(df, window=20, replicates=40).collect()}
+    assert set(got) == set(groups)
+    for g, seqs in groups.items():
+        want = phi(seqs, 20, 40)
+        assert tuple(got[g])[1:] == tuple(pytest.approx(x, abs=1e-12) for x in want), g
+    assert got["mosaic"].phi_perm_p < 0.05 < got["noise"].phi_perm_p
+    assert R.phi_test(df.limit(0)).count() == 0
