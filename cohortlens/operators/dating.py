@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions import draws
 from cohortlens.operators.quantiles import quantiles
 
 
@@ -96,6 +97,97 @@ def _arrays(days) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.array([float("nan") if x[c] is None else x[c] for x in days]) for c in ("day", "n", "k"))
 
 
+#: A model's highest mean as a share of the sites, and how much faster than the rate it gets there.
+SHAPES = {"saturation": (1.0, 1.0), "twofold": (0.75, 4 / 3)}
+_LOG_RATES = (float(np.log(1e-12)), 0.0)
+
+
+def rate_at(days: Column, t0: Column, sites: float, model: str = "saturation", steps: int = 25) -> Column:
+    """``rate, nll`` of the best rate at a date, for ``days`` (an array of ``day, n, k``): the
+    linear model's in closed form, from which other models take scoring steps in the
+    logarithm, at most 2 each, within 1e-12 to 1. Null where a day is not after the date."""
+
+    def total(of) -> Column:
+        return F.aggregate(days, F.lit(0.0), lambda s, x: s + of(x, x["day"] - t0))
+
+    first = F.ln(F.greatest(total(lambda x, a: x["k"]) / (sites * total(lambda x, a: x["n"] * a)), F.lit(1e-12)))
+    if model == "linear":
+        theta, mean = first, lambda x, a, th: sites * F.exp(th) * a
+    else:
+        cap, pace = SHAPES[model]
+
+        def mean(x, a, th):
+            return -sites * cap * F.expm1(-pace * F.exp(th) * a)
+
+        def step(th: Column, _: Column) -> Column:
+            def add(s: Column, x: Column) -> Column:
+                ra = pace * F.exp(th) * (x["day"] - t0)
+                mu, turn = -sites * cap * F.expm1(-ra), sites * cap * ra * F.exp(-ra)
+                return F.struct((s["g"] + (x["k"] / mu - x["n"]) * turn).alias("g"), (s["h"] + x["n"] * turn * turn / mu).alias("h"))
+
+            move = F.aggregate(days, F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("h")), add, lambda s: F.when(s["h"] > 0, s["g"] / s["h"]).otherwise(0.0))
+            return F.least(F.lit(_LOG_RATES[1]), F.greatest(F.lit(_LOG_RATES[0]), th + F.least(F.lit(2.0), F.greatest(F.lit(-2.0), move))))
+
+        theta = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, step)
+
+    def told(th: Column) -> Column:
+        least = F.aggregate(days, F.lit(0.0), lambda s, x: s + x["n"] * mean(x, x["day"] - t0, th) - x["k"] * F.ln(mean(x, x["day"] - t0, th)))
+        return F.struct(F.exp(th).alias("rate"), least.alias("nll"))
+
+    found = F.get(F.transform(F.array(theta), told), F.lit(0))
+    return F.when(F.array_min(F.transform(days, lambda x: x["day"])) > t0, found)
+
+
+def _dated(counts: DataFrame, *groups: str) -> DataFrame:
+    """An array of days a group, as long as the calendar at most; rows without a day or count are left out."""
+    return by_day(counts.where("day IS NOT NULL AND k IS NOT NULL"), *groups).groupBy(*groups).agg(_days())
+
+
+def rate_profile(counts: DataFrame, dates: list[float], sites: float, model: str = "saturation", *groups: str) -> DataFrame:
+    """``t0, rate, nll`` a group and date with the best rate there (``rate_at``), where every
+    row is younger than the date. Equal to ``linear_profile`` for the linear model. A group's
+    dates are spread over the cluster, each with the group's days."""
+    each = _dated(counts, *groups).withColumn("t0", F.explode(F.array(*[F.lit(float(t)) for t in dates]))).where(F.array_min(F.transform("days", lambda x: x["day"])) > F.col("t0"))
+    each = each.repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *groups, "t0")
+    return each.select(*groups, "t0", F.inline(F.array(rate_at(F.col("days"), F.col("t0"), sites, model))))
+
+
+def polished_fit(counts: DataFrame, low: float, high: float, sites: float, model: str = "saturation", *groups: str, n: int = 200, rates: tuple[float, float] = (1e-7, 1e-2), rounds: int = 2) -> DataFrame:
+    """``t0, rate, nll`` a group, with ``grid_t0, grid_nll``, the best of an n x n grid of dates
+    and rates. The polish takes the best rate (``rate_at``) at each of the grid's dates, as a
+    grid's steps of rates hide how dates compare, and then, ``rounds`` times, at 21 dates from
+    one step before the best date to one after it, within ``low`` to ``high``; each round's
+    step is a tenth of the last's. Of equal likelihoods the earlier date. Null where no date
+    of the grid is before all rows; the grid's likelihood is a penalty there."""
+    known, step = counts.where("day IS NOT NULL AND k IS NOT NULL"), (high - low) / max(1, n - 1)
+    points = grid(counts.sparkSession, low, high, n, *rates, n)
+    coarse = best_fit(likelihoods(known, points, sites, model, *groups), *groups).select(*groups, F.col("t0").alias("grid_t0"), F.col("nll").alias("grid_nll"))
+    on = list(groups) or ["__one"]  # without groups, rows of one
+    one = [] if groups else [F.lit(1).alias("__one")]
+    fine = best_fit(rate_profile(known, [low + i * step for i in range(n)], sites, model, *groups), *groups)
+    out = coarse.select("*", *one).join(_dated(known, *groups).select("*", *one), on).join(fine.select("*", *one), on, "left")
+    for r in range(1, rounds + 1):
+        offsets = F.array(*[F.lit(i * step / 10.0**r) for i in range(-10, 11)])
+        around = F.filter(F.transform(offsets, lambda o: F.col("t0") + o), lambda t: t.between(low, high))
+        tried = F.transform(around, lambda t: F.struct(t.alias("t0"), rate_at(F.col("days"), t, sites, model).alias("x")))
+        able = F.transform(F.filter(tried, lambda y: y["x"].isNotNull()), lambda y: F.struct(y["x"]["nll"].alias("nll"), y["t0"].alias("t0"), y["x"]["rate"].alias("rate")))
+        out = out.select(*groups, "days", "grid_t0", "grid_nll", F.inline_outer(F.array(F.array_min(able))))
+    return out.select(*groups, "t0", "rate", "nll", "grid_t0", "grid_nll")
+
+
+def poisson_replicates(counts: DataFrame, fits: DataFrame, sites: float, replicates: int, model: str = "saturation", *groups: str, seed: int = 42) -> DataFrame:
+    """``replicate, day, n, k`` a group, day and replicate: counts drawn around a fit (``t0,
+    rate`` a group) as columns, so that a draw is the same wherever it is made. ``k`` is a
+    day's sum over its ``n`` rows, whose distribution is Poisson too; its point is the MD5 of
+    seed, replicate, groups and day."""
+    days = by_day(counts.where("day IS NOT NULL AND k IS NOT NULL"), *groups)
+    both = days.drop("k").join(fits.select(*groups, "t0", "rate"), list(groups)) if groups else days.drop("k").join(F.broadcast(fits.select("t0", "rate")))
+    each = both.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    mean = F.col("n") * MEANS[model](sites, F.col("rate"), F.col("day") - F.col("t0"))
+    u = draws.uniform(F.lit(seed), F.col("replicate"), *[F.col(g) for g in groups], F.col("day").cast("decimal(20,3)"))
+    return each.select(*groups, "replicate", "day", "n", draws.poisson(mean, u).alias("k"))
+
+
 def _fit(day: np.ndarray, n: np.ndarray, k: np.ndarray, sites: float, saturated: bool, low: float, high: float, starts: np.ndarray | None = None) -> tuple[float, float, float]:
     """Best (t0, rate, nll) for ``n`` genomes with ``k`` changes a day: a dense search over t0, the best rate at each by bisection of the
     score (saturation) or in closed form (linear), then golden sections around the best."""

@@ -546,4 +546,4 @@ def tr_ancestors(spark, sf):
     return cohort.ancestors(edges)
 
 
-from cohortlens.plans import more, mosaic, roundtrip  # noqa: E402, F401  (add their queries to the two tables)
+from cohortlens.plans import clock, more, mosaic, roundtrip  # noqa: E402, F401  (add their queries to the two tables)

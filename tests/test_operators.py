@@ -411,3 +411,75 @@ def test_codon_effects(spark):
         ("f", 4): (2, "S", "T", "missense"), ("f", 6): (2, "S", "S", "synonymous"), ("f", 5): (2, "S", "*", "stop_gained"), ("f", 10): (3, "L", "S", "missense"),
         ("f", 11): (3, "L", "L", "synonymous"), ("r", 22): (1, "M", "V", "missense"), ("r", 11): (2, "F", "F", "synonymous"), ("r", 13): (2, "F", "V", "missense"), ("r", 21): (1, "M", "R", "missense"), ("s", 22): (1, None, None, None), ("s", 21): (1, None, None, None),
     }
+
+
+def test_profiles_and_polish(spark):
+    """Rates and dates against the dense search and the closed form."""
+    import random
+
+    r = random.Random(3)
+    rows = [(g, float(738_800 + d), float(max(0, round((0.03 + 0.01 * g) * (d + 400) + r.gauss(0, 2))))) for g in range(3) for d in range(0, 300, 4) for _ in range(2)]
+    df = spark.createDataFrame(rows + [(0, None, 3.0), (1, 738_900.0, None)], "g int, day double, k double")
+    want = {x.g: x for x in dating.fit_groups(df.where("day IS NOT NULL AND k IS NOT NULL"), 23140.0, 738_000.0, group="g").collect()}
+    got = {x.g: x for x in dating.polished_fit(df, 738_000.0, 738_799.0, 23140.0, "saturation", "g", n=60).collect()}
+    assert set(got) == {0, 1, 2}
+    for g, x in got.items():
+        assert x.t0 == pytest.approx(want[g].t0, abs=0.3) and x.rate == pytest.approx(want[g].rate, rel=1e-2)
+        assert want[g].nll - 1e-3 < x.nll < want[g].nll + 1e-3 and x.nll <= x.grid_nll
+    everyone = dating.polished_fit(df, 738_000.0, 738_799.0, 23140.0, n=20).collect()
+    assert len(everyone) == 1 and everyone[0].nll <= everyone[0].grid_nll
+    late = dating.polished_fit(df, 739_500.0, 739_600.0, 23140.0, "saturation", "g", n=5).collect()
+    assert all(x.t0 is None and x.grid_nll >= 1e18 for x in late) and len(late) == 3
+    dates = spark.createDataFrame([(738_500.0,), (738_799.0,), (738_801.0,)], "t0 double")
+    clean = df.where("day IS NOT NULL AND k IS NOT NULL")
+    closed = {(x.g, x.t0): x for x in dating.linear_profile(clean, dates, 23140.0, "g").collect()}
+    lines = {(x.g, x.t0): x for x in dating.rate_profile(df, [738_500.0, 738_799.0, 738_801.0], 23140.0, "linear", "g").collect()}
+    assert set(closed) == set(lines) and len(lines) == 6
+    for key, x in lines.items():
+        assert x.rate == pytest.approx(closed[key].rate, rel=1e-9) and x.nll == pytest.approx(closed[key].nll, rel=1e-9)
+    # a rate of the twofold model is one at which the likelihood is flat
+    import numpy as np
+
+    day, k = (np.array([row[i] for row in rows if row[0] == 1]) for i in (1, 2))
+
+    def nll(rate):
+        mu = 23140 * 0.75 * -np.expm1(-4 / 3 * rate * (day - 738_500))
+        return (mu - k * np.log(mu)).sum()
+
+    two = next(x for x in dating.rate_profile(df, [738_500.0], 23140.0, "twofold", "g").collect() if x.g == 1)
+    assert two.nll == pytest.approx(nll(two.rate), rel=1e-9) and two.nll < min(nll(two.rate * 1.001), nll(two.rate / 1.001))
+    none = spark.createDataFrame([(7, 738_900.0, 0.0)], "g int, day double, k double")
+    assert dating.rate_profile(none, [738_500.0], 23140.0, "saturation", "g").first().rate == pytest.approx(1e-12)
+
+
+def test_poisson_draws(spark):
+    """Chances of drawn counts, means from 0 to a million, odd input."""
+    from math import exp, lgamma, log
+
+    from cohortlens.functions import draws
+
+    df = spark.range(20_000).select(draws.uniform(F.lit(7), F.col("id")).alias("u"))
+    for mean in (0.01, 0.9, 3.7, 40.5):
+        seen = {x.k: x.n for x in df.select(draws.poisson(F.lit(mean), F.col("u")).alias("k")).groupBy("k").agg(F.count("*").alias("n")).collect()}
+        for k in range(60):
+            p = exp(k * log(mean) - mean - lgamma(k + 1))
+            assert abs(seen.get(k, 0) - 20_000 * p) <= 5 * (20_000 * p) ** 0.5 + 3, (mean, k)
+    big = df.limit(500).select(draws.poisson(F.lit(1e6), F.col("u")).alias("k")).agg(F.avg("k"), F.stddev("k")).first()
+    assert big[0] == pytest.approx(1e6, abs=300) and big[1] == pytest.approx(1000, rel=0.2)
+    odd = spark.createDataFrame([(0.0, 0.5), (-1.0, 0.5), (None, 0.5), (2.0, None), (float("nan"), 0.5), (2.0, 0.0)], "m double, u double")
+    assert [x.k for x in odd.select(draws.poisson(F.col("m"), F.col("u")).alias("k")).collect()] == [0, 0, None, None, None, 2]
+    facts = spark.range(0, 200, 7).select("id", draws.log_factorial(F.col("id")).alias("x")).collect()
+    assert all(x.x == pytest.approx(lgamma(x.id + 1), abs=1e-12 * max(1, lgamma(x.id + 1))) for x in facts)
+    assert all(0 <= x.u < 1 for x in df.limit(100).collect())
+
+
+def test_poisson_replicates(spark):
+    df = spark.createDataFrame([(1, 100.0, 4.0), (1, 100.0, 6.0), (1, 120.0, 9.0), (None, 90.0, 1.0), (1, None, 2.0), (1, 50.0, None)], "g int, day double, k double")
+    fits = spark.createDataFrame([(1, 60.0, 1e-4)], "g int, t0 double, rate double")
+    out = dating.poisson_replicates(df, fits, 1000.0, 3000, "saturation", "g")
+    rows = {x.day: x for x in out.groupBy("g", "day").agg(F.count("*").alias("c"), F.avg("k").alias("m"), F.variance("k").alias("v"), F.max("n").alias("n")).collect()}
+    assert set(rows) == {100.0, 120.0} and rows[100.0].n == 2.0
+    for day, n in ((100.0, 2), (120.0, 1)):
+        mean = n * 1000 * (1 - math.exp(-1e-4 * (day - 60)))
+        assert rows[day].c == 3000 and rows[day].m == pytest.approx(mean, abs=5 * (mean / 3000) ** 0.5) and rows[day].v == pytest.approx(mean, rel=0.15)
+    assert sorted(out.collect()) == sorted(dating.poisson_replicates(df.repartition(3), fits, 1000.0, 3000, "saturation", "g").collect())
