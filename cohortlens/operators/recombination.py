@@ -98,12 +98,14 @@ def triplet_scan(children: DataFrame, parents: DataFrame, block: int = BLOCK) ->
         named = df.where("name IS NOT NULL").select(F.col("name").cast("string").alias("name"), F.coalesce(F.col("seq").cast("string"), F.lit("")).alias("seq"))
         out = ws.table(named.withColumn("id", F.monotonically_increasing_id()), name)
         rows, longest = out.agg(F.count("*"), F.coalesce(F.max(F.length("seq")), F.lit(0))).first()
-        return out, rows, -(-rows * (longest + 64) // block)  # rows are padded to the longest
+        return out, rows, rows * (longest + 64)  # rows are padded to the longest
 
-    kids, n_kids, kid_blocks = numbered(children, "children")
-    folk, _, n_blocks = numbered(parents, "parents")
-    n_kids = max(1, kid_blocks, min(n_kids, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    n_blocks = max(1, n_blocks)
+    kids, n_kids, kid_bytes = numbered(children, "children")
+    folk, _, folk_bytes = numbered(parents, "parents")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a small table of children is spread too, as far as that copies 256 MB of parents
+    n_kids = max(1, -(-kid_bytes // block), min(n_kids, tasks, 1 + (256 << 20) // max(1, folk_bytes)))
+    n_blocks = max(1, -(-folk_bytes // block))
 
     def dealt(parts: int):
         return F.pmod(F.xxhash64("id"), F.lit(parts))
@@ -118,6 +120,7 @@ def triplet_scan(children: DataFrame, parents: DataFrame, block: int = BLOCK) ->
     folk_rows = folk_rows.select("kid", "at", F.when(F.col("at.i") == mine, 1).otherwise(2).alias("side"), "id", "name", "seq")
     # a block of children and a pair of blocks of parents
     met = kid_rows.unionByName(folk_rows).select("kid", "at.i", "at.j", "side", "id", "name", "seq")
+    met = met.repartition(max(tasks, min(n_kids * n_blocks * (n_blocks + 1) // 2, 8 * tasks)), "kid", "i", "j")  # by number: few bytes are much work here
     found = ws.table(met.groupBy("kid", "i", "j").applyInPandas(_scan, _SCANNED), "found")
     best = F.min_by(F.struct("child", "p_name", "q_name", "m", "n", "k", "from_pos", "to_pos", "p"), F.struct("rank", "p_name", "q_name")).alias("x")
     each = found.groupBy("id").agg(F.sum("n_triplets").alias("n_triplets"), best)
@@ -160,7 +163,7 @@ def phi_test(alignments: DataFrame, group: str = "candidate", window: int = 100,
     tiles = joined.mapInArrow(compatibility.meet, "grp string, i int, j int, bits binary").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
     tiles = ws.table(tiles.mapInArrow(compatibility.unite, "grp string, i int, j int, score binary"), "tiles")
     dealt = tiles.withColumn("part", F.pmod(F.xxhash64("i", "j"), F.lit(_PARTS)).cast("int"))
-    ready = dealt.join(open_, ["grp", "part"]).select("grp", "i", "j", "score", "sites", "near").sortWithinPartitions("grp")
+    ready = dealt.join(open_, ["grp", "part"]).repartition(int(alignments.sparkSession.conf.get("spark.sql.shuffle.partitions")), "grp", "part").select("grp", "i", "j", "score", "sites", "near").sortWithinPartitions("grp")
     totals = ready.mapInArrow(partial(compatibility.windows, replicates=replicates, seed=seed), "grp string, replicate int, total long")
     totals = totals.groupBy("grp", "replicate").agg(F.sum("total").alias("total"))
     own = totals.where("replicate = 0").select("grp", F.col("total").alias("own"))
