@@ -30,9 +30,11 @@ def read_metadata(spark: SparkSession, path: str, names: tuple[str, ...] = ("acc
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """``accession, header, seq, ord``: records in file order; ``ord`` grows along a file.
-    A record is a split of its own, so large files are read in parallel."""
-    raw = spark.read.option("lineSep", "\n>").text(path).withColumn("ord", F.monotonically_increasing_id())
+    """``accession, header, seq, ord``: records in file order; ``ord`` (a struct) grows along a
+    file, and from file to file of a folder by their paths. Spark reads the parts of files by
+    size, not in order: their places come first in ``ord``, row numbers tell within a part."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    raw = spark.read.option("lineSep", "\n>").text(path).select("value", at.alias("ord"))
     body = F.regexp_replace(F.col("value"), "^>", "")
     header = F.trim(F.regexp_extract(body, r"^([^\r\n]*)", 1))
     seq = F.regexp_replace(F.regexp_replace(body, r"^[^\r\n]*", ""), r"\s", "")

@@ -25,6 +25,22 @@ def test_fasta(spark, tmp_path):
     assert "".join(r.value + "\n" for r in spark.read.text(f"{tmp_path}/out").collect()) == ">b\nG\nG\n"
 
 
+def test_fasta_order_of_parts(spark, tmp_path):
+    """Files of a folder by path, parts of a file by place, though Spark reads larger ones first."""
+    (tmp_path / "f").mkdir()
+    for name, ids in (("part-0", range(3)), ("part-1", range(3, 90)), ("part-2", [2, 1])):
+        put(tmp_path / "f" / name, "".join(f">r{i}\n{'ACGT' * (1 + i % 7)}{'A' * len(name) * (len(ids) == 2)}\n" for i in ids))
+    for size in ("128m", "300"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found = files.read_fasta(spark, f"{tmp_path}/f")
+            assert [x.accession for x in found.orderBy("ord").collect()] == [f"r{i}" for i in [*range(90), 2, 1]], size
+            last = {x.accession: x.seq for x in files.last_records(found).collect()}
+            assert len(last) == 90 and last["r1"] == "ACGT" * 2 + "A" * 6 and last["r3"] == "ACGT" * 4
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_tables_and_intervals(spark, tmp_path):
     path = put(tmp_path / "m.tsv", " Accession \tqc.overallStatus\n x1 extra\t good \ny2\tbad\n")
     assert [tuple(r) for r in files.read_metadata(spark, path).collect()] == [("x1", "good"), ("y2", "bad")]
