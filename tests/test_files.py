@@ -154,3 +154,18 @@ def test_trees_of_any_size(spark, tmp_path, monkeypatch):
                 assert got == sorted(files.read_newick(text)), text[:80]
         finally:
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_last_record_counts_across_files(spark, tmp_path):
+    """Records written again in a later file count, though Spark reads the rest of an earlier file after it."""
+    ids = spark.range(400).select(F.col("id").cast("string").alias("accession"))
+    first = ids.select("accession", F.lit("ACGT" * 20).alias("seq"), F.lit(0).alias("ord"))
+    again = ids.where("accession % 3 = 0").select("accession", F.lit("TG" * 20).alias("seq"), F.lit(1).alias("ord"))
+    sinks.write_fasta(first.coalesce(1), f"{tmp_path}/x/1")
+    sinks.write_fasta(again.coalesce(1), f"{tmp_path}/x/2")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        last = files.last_records(files.read_fasta(spark, f"{tmp_path}/x/*")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {x.accession: x.seq for x in last} == {str(i): "ACGT" * 20 if i % 3 else "TG" * 20 for i in range(400)}
