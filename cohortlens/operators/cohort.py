@@ -125,6 +125,11 @@ def drop_exactly_one(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.where(F.col(key) != value)
 
 
+#: Joins of a tree with itself: a broadcast of its tables at each of the many steps would pass
+#: them all through the driver, as Spark broadcasts whatever is small on disk.
+BOTH_SORTED = "merge"
+
+
 def ancestors(edges: DataFrame) -> DataFrame:
     """``id, label, ancestor, depth, dist`` for every node of ``id, parent, label, dist`` and
     each of its ancestors (itself at 0), which are many for a deep tree: what asks for less
@@ -136,11 +141,11 @@ def ancestors(edges: DataFrame) -> DataFrame:
     jump = ws.table(nodes.where("parent IS NOT NULL").select("id", F.col("parent").alias("to"), "dist"), "jump-0")
     step = 0
     while jump.head(1):
-        far = jump.toDF("id", "to", "more").join(known.toDF("to", "ancestor", "depth", "dist"), "to")
+        far = jump.toDF("id", "to", "more").join(known.toDF("to", "ancestor", "depth", "dist").hint(BOTH_SORTED), "to")
         known = ws.table(known.unionByName(far.select("id", "ancestor", (F.col("depth") + (1 << step)).alias("depth"), (F.col("dist") + F.col("more")).alias("dist"))), f"known-{step}")
         step += 1
-        jump = ws.table(jump.join(jump.toDF("to", "further", "more"), "to").select("id", F.col("further").alias("to"), (F.col("dist") + F.col("more")).alias("dist")), f"jump-{step}")
-    return known.join(nodes.select("id", "label"), "id").select("id", "label", "ancestor", "depth", "dist")
+        jump = ws.table(jump.join(jump.toDF("to", "further", "more").hint(BOTH_SORTED), "to").select("id", F.col("further").alias("to"), (F.col("dist") + F.col("more")).alias("dist")), f"jump-{step}")
+    return known.join(nodes.select("id", "label").hint(BOTH_SORTED), "id").select("id", "label", "ancestor", "depth", "dist")
 
 
 def jumps(edges: DataFrame, ws: Workspace) -> list[DataFrame]:
@@ -155,7 +160,7 @@ def jumps(edges: DataFrame, ws: Workspace) -> list[DataFrame]:
         if not jump.head(1):
             return out
         out.append(jump)
-        on = jump.toDF("to", "further", "more", "peak")
+        on = jump.toDF("to", "further", "more", "peak").hint(BOTH_SORTED)
         most = F.greatest("most", F.col("dist") + F.col("peak"))
         jump = jump.join(on, "to").select("id", F.col("further").alias("to"), (F.col("dist") + F.col("more")).alias("dist"), most.alias("most"))
 
@@ -165,16 +170,16 @@ def subtree_sums(edges: DataFrame, values: DataFrame, names: list[str], ws: Work
     has a row for some of the nodes. After k steps a node has the sums of those less than
     2^k below it, and those 2^k below hand it theirs: n rows a step, added before the
     shuffle, so neither a chain nor a node with very many children grows."""
-    sums = edges.select("id").join(values, "id", "left").select("id", *[F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in names])
+    sums = edges.select("id").join(values.hint(BOTH_SORTED), "id", "left").select("id", *[F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in names])
     sums = ws.table(sums, "sums-0")
     jump = ws.table(edges.where("parent IS NOT NULL").select("id", F.col("parent").alias("to")), "up-0")
     step = 0
     while jump.head(1):
         step += 1
-        handed = jump.join(sums, "id").groupBy(F.col("to").alias("id")).agg(*[F.sum(n).alias(f"more_{n}") for n in names])
-        sums = sums.join(handed, "id", "left").select("id", *[(F.col(n) + F.coalesce(f"more_{n}", F.lit(0))).alias(n) for n in names])
+        handed = jump.join(sums.hint(BOTH_SORTED), "id").groupBy(F.col("to").alias("id")).agg(*[F.sum(n).alias(f"more_{n}") for n in names])
+        sums = sums.join(handed.hint(BOTH_SORTED), "id", "left").select("id", *[(F.col(n) + F.coalesce(f"more_{n}", F.lit(0))).alias(n) for n in names])
         sums = ws.table(sums, f"sums-{step}")
-        jump = ws.table(jump.join(jump.toDF("to", "further"), "to").select("id", F.col("further").alias("to")), f"up-{step}")
+        jump = ws.table(jump.join(jump.toDF("to", "further").hint(BOTH_SORTED), "to").select("id", F.col("further").alias("to")), f"up-{step}")
     return sums
 
 
@@ -183,11 +188,11 @@ def lowest_common(edges: DataFrame, tips: DataFrame) -> DataFrame:
     ``tips`` (``label``; those of no leaf are passed over), and the label of it or, if it has
     none, of its nearest ancestor that has one (null if none has). No row without tips."""
     ws = Workspace(edges.sparkSession, "mrca")
-    wanted = edges.where("is_leaf").join(tips.select("label").distinct(), "label", "left_semi").select("id", F.lit(1).alias("tips"))
-    values = edges.select("id", F.lit(1).alias("size")).join(wanted, "id", "left")
+    wanted = edges.where("is_leaf").join(tips.select("label").distinct().hint(BOTH_SORTED), "label", "left_semi").select("id", F.lit(1).alias("tips"))
+    values = edges.select("id", F.lit(1).alias("size")).join(wanted.hint(BOTH_SORTED), "id", "left")
     sums = subtree_sums(edges, values, ["tips", "size"], ws)
     # those above all tips are the path from the root down to the one sought; sizes fall on it
-    path = sums.where("tips > 0").join(F.broadcast(sums.agg(F.max("tips").alias("tips"))), "tips").join(edges.select("id", "label"), "id")
+    path = sums.where("tips > 0").join(F.broadcast(sums.agg(F.max("tips").alias("tips"))), "tips").join(edges.select("id", "label").hint(BOTH_SORTED), "id")
     named = F.when(F.col("label") != "", F.col("label"))
     out = path.agg(F.min_by("id", "size").alias("id"), F.min_by(named, F.when(named.isNotNull(), F.col("size"))).alias("label"), F.max("tips").alias("n_tips"))
     return out.where("id IS NOT NULL")
@@ -208,23 +213,23 @@ def prune(edges: DataFrame, tips: DataFrame) -> DataFrame:
     are passed over. Work is a row a node for each doubling of the depth."""
     ws = Workspace(edges.sparkSession, "pruned")
     dist = F.col("dist").cast("double")
-    kept = ws.table(edges.where("is_leaf").join(tips.select("label").distinct(), "label", "left_semi").select("id", F.lit(1).alias("tips")), "kept")
+    kept = ws.table(edges.where("is_leaf").join(tips.select("label").distinct().hint(BOTH_SORTED), "label", "left_semi").select("id", F.lit(1).alias("tips")), "kept")
     live = subtree_sums(edges, kept, ["tips"], ws).where("tips > 0").select("id")
-    live = ws.table(edges.join(live, "id", "left_semi").select("id", "parent", dist.alias("dist")), "live")
+    live = ws.table(edges.join(live.hint(BOTH_SORTED), "id", "left_semi").select("id", "parent", dist.alias("dist")), "live")
     forks = live.groupBy("parent").agg(F.count("*").alias("n")).where("n > 1 AND parent IS NOT NULL")
     nodes = forks.select(F.col("parent").alias("id")).unionByName(kept.select("id")).unionByName(edges.where("parent IS NULL").select("id"))
     nodes = ws.table(nodes.distinct().withColumn("stays", F.lit(True)), "nodes")
     # each live node's way up to the next node that stays: ways double until all have got there
-    way = live.where("parent IS NOT NULL").join(nodes.toDF("parent", "there"), "parent", "left")
+    way = live.where("parent IS NOT NULL").join(nodes.toDF("parent", "there").hint(BOTH_SORTED), "parent", "left")
     way = ws.table(way.select("id", F.col("parent").alias("to"), "dist", F.coalesce("there", F.lit(False)).alias("there")), "way-0")
     step = 0
     while way.where("NOT there").head(1):
         step += 1
-        on = way.toDF("to", "further", "more", "arrives")
+        on = way.toDF("to", "further", "more", "arrives").hint(BOTH_SORTED)
         longer = way.where("NOT there").join(on, "to").select("id", F.col("further").alias("to"), (F.col("dist") + F.col("more")).alias("dist"), F.col("arrives").alias("there"))
         way = ws.table(way.where("there").unionByName(longer), f"way-{step}")
-    own = edges.select("id", "label", dist.alias("own")).join(nodes, "id", "left_semi").join(way.select("id", F.col("to").alias("parent"), "dist"), "id", "left")
-    own = own.join(kept.select("id", F.lit(True).alias("is_leaf")), "id", "left")
+    own = edges.select("id", "label", dist.alias("own")).join(nodes.hint(BOTH_SORTED), "id", "left_semi").join(way.select("id", F.col("to").alias("parent"), "dist").hint(BOTH_SORTED), "id", "left")
+    own = own.join(kept.select("id", F.lit(True).alias("is_leaf")).hint(BOTH_SORTED), "id", "left")
     return own.select("id", "parent", "label", F.coalesce("dist", "own").alias("dist"), F.coalesce("is_leaf", F.lit(False)).alias("is_leaf"))
 
 
@@ -235,9 +240,9 @@ def tree_clusters(edges: DataFrame, threshold: float) -> DataFrame:
     ws = Workspace(edges.sparkSession, "clusters")
     at = ws.table(edges.where("is_leaf").select("id", "label", F.col("id").alias("at"), F.lit(0.0).alias("gone")), "start")
     for k, jump in reversed(list(enumerate(jumps(edges, ws)))):
-        far = at.join(jump.toDF("at", "to", "dist", "most"), "at", "left")
+        far = at.join(jump.toDF("at", "to", "dist", "most").hint(BOTH_SORTED), "at", "left")
         go = F.col("to").isNotNull() & (F.col("gone") + F.col("most") < threshold)
         far = far.select("id", "label", F.when(go, F.col("to")).otherwise(F.col("at")).alias("at"), F.when(go, F.col("gone") + F.col("dist")).otherwise(F.col("gone")).alias("gone"))
         at = ws.table(far, f"climbed-{k}")
     name = F.when(F.col("label") != "", F.col("label")).otherwise(F.concat(F.lit("node_"), F.col("id").cast("string")))
-    return at.select("label", "at").join(edges.select(F.col("id").alias("at"), name.alias("cluster")), "at").select("label", "cluster")
+    return at.select("label", "at").join(edges.select(F.col("id").alias("at"), name.alias("cluster")).hint(BOTH_SORTED), "at").select("label", "cluster")

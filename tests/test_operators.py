@@ -483,3 +483,25 @@ def test_poisson_replicates(spark):
         mean = n * 1000 * (1 - math.exp(-1e-4 * (day - 60)))
         assert rows[day].c == 3000 and rows[day].m == pytest.approx(mean, abs=5 * (mean / 3000) ** 0.5) and rows[day].v == pytest.approx(mean, rel=0.15)
     assert sorted(out.collect()) == sorted(dating.poisson_replicates(df.repartition(3), fits, 1000.0, 3000, "saturation", "g").collect())
+
+
+def test_tree_steps_pass_no_table_through_the_driver(spark, monkeypatch):
+    """Each step's join sorts both sides: none is collected for a broadcast, however small."""
+    from cohortlens.workspace import Workspace
+
+    plans, table = [], Workspace.table
+
+    def seen(ws, df, name, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return table(ws, df, name, **options)
+
+    edges = [(1, None, "r", 1.0, False)] + [(i, max(1, i - 1 - i % 3), f"n{i}", 1.0, i > 25) for i in range(2, 31)]
+    frame = spark.createDataFrame(edges, "id long, parent long, label string, dist double, is_leaf boolean")
+    path = Workspace(spark, "test")
+    frame = path.table(frame, "edges")  # of known size, so that Spark would broadcast it
+    tips = path.table(frame.where("id > 28").select("label"), "tips")
+    monkeypatch.setattr(Workspace, "table", seen)
+    ends = [cohort.tree_clusters(frame, 4.0), cohort.prune(frame, tips), cohort.ancestors(frame)]
+    plans += [x._jdf.queryExecution().executedPlan().toString() for x in ends]
+    assert cohort.lowest_common(frame, tips).first().n_tips == 2
+    assert len(plans) > 20 and not [x for x in plans if "Broadcast" in x]
