@@ -107,7 +107,7 @@ def deep_tree(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey").cast("long")
     c = table(spark, sf, "customer").select(k.alias("id"), F.when(k > 1, F.greatest(F.lit(1).cast("long"), k - 1 - k % 3)).alias("parent"), F.when(k % 4 == 0, "").otherwise(F.col("c_name")).alias("label"), (0.5 + k % 5).alias("dist"), "c_nationkey")
     inner = c.where("parent IS NOT NULL").select(F.col("parent").alias("id")).distinct().withColumn("inner", F.lit(True))
-    return c.join(inner, "id", "left").select("id", "parent", "label", "dist", F.col("inner").isNull().alias("is_leaf"), "c_nationkey")
+    return c.join(inner.hint(cohort.BOTH_SORTED), "id", "left").select("id", "parent", "label", "dist", F.col("inner").isNull().alias("is_leaf"), "c_nationkey")
 
 
 @query(f"""WITH RECURSIVE {_DEEP_SQL}, w AS (SELECT id, label, id AS node, 0.0::DOUBLE AS gone FROM leaf
