@@ -25,6 +25,12 @@ def text_file(lines: DataFrame, spark: SparkSession, name: str, **options) -> st
     return path
 
 
+def text_files(lines: DataFrame, spark: SparkSession, name: str, key: str) -> str:
+    """A folder with a file a row of ``key`` and ``value``."""
+    sinks.write_each(lines, path := folder(spark, name), key)
+    return path
+
+
 def written_fasta(records: DataFrame, spark: SparkSession, **options) -> str:
     path = folder(spark, "fasta")
     sinks.write_fasta(records, path, **options)
@@ -247,7 +253,7 @@ def src_bundle(spark, sf):
 @query("SELECT CAST(length(s_name) + 1 AS BIGINT) AS size, sha256(s_name || chr(10)) AS sha256 FROM supplier")
 def src_manifest(spark, sf):
     """A file a supplier, hashed by the reader of files."""
-    path = text_file(table(spark, sf, "supplier").select("s_name"), spark, "files", maxRecordsPerFile=1)
+    path = text_files(table(spark, sf, "supplier").select("s_name", F.col("s_name").alias("value")), spark, "files", "s_name")
     return files.manifest(spark, path).where(F.col("path").rlike(r"/part-[^/]*$")).select("size", "sha256")
 
 

@@ -38,6 +38,19 @@ def write_condition_fasta(records: DataFrame, children: DataFrame, path: str, co
     write_fasta(marked, path, order=[F.desc("is_child"), "ord"])
 
 
+#: Rows of ``write_each`` that one task writes, about.
+FILES_A_TASK = 2_000
+
+
+def write_each(lines: DataFrame, path: str, key: str) -> None:
+    """A text file a row (``value``), dealt to tasks by ``key``, whose values are all different
+    and stay with their rows. Each task puts its files in place, not the driver one by one
+    at the end; a second attempt of a task sorts the same rows into the same names."""
+    tasks = max(1, -(-lines.count() // FILES_A_TASK))
+    dealt = lines.repartition(tasks, key).sortWithinPartitions(key).select("value")
+    dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").option("maxRecordsPerFile", 1).text(path)
+
+
 def write_bed(sites: DataFrame, path: str, header: str | None = None) -> None:
     """Sites (``pos`` from 1, ``context, occupancy``) sorted by position and context; a
     ``header`` is the first line, after ``# ``."""

@@ -169,3 +169,15 @@ def test_last_record_counts_across_files(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert {x.accession: x.seq for x in last} == {str(i): "ACGT" * 20 if i % 3 else "TG" * 20 for i in range(400)}
+
+
+def test_a_file_a_row_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Every row has its own file, whatever the number of tasks that the input comes in."""
+    monkeypatch.setattr(sinks, "FILES_A_TASK", 5)
+    lines = spark.range(23).coalesce(1).select("id", F.format_string("v%02d", "id").alias("value"))
+    sinks.write_each(lines, f"{tmp_path}/each", "id")
+    found = [x for x in (tmp_path / "each").iterdir() if x.name.startswith("part-")]
+    assert sorted(x.read_text() for x in found) == [f"v{i:02d}\n" for i in range(23)]
+    assert len({x.name.split("-")[1] for x in found}) > 1
+    sinks.write_each(lines.limit(0), f"{tmp_path}/none", "id")
+    assert not spark.read.text(f"{tmp_path}/none").head(1)
