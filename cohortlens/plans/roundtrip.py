@@ -213,7 +213,7 @@ def src_p_histogram(spark, sf):
 def src_candidates(spark, sf):
     """A JSON file a supplier."""
     s = table(spark, sf, "supplier").select(F.col("s_name").alias("accession"), (F.col("s_nationkey") / 25.0).alias("phi_perm_p"), F.col("s_suppkey").alias("n_sites"), F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("p"), F.lit("q"))).alias("parents"))
-    path = text_file(s.select(F.to_json(F.struct("*")).alias("value")), spark, "candidates", maxRecordsPerFile=1)
+    path = text_files(s.select("accession", F.to_json(F.struct("*")).alias("value")), spark, "candidates", "accession")
     return files.read_candidate_json(spark, path).select("accession", r6("phi_perm_p", "phi_perm_p"), "n_sites", F.col("parents").isNotNull().alias("has_parents"))
 
 

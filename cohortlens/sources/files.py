@@ -217,7 +217,8 @@ def read_candidate_json(spark: SparkSession, path: str, schema: str = CANDIDATE)
     """The records of a folder with a JSON file a candidate, in the order of the files'
     names. A declared schema: no pass to find one, and no surprise from one odd file."""
     rows = spark.read.option("multiLine", True).schema(schema).json(path).withColumn("file", F.col("_metadata.file_name"))
-    return rows.orderBy("file").drop("file")
+    # a sort looks at its rows twice: files are opened once
+    return Workspace(spark, "candidates").table(rows, "rows").orderBy("file").drop("file")
 
 
 _SEGMENTS = "candidate_accession string, breakpointData map<string, struct<delta_cAIC: double, cAIC: double>>, baselineParameters struct<`c-AIC`: double>"
