@@ -225,7 +225,7 @@ def st_segment_sweep(spark, sf):
     gain = F.col("s_nationkey").cast("double")
     points = F.create_map(F.lit("0"), F.struct(gain.alias("delta_cAIC")), F.lit("1"), F.struct((gain / 2).alias("delta_cAIC")))
     base = F.when(F.col("s_suppkey") % 5 != 0, F.struct(F.lit(1000.5).alias("c-AIC")))
-    path = text_file(s.select(F.to_json(F.struct(F.col("s_name").alias("candidate_accession"), points.alias("breakpointData"), base.alias("baselineParameters"))).alias("value")), spark, "segments", maxRecordsPerFile=1)
+    path = text_files(s.select("s_name", F.to_json(F.struct(F.col("s_name").alias("candidate_accession"), points.alias("breakpointData"), base.alias("baselineParameters"))).alias("value")), spark, "segments", "s_name")
     return detect.segment_sweep(files.read_segments(spark, path), 10.0, [0.75, 1.0, 1.25, 99.0], "Supplier#000000003")
 
 
