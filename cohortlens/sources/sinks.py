@@ -19,13 +19,14 @@ def wrapped(seq: Column, width: int = 80) -> Column:
 
 def write_fasta(records: DataFrame, path: str, keep: DataFrame | None = None, wrap: int | None = None, order: list[str | Column] | None = None) -> None:
     """``accession, seq`` in ``order`` (of ``ord``, if none is given and there is such a
-    column); ``keep`` restricts ids."""
+    column), equal ones by id, so that few values of ``ord`` are dealt to many tasks too;
+    ``keep`` restricts ids."""
     if keep is not None:
         records = records.join(keep.select("accession").distinct(), "accession", "left_semi")
     seq = wrapped(F.col("seq"), wrap) if wrap else F.col("seq")
     order = order or (["ord"] if "ord" in records.columns else [])
     if order:
-        records = records.orderBy(*order)
+        records = records.orderBy(*order, "accession")
     records.select(F.concat(F.lit(">"), "accession", F.lit("\n"), seq).alias("value")).write.mode("overwrite").text(path)
 
 

@@ -171,6 +171,24 @@ def test_last_record_counts_across_files(spark, tmp_path):
     assert {x.accession: x.seq for x in last} == {str(i): "ACGT" * 20 if i % 3 else "TG" * 20 for i in range(400)}
 
 
+def test_fasta_of_few_places_written_by_many_tasks(spark, tmp_path):
+    """Two values of ``ord`` do not send all records to two tasks; the second ones still come last."""
+    ids = spark.range(600).select(F.col("id").cast("string").alias("accession"))
+    first = ids.select("accession", F.lit("ACGT").alias("seq"), F.lit(0).alias("ord"))
+    again = ids.where("accession % 3 = 0").select("accession", F.lit("TG").alias("seq"), F.lit(1).alias("ord"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        sinks.write_fasta(first.union(again), f"{tmp_path}/x")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = files.read_fasta(spark, f"{tmp_path}/x")
+    sizes = [r["count"] for r in found.groupBy("ord.file").count().collect()]
+    assert sum(sizes) == 800 and max(sizes) < 400
+    seqs = [r.seq for r in found.orderBy("ord").collect()]
+    assert seqs == ["ACGT"] * 600 + ["TG"] * 200
+    assert {r.accession: r.seq for r in files.last_records(found).collect()} == {str(i): "ACGT" if i % 3 else "TG" for i in range(600)}
+
+
 def test_a_file_a_row_written_by_many_tasks(spark, tmp_path, monkeypatch):
     """Every row has its own file, whatever the number of tasks that the input comes in."""
     monkeypatch.setattr(sinks, "FILES_A_TASK", 5)
